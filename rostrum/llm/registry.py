@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from rostrum.llm import bpe, token_counts
+from rostrum.llm import bpe, line_dedup, mixing, ngram_join, quality_model, quality_rules, token_counts
 
 QUERIES = {
+    "op1_quality_classifier": quality_model.op1_quality_classifier,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_mix_sources": mixing.op3_mix_sources,
     "op4_bpe_codec": bpe.op4_bpe_codec,
+    "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op7_line_dedup": line_dedup.OP7_SQL,
+    "op9_quality_rules": quality_rules.OP9_SQL,
+}
