@@ -20,16 +20,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder the session names; a folder of our own only in local mode without one."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; one of our own only in local mode without a name."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="rostrum-checkpoint-")
         sc.setCheckpointDir(named)
+        found = sc._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

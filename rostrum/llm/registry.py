@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from rostrum.llm import bpe, line_dedup, mixing, ngram_join, quality_model, quality_rules, token_counts
+from rostrum.llm import bpe, language_id, line_dedup, mixing, ngram_join, quality_model, quality_rules, tiff, token_counts, warc
 
 QUERIES = {
     "op1_quality_classifier": quality_model.op1_quality_classifier,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op4_bpe_codec": bpe.op4_bpe_codec,
+    "op5_media_tiff": tiff.op5_media_tiff,
     "op6_ngram_jaccard": ngram_join.op6_ngram_jaccard,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_warc": warc.op8_warc,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLES = {
