@@ -73,6 +73,7 @@ class Codec:
         for pair in CONTRACTED:
             certain[pair[0] << 8 | pair[1]] = False
         self.certain = certain
+        self.by_id = {int(k): v for k, v in self.bytes_of.items()}
         self.cache: dict[bytes, bytes] = {}
 
     def fragments(self, raw: bytes) -> list[bytes]:
@@ -173,7 +174,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...]
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            back = [own.decode(",".join(map(str, ids or ())).encode()) for ids in batch.column(width).to_pylist()]
+            back = [b"".join(map(own.by_id.__getitem__, ids or ())).decode("utf-8", "replace") for ids in batch.column(width).to_pylist()]
             yield pa.record_batch([*batch.columns[:width], pa.array(back, pa.string())], names=[*keep, "decoded"])
 
     return df.select(*keep, F.col(ids_col).alias("__ids")).mapInArrow(run, df.select(*keep).schema.add("decoded", "string"))

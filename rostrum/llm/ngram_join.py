@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from rostrum.llm.common import checkpointed, documents, merged, text_buffers
+from rostrum.llm.common import WORD, checkpointed, documents, merged, text_buffers
 
 #: Counters of the frequency sketch and bits of the filter of wanted sets, as powers of two: 1 MB and 2 MB.
 SKETCH_BITS, FILTER_BITS = 18, 24
@@ -164,14 +164,15 @@ def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
     return np.frombuffer(zlib.decompress(found), np.int64) if found else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
-def signatures(df: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, k (identifies the set), k2 (more bits of it) and the prefix of each document."""
+def signatures(df: DataFrame, width: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and ``keep``, n, k (identifies the set), k2 (more bits of it) and the prefix of each document."""
+    kept = ["doc_id", *keep]
     order = df.sparkSession.sparkContext.broadcast(frequency_sketch(df.select("text"), width))
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = order.value
         for batch in batches:
-            for i, j, hashes, owner in _chunks(batch.column(1), width):
+            for i, j, hashes, owner in _chunks(batch.column(len(kept)), width):
                 n = np.bincount(owner, minlength=j - i)
                 ends = np.cumsum(n)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes + np.uint64(_STEP)), dtype=np.uint64)])
@@ -181,10 +182,10 @@ def signatures(df: DataFrame, width: int) -> DataFrame:
                 place = np.arange(len(ranked)) - (ends - n)[owner]
                 prefix = ranked[place < length[owner]]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), _ids(prefix))
-                yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), _ids(sums[ends] - sums[ends - n]), _ids(more[ends] - more[ends - n]), lists], names=["doc_id", "n", "k", "k2", "prefix"])
+                yield pa.record_batch([*(c.slice(i, j - i) for c in batch.columns[: len(kept)]), pa.array(n, pa.int64()), _ids(sums[ends] - sums[ends - n]), _ids(more[ends] - more[ends - n]), lists], names=[*kept, "n", "k", "k2", "prefix"])
 
-    schema = df.select("doc_id").schema.add("n", "long").add("k", "long").add("k2", "long").add("prefix", ArrayType(LongType()))
-    return df.select("doc_id", "text").mapInArrow(sign, schema)
+    schema = df.select(*kept).schema.add("n", "long").add("k", "long").add("k2", "long").add("prefix", ArrayType(LongType()))
+    return df.select(*kept, "text").mapInArrow(sign, schema)
 
 
 def _reach(n: np.ndarray, at: np.ndarray, m: np.ndarray, there: np.ndarray) -> np.ndarray:
@@ -336,9 +337,12 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("k"), F.col("b").alias("c")).unionByName(edges.select(F.col("b").alias("k"), F.col("b").alias("c")).distinct())
 
 
-def ngram_components(df: DataFrame, width: int = 5) -> DataFrame:
-    """Of every row of ``df`` (doc_id, text): doc_id, n_shingles, class_id and component_id."""
-    rows = checkpointed(signatures(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width))
+def ngram_components(df: DataFrame, width: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Of every row of ``df`` (doc_id, text): doc_id and ``keep``, n_shingles, class_id, component_id and component.
+
+    component is the component's own key, null for texts without words; ids alone may be null or repeat.
+    """
+    rows = checkpointed(signatures(df.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text"), width, keep))
     classes = checkpointed(rows.filter("n > 0").groupBy("n", "k", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix")))
     index = classes.select("k", "n", F.posexplode("prefix").alias("at", "tok")).select("tok", "at", "n", "k")
     lists = checkpointed(index.repartition("tok").sortWithinPartitions("tok", "at", "n", "k").mapInArrow(_starred, "tok long, at int, n long, k long, hub long, star boolean"))
@@ -361,10 +365,24 @@ def ngram_components(df: DataFrame, width: int = 5) -> DataFrame:
     labels = classes.select("k", "k2", "n", F.col("doc_id").alias("class_id")).join(components(found), "k", "left").withColumn("c", F.coalesce("c", "k"))
     labels = checkpointed(labels)
     names = labels.groupBy("c").agg(F.min("class_id").alias("component_id"))
-    named = labels.join(names, "c").select("k", "k2", "n", "class_id", "component_id")
+    named = labels.join(names, "c").select("k", "k2", "n", "class_id", "component_id", "c")
     out = rows.drop("prefix").join(named, ["k", "k2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", *keep, F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("c").alias("component"))
+
+
+def one_of_each(df: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component the one with the least id, then the least hash of its text.
+
+    Texts without words all stay. Of rows that agree in id and text one stays.
+    """
+    keyed = df.withColumn("__h", F.xxhash64("text"))
+    found = ngram_components(keyed, width, ("__h",)).filter("n_shingles > 0")
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__h").alias("h"))).alias("x"))
+    chosen = least.select(F.col("x.id").alias("__id"), F.col("x.h").alias("__own"))
+    there = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) > 0
+    kept = keyed.filter(there).join(chosen, (F.col("__h") == F.col("__own")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__h", "doc_id"])
+    return kept.unionByName(keyed.filter(~there)).select(*df.columns)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(documents(spark, sf_dir).select("doc_id", "text"))
+    return ngram_components(documents(spark, sf_dir)).drop("component")
