@@ -1 +1 @@
-"""Part of rostrum."""
+"""Scalar functions."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rostrum.plans import retrieval  # noqa: F401
 from rostrum.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
