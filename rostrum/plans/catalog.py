@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rostrum.plans import ranking, retrieval, windows  # noqa: F401
+from rostrum.plans import ranking, retrieval, sequences, windows  # noqa: F401
 from rostrum.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

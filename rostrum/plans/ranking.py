@@ -63,11 +63,11 @@ def decision_errors(spark, sf_dir):
     return R.decision_errors(members(spark, sf_dir), spoilt.unionByName(own.filter(c % 80 == 3)))
 
 
-@query("label_resolution", """WITH g AS (SELECT o_orderkey // 4 AS comparison_id, list(o_orderkey % 40 ORDER BY o_orderkey) AS m FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY 1)
-SELECT comparison_id, chr(CAST(65 + comparison_id % 4 AS INTEGER)) AS label, m[comparison_id % 4 + 1] AS passage_id FROM g""")
+@query("label_resolution", """WITH g AS (SELECT o_orderkey // 4 AS comparison_id, list(o_orderkey % 40 ORDER BY o_orderkey) AS m FROM orders GROUP BY 1)
+SELECT comparison_id, chr(CAST(65 + comparison_id % 5 AS INTEGER)) AS label, m[comparison_id % 5 + 1] AS passage_id FROM g""")
 def label_resolution(spark, sf_dir):
-    own = table(spark, sf_dir, "orders").filter("o_orderkey % 9 <> 0").groupBy(F.floor(F.col("o_orderkey") / 4).alias("comparison_id"))
-    groups = own.agg(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x % 40).alias("m")).withColumn("label", F.chr(65 + F.col("comparison_id") % 4))
+    own = table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 4).alias("comparison_id"))
+    groups = own.agg(F.transform(F.sort_array(F.collect_list("o_orderkey")), lambda x: x % 40).alias("m")).withColumn("label", F.chr(65 + F.col("comparison_id") % 5))
     return groups.select("comparison_id", "label", R.resolve_label(F.col("label"), F.col("m")).alias("passage_id"))
 
 

@@ -112,12 +112,12 @@ def retrieval_hit_mrr(spark, sf_dir):
     return R.ranking_quality(rows).select("mode", "kind", "queries", *[F.round(c, 6).alias(c) for c in ("hit1", "hit3", "mrr")])
 
 
-@query("scorer_contract", """WITH s AS (SELECT vec_id % 9 AS query_id, vec_id % 50 AS slide_id, CASE WHEN vec_id % 97 = 0 THEN CAST('nan' AS DOUBLE) ELSE 1.0 END AS score FROM embeddings WHERE vec_id < 450)
+@query("scorer_contract", """WITH s AS (SELECT vec_id // 50 AS query_id, CASE WHEN vec_id % 131 = 5 THEN 0 ELSE vec_id % 50 END AS slide_id, CASE WHEN vec_id % 97 = 0 THEN CAST('nan' AS DOUBLE) ELSE 1.0 END AS score FROM embeddings)
 SELECT query_id, CASE WHEN count(*) FILTER (isnan(score)) > 0 THEN 'non_finite_score' ELSE 'inconsistent_slides' END AS error FROM s GROUP BY query_id
 HAVING count(*) FILTER (isnan(score)) > 0 OR count(*) <> 50 OR count(DISTINCT slide_id) <> 50""")
 def scorer_contract(spark, sf_dir):
-    own = table(spark, sf_dir, "embeddings").filter("vec_id < 450")
-    scores = own.select((F.col("vec_id") % 9).alias("query_id"), (F.col("vec_id") % 50).alias("slide_id"), F.when(F.col("vec_id") % 97 == 0, F.lit(float("nan"))).otherwise(1.0).alias("score"))
+    v = F.col("vec_id")
+    scores = table(spark, sf_dir, "embeddings").select(F.floor(v / 50).alias("query_id"), F.when(v % 131 == 5, 0).otherwise(v % 50).alias("slide_id"), F.when(v % 97 == 0, F.lit(float("nan"))).otherwise(1.0).alias("score"))
     return R.score_errors(scores, spark.range(50).withColumnRenamed("id", "slide_id"))
 
 
