@@ -143,8 +143,9 @@ def parsed_price(text: Column) -> Column:
 
 
 def per_token(per_million: Column) -> Column:
-    """A price per token as text: fifteen decimals without trailing zeros."""
-    return F.regexp_replace(F.regexp_replace(F.format_string("%.15f", per_million / 1_000_000), "0+$", ""), r"\.$", "")
+    """A price per token in dollars as text: fifteen decimals without trailing zeros, one at least."""
+    short = F.regexp_replace(F.format_string("%.15f", per_million / 1_000_000), "0+$", "")
+    return F.concat(F.lit("$"), F.regexp_replace(short, r"\.$", ".0"))
 
 
 def redacted(text: Column, secrets: list[str]) -> Column:
