@@ -54,8 +54,11 @@ PASSAGES = f"""{SEGMENTS}, pas AS (SELECT lecture_id, id // 2 AS passage_id, min
 
 def trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events are a model-exchange log: types are event kinds, users are workflows, keys in props are windows."""
+    return trace_of(table(spark, sf_dir, "events"))
+
+
+def trace_of(rows: DataFrame) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for pair in TRACE_KINDS.items() for x in pair])
-    rows = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("long")
     return rows.select(
         F.col("event_id").alias("record_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).alias("at_ms"), F.floor(F.col("event_id") / 3).alias("exchange_id"), F.concat(F.lit("w"), (F.col("user_id") % 7).cast("string")).alias("workflow"),
