@@ -40,8 +40,8 @@ from pyspark.sql.types import ArrayType, LongType
 
 from rostrum.llm.common import WORD, checkpointed, documents, merged, text_buffers
 
-#: Counters of the frequency sketch and bits of the filter of wanted sets, as powers of two: 1 MB and 2 MB.
-SKETCH_BITS, FILTER_BITS = 18, 24
+#: Counters of the frequency sketch and bits of the filter of wanted sets, as powers of two: 8 MB and 2 MB.
+SKETCH_BITS, FILTER_BITS = 20, 24
 #: Bytes of text that are hashed at once; longer texts go alone.
 CHUNK = 1 << 20
 #: Rows of a block of an index list.
@@ -164,27 +164,30 @@ def frequency_sketch(texts: DataFrame, width: int) -> np.ndarray:
     return np.frombuffer(zlib.decompress(found), np.int64) if found else np.zeros(1 << SKETCH_BITS, np.int64)
 
 
-def signatures(df: DataFrame, width: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and ``keep``, n, k (identifies the set), k2 (more bits of it) and the prefix of each document."""
-    kept = ["doc_id", *keep]
-    order = df.sparkSession.sparkContext.broadcast(frequency_sketch(df.select("text"), width))
+def signatures(df: DataFrame, width: int, keep: tuple[str, ...] = (), prefixes: bool = False) -> DataFrame:
+    """``keep`` columns, n, k (identifies the set), k2 (more bits of it) and, if asked for, the prefix of each document."""
+    kept = list(keep)
+    order = df.sparkSession.sparkContext.broadcast(frequency_sketch(df.select("text"), width)) if prefixes else None
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = order.value
+        often = order.value if prefixes else None
         for batch in batches:
             for i, j, hashes, owner in _chunks(batch.column(len(kept)), width):
                 n = np.bincount(owner, minlength=j - i)
                 ends = np.cumsum(n)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes + np.uint64(_STEP)), dtype=np.uint64)])
                 more = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes ^ np.uint64(_BACK)), dtype=np.uint64)])
-                ranked = hashes[np.lexsort((hashes, often[_slot(hashes, SKETCH_BITS)], owner))]
-                length = np.where(n > 0, n + (-4 * n) // 5 + 1, 0)
-                place = np.arange(len(ranked)) - (ends - n)[owner]
-                prefix = ranked[place < length[owner]]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), _ids(prefix))
-                yield pa.record_batch([*(c.slice(i, j - i) for c in batch.columns[: len(kept)]), pa.array(n, pa.int64()), _ids(sums[ends] - sums[ends - n]), _ids(more[ends] - more[ends - n]), lists], names=[*kept, "n", "k", "k2", "prefix"])
-
-    schema = df.select(*kept).schema.add("n", "long").add("k", "long").add("k2", "long").add("prefix", ArrayType(LongType()))
+                out = [*(c.slice(i, j - i) for c in batch.columns[: len(kept)]), pa.array(n, pa.int64()), _ids(sums[ends] - sums[ends - n]), _ids(more[ends] - more[ends - n])]
+                if prefixes:
+                    ranked = hashes[np.lexsort((hashes, often[_slot(hashes, SKETCH_BITS)], owner))]
+                    length = np.where(n > 0, n + (-4 * n) // 5 + 1, 0)
+                    place = np.arange(len(ranked)) - (ends - n)[owner]
+                    out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), _ids(ranked[place < length[owner]])))
+                yield pa.record_batch(out, names=schema.names)
+
+    schema = df.select(*kept).schema.add("n", "long").add("k", "long").add("k2", "long")
+    if prefixes:
+        schema = schema.add("prefix", ArrayType(LongType()))
     return df.select(*kept, "text").mapInArrow(sign, schema)
 
 
@@ -319,6 +322,18 @@ def overlaps(pairs: DataFrame, df: DataFrame, classes: DataFrame, width: int) ->
     return both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("o"), F.size("x").cast("long").alias("na"), F.size("y").cast("long").alias("nb"))
 
 
+def plausible(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Pairs whose common prefix shingles, with all that lies beyond the longer rest, can reach the threshold.
+
+    Lists hold every prefix shingle that two sets share, so one set's rows there are all that can be common.
+    """
+    own = lists.groupBy("k").agg(F.first("n").alias("n"), F.collect_list("tok").alias("toks"))
+    left, right = own.select(F.col("k").alias("a"), F.col("n").alias("n"), F.col("toks").alias("x")), own.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("toks").alias("y"))
+    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    rest = F.ceil(F.greatest("n", "m") * 4 / 5) - 1
+    return both.filter(OVER * (F.size(F.array_intersect("x", "y")) + rest) >= UNDER * (F.col("n") + F.col("m"))).select("a", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """k, c: of every node of an edge the least node it is connected with. Edges (a, b), in any order."""
     state = None
@@ -342,14 +357,17 @@ def ngram_components(df: DataFrame, width: int = 5, keep: tuple[str, ...] = ())
 
     component is the component's own key, null for texts without words; ids alone may be null or repeat.
     """
-    rows = checkpointed(signatures(df.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text"), width, keep))
-    classes = checkpointed(rows.filter("n > 0").groupBy("n", "k", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("prefix").alias("prefix")))
-    index = classes.select("k", "n", F.posexplode("prefix").alias("at", "tok")).select("tok", "at", "n", "k")
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
+    rows = checkpointed(signatures(texts, width, ("doc_id", *keep)))
+    classes = checkpointed(rows.filter("n > 0").groupBy("n", "k", "k2").agg(F.min("doc_id").alias("doc_id")))
+    # prefixes are hashed in a pass of their own, so that they are never stored
+    prefixes = signatures(texts, width, prefixes=True).filter("n > 0").groupBy("n", "k", "k2").agg(F.first("prefix").alias("prefix"))
+    index = prefixes.select("k", "n", F.posexplode("prefix").alias("at", "tok")).select("tok", "at", "n", "k")
     lists = checkpointed(index.repartition("tok").sortWithinPartitions("tok", "at", "n", "k").mapInArrow(_starred, "tok long, at int, n long, k long, hub long, star boolean"))
 
     linked = (OVER * F.col("o")) >= UNDER * (F.col("na") + F.col("nb"))
     stars = lists.filter("star").select(F.col("k").alias("a"), F.col("hub").alias("b")).distinct()
-    answers = checkpointed(overlaps(stars, df, classes, width))
+    answers = checkpointed(overlaps(plausible(stars, lists), df, classes, width))
     links = answers.filter(linked).select("a", "b")
     first = components(links)
 
@@ -360,13 +378,13 @@ def ngram_components(df: DataFrame, width: int = 5, keep: tuple[str, ...] = ())
     left = left.select("tok", "at", "n", "k", "c", "hub", F.when(F.col("k") == F.col("hub"), F.col("n")).otherwise(F.coalesce("hub_n", F.lit(0))).alias("hub_n"), F.when(F.col("k") == F.col("hub"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))).alias("o"))
     crossed = checkpointed(left.repartition("tok").sortWithinPartitions("tok", "at", "n", "k").mapInArrow(_crossed, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")))
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    checked = overlaps(crossed.filter("not sure").join(done, ["a", "b"], "left_anti"), df, classes, width)
+    checked = overlaps(plausible(crossed.filter("not sure").join(done, ["a", "b"], "left_anti"), lists), df, classes, width)
     found = links.unionByName(crossed.filter("sure").select("a", "b")).unionByName(checked.filter(linked).select("a", "b"))
     labels = classes.select("k", "k2", "n", F.col("doc_id").alias("class_id")).join(components(found), "k", "left").withColumn("c", F.coalesce("c", "k"))
     labels = checkpointed(labels)
     names = labels.groupBy("c").agg(F.min("class_id").alias("component_id"))
     named = labels.join(names, "c").select("k", "k2", "n", "class_id", "component_id", "c")
-    out = rows.drop("prefix").join(named, ["k", "k2", "n"], "left")
+    out = rows.join(named, ["k", "k2", "n"], "left")
     return out.select("doc_id", *keep, F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("c").alias("component"))
 
 
