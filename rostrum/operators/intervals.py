@@ -66,7 +66,7 @@ def on_old_edges(passages: DataFrame, old: DataFrame) -> DataFrame:
 def assembled(passages: DataFrame, importance: DataFrame, novelty: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Passages with both scores, and the keys that one side lacks. The middle of slide_positions is the passage's slide."""
     key = ["lecture_id", "passage_id"]
-    whole = passages.join(importance, key).join(novelty, key).withColumn("slide_position", F.element_at("slide_positions", F.expr("size(slide_positions) div 2 + 1")))
+    whole = passages.join(importance, key).join(novelty, key).withColumn("slide_position", F.element_at("slide_positions", F.expr("cast(size(slide_positions) div 2 + 1 AS int)")))
     gaps = None
     for name, side in (("importance", importance), ("novelty", novelty)):
         lost = passages.join(side, key, "left_anti").select(*key, F.lit(f"{name}_missing").alias("error"))

@@ -149,7 +149,7 @@ def provenance(passages: DataFrame, spans: DataFrame) -> DataFrame:
     order = Window.partitionBy("lecture_id").orderBy("pos")
     size = F.when(F.col("kind") == "text", F.octet_length("text")).otherwise(0)
     placed = spans.withColumn("s_end", F.sum(size).over(order)).withColumn("s_start", F.col("s_end") - size).filter("kind = 'text'").select("lecture_id", "s_start", "s_end", "source_start", "source_end")
-    met = passages.join(placed, (passages["lecture_id"] == placed["lecture_id"]) & (F.col("byte_start") < F.col("s_end")) & (F.col("byte_end") > F.col("s_start"))).drop(placed["lecture_id"])
+    met = passages.join(placed, "lecture_id").filter((F.col("byte_start") < F.col("s_end")) & (F.col("byte_end") > F.col("s_start")))
     return met.groupBy("lecture_id", "passage_id").agg(F.min("source_start").alias("source_start"), F.max("source_end").alias("source_end"))
 
 
