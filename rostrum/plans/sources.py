@@ -168,9 +168,7 @@ def price_catalog(spark, sf_dir):
 @query("price_search", f"""WITH {CATALOG_SQL}, f AS (SELECT provider_name, model_id, model_name, regexp_replace(lower(provider_name), '[^a-z0-9]+', ' ', 'g') AS pn FROM cat), m AS (SELECT * FROM f WHERE contains(pn || ' ' || pn || ' ' || replace(model_id, '-', ' ') || ' ' || model_name, 'brand') AND contains(pn || ' ' || pn || ' ' || replace(model_id, '-', ' ') || ' ' || model_name, '7'))
 SELECT provider_name, model_id, place, total, CASE WHEN total > 20 THEN 20 END AS next_offset FROM (SELECT *, row_number() OVER (ORDER BY pn = 'brand 7' DESC, CAST(contains(replace(model_id, '-', ' '), '7') OR contains(model_name, '7') AS INTEGER) DESC, 1 + CAST(contains(pn, '7') AS INTEGER) DESC, provider_name, model_name, model_id) - 1 AS place, count(*) OVER () AS total FROM m) WHERE place < 20""")
 def price_search(spark, sf_dir):
-    """The first page of a search; the model's id is added to its name so that no tie is left open."""
-    own = catalog(spark, sf_dir).withColumn("shown", F.col("model_name")).withColumn("model_name", F.concat_ws(" ", "model_name", F.lpad(F.substring("model_id", 3, 9), 0, "0")))
-    return R.search_catalog(own, "Brand 7").select("provider_name", "model_id", F.col("place").cast("long").alias("place"), "total", F.col("next_offset").cast("long").alias("next_offset"))
+    return R.search_catalog(catalog(spark, sf_dir), "Brand 7").select("provider_name", "model_id", F.col("place").cast("long").alias("place"), "total", F.col("next_offset").cast("long").alias("next_offset"))
 
 
 @query("search_text_normalisation", "SELECT page_id, trim(regexp_replace(lower(url), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS words FROM pages")
