@@ -220,3 +220,22 @@ def restored_text(spark, sf_dir):
     return own.groupBy("lecture_id").agg(F.nullif(joined, F.lit("")).alias("text"))
 
 
+
+
+@query("redacted_chunks", f"WITH {TIMED} SELECT lecture_id AS stream, replace(string_agg(event_type, '' ORDER BY pos), 'kview', '[REDACTED]') AS text FROM tok GROUP BY 1")
+def redacted_chunks(spark, sf_dir):
+    """A user's events as chunks of one text, with a secret that spans two."""
+    from rostrum.functions.redaction import redacted_chunks
+
+    out = redacted_chunks(timed(spark, sf_dir).select(F.col("lecture_id").alias("stream"), "pos", F.col("event_type").alias("text")), "kview")
+    return out.groupBy("stream").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
+@query("retry_after", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 100) * 1000 WHEN event_id % 3 = 1 THEN 90000 END AS wait_ms FROM events")
+def retry_after(spark, sf_dir):
+    """Seconds, dates ninety seconds on, and values that are neither."""
+    from rostrum.functions.redaction import retry_after_ms
+
+    e, now = F.col("event_id"), F.date_trunc("second", F.col("ts").cast("timestamp"))
+    header = F.when(e % 3 == 0, (e % 100).cast("string")).when(e % 3 == 1, F.date_format(now + F.expr("INTERVAL 90 SECOND"), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).otherwise("soon")
+    return table(spark, sf_dir, "events").select("event_id", retry_after_ms(header, now).alias("wait_ms"))

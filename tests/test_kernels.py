@@ -144,3 +144,15 @@ def test_recognised_lines():
     assert pages.merge_lines(["ab"], ["a longer recognised line"]) == ["a longer recognised line"]
     assert pages.is_duplicate("thequickbrownf0x", own) and not pages.is_duplicate("zzzzzzzz", own)
     assert pages.merge_lines(own, ["new words in line", "new words in line"]) == [*own, "new words in line"]
+
+
+def test_secrets_across_chunks():
+    from rostrum.functions.redaction import Redactor
+
+    text = "xxsecsecretyysecretsec"
+    for size in range(1, 9):
+        own, out = Redactor("secret"), ""
+        for k in range(0, len(text), size):
+            out += own.feed(text[k : k + size], k + size >= len(text))
+        assert out == text.replace("secret", "[REDACTED]")
+    assert Redactor("").feed("a") == "a"
