@@ -21,43 +21,50 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import SPACES, WORD, checkpointed, documents
+from rostrum.llm.common import SPACES, checkpointed, documents
 
+#: Characters that separate words, in a class of a regular expression.
+BLANKS = r"\x20\x09-\x0D"
 #: Rows of the sample on which costs and rejections are measured.
 SAMPLE = 400
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+def _staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """Columns computed once: what follows refers to each more than once, so the optimizer doesn't fold them into lambdas."""
+    return df.withColumns(columns)
 
 
-def _windows(own: Column) -> Column:
-    """Hashes of the 3-word windows of a word array."""
-    n = F.greatest(F.size(own) - 2, F.lit(0))
-    two = F.zip_with(F.slice(own, 1, n), F.slice(own, 2, n), lambda a, b: F.xxhash64(a, b))
-    return F.zip_with(two, F.slice(own, 3, n), lambda a, b: F.xxhash64(a, b))
+def _with_repeats(df: DataFrame, text: Column) -> DataFrame:
+    """Adds __words and n_repeat_words.
 
-
-def _repeated(hashes: Column) -> Column:
-    """Words within windows whose hash occurs more than once; a word counts once."""
-    placed = F.sort_array(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), k.alias("at"))))
-    n = F.size(placed)
-    after = F.zip_with(F.slice(placed, 1, F.greatest(n - 1, F.lit(0))), F.slice(placed, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: a["h"] == b["h"])
-    marks = F.zip_with(F.concat(F.array(F.lit(False)), after), F.concat(after, F.array(F.lit(False))), lambda a, b: a | b)
-    spots = F.array_sort(F.transform(F.filter(F.zip_with(placed, marks, lambda p, m: F.struct(p["at"].alias("at"), m.alias("m"))), lambda x: x["m"]), lambda x: x["at"]))
-    folded = F.aggregate(spots, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("sum")), lambda a, x: F.struct(x.alias("last"), (a["sum"] + F.least(x - a["last"], F.lit(3))).alias("sum")))
-    return F.when(n > 1, folded["sum"]).otherwise(0)
+    Most texts repeat no window: their hashes are distinct, which a hash set tells. In the others
+    equal hashes meet by sorting, and the words that their windows cover are counted in one fold.
+    """
+    trimmed = F.trim(text, F.lit(SPACES))
+    df = _staged(df, __words=F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{BLANKS}]+")))
+    w, n = F.col("__words"), F.greatest(F.size("__words") - 2, F.lit(0))
+    df = _staged(df, __h=F.transform(F.arrays_zip(F.slice(w, 1, n), F.slice(w, 2, n), F.slice(w, 3, n)), lambda x: F.xxhash64(x)))
+    again = F.size(F.array_distinct("__h")) < F.size("__h")
+    df = _staged(df, __p=F.when(again, F.sort_array(F.transform("__h", lambda h, k: F.struct(h.alias("h"), k.alias("k"))))))
+    n = F.size("__p")
+    df = _staged(df, __same=F.zip_with(F.slice("__p", 1, n - 1), F.slice("__p", 2, n - 1), lambda a, b: a["h"] == b["h"]))
+    marks = F.zip_with(F.concat(F.array(F.lit(False)), "__same"), F.concat("__same", F.array(F.lit(False))), lambda a, b: a | b)
+    spots = F.sort_array(F.transform(F.filter(F.zip_with("__p", marks, lambda p, m: F.struct(p["k"].alias("k"), m.alias("m"))), lambda x: x["m"]), lambda x: x["k"]))
+    start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("sum"))
+    covered = F.aggregate(spots, start, lambda a, k: F.struct(k.alias("last"), (a["sum"] + F.least(k - a["last"], F.lit(3))).alias("sum")))
+    return df.withColumn("n_repeat_words", F.coalesce(covered["sum"], F.lit(0)).cast("long")).drop("__h", "__p", "__same")
 
 
 def base_columns(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; columns of these names are replaced."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, and __lines (a count) for the rules."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
-    out = df.withColumn("n_words", F.regexp_count(text, F.lit(WORD)).cast("long"))
-    out = out.withColumn("word_chars", F.char_length(F.translate(text, SPACES, "")).cast("long"))
-    out = out.withColumn("n_symbols", (F.char_length(text) - F.char_length(F.translate(text, "#*$%&|<>", ""))).cast("long"))
-    out = out.withColumn("n_dup_lines", (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
-    out = out.withColumn("n_repeat_words", _repeated(_windows(words(text))).cast("long"))
+    out = _with_repeats(df, text)
+    out = out.withColumn("n_words", F.size("__words").cast("long")).drop("__words")
+    out = out.withColumn("word_chars", F.char_length(F.regexp_replace(text, f"[{BLANKS}]+", "")).cast("long"))
+    out = out.withColumn("n_symbols", (F.char_length(text) - F.char_length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long"))
+    out = _staged(out, __split=F.split(text, "\n"))
+    out = _staged(out.withColumn("__lines", F.size("__split")), __full=F.filter("__split", lambda x: x.rlike(f"[^{BLANKS}]")))
+    out = out.withColumn("n_dup_lines", (F.size("__full") - F.size(F.array_distinct("__full"))).cast("long")).drop("__split", "__full")
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -65,15 +72,16 @@ def rules(text_col: str = "text") -> dict[str, Column]:
     """What each rule asks of a document that passed the base rules; true lets it pass."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     n = F.col("n_words")
+    without_letters = F.regexp_count(F.concat(F.lit(" "), text), F.lit(rf"(?<=[{BLANKS}])[^\p{{L}}{BLANKS}]++(?![^{BLANKS}])"))
     return {
         "mean_word_length": (F.col("word_chars") >= 2 * n) & (F.col("word_chars") <= 14 * n),
         "symbols_per_word": 10 * F.col("n_symbols") <= n,
-        "duplicate_lines": 10 * F.col("n_dup_lines") <= 3 * (F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1),
-        "capitals": 2 * F.regexp_count(text, F.lit("[A-Z]")) <= F.col("word_chars"),
-        "words_with_letters": 10 * F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*")) >= 6 * n,
-        "shouting": 10 * F.regexp_count(text, F.lit("!!")) <= 2 * n,
-        "bullet_lines": 10 * F.regexp_count(text, F.lit(r"(?m)^[-*•]")) <= 9 * F.regexp_count(text, F.lit(r"(?m)^")),
-        "ellipsis_lines": 10 * F.regexp_count(text, F.lit(r"(?:\.\.\.|…)\n")) <= 3 * (F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1),
+        "duplicate_lines": 10 * F.col("n_dup_lines") <= 3 * F.col("__lines"),
+        "capitals": 2 * (F.char_length(text) - F.char_length(F.regexp_replace(text, "[A-Z]+", ""))) <= F.col("word_chars"),
+        "words_with_letters": 10 * (n - without_letters) >= 6 * n,
+        "shouting": 5 * (F.char_length(text) - F.char_length(F.replace(text, F.lit("!!"), F.lit("")))) <= 2 * n,
+        "bullet_lines": 10 * F.regexp_count(text, F.lit(r"(?:^|\n)[-*•]")) <= 9 * F.col("__lines"),
+        "ellipsis_lines": 10 * F.regexp_count(text, F.lit(r"(?:\.\.\.|…)\n")) <= 3 * F.col("__lines"),
     }
 
 
@@ -98,7 +106,7 @@ def apply_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
     verdict = F.when(F.col("base_failed"), False)
     for name in cascade_order(measured, own):
         verdict = verdict.when(~own[name], False)
-    return measured.withColumn("kept", verdict.otherwise(True))
+    return measured.withColumn("kept", verdict.otherwise(True)).drop("__lines")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +121,7 @@ c AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM g),
 p AS (SELECT r, count(DISTINCT j) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY r),
 l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 b AS (
-  SELECT doc_id, text, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  SELECT doc_id, text, ws, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
   FROM d JOIN w USING (r) JOIN l USING (r) LEFT JOIN p USING (r)),
@@ -121,7 +129,7 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 14 * n_words AND 10 * n_symbols <= n_words AND 10 * n_dup_lines <= 3 * n_lines
   AND 2 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) <= word_chars
-  AND 10 * len(regexp_extract_all(text, '[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*')) >= 6 * n_words
+  AND 10 * len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) >= 6 * n_words
   AND 10 * len(regexp_extract_all(text, '!!')) <= 2 * n_words
   AND 10 * len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[-*\x{2022}]'))) <= 9 * len(string_split(text, chr(10)))
   AND 10 * len(regexp_extract_all(text, '(?:\.\.\.|\x{2026})\n')) <= 3 * n_lines AS kept
