@@ -123,7 +123,7 @@ def codec(path: str) -> Codec:
 
 
 def _rows(column: pa.Array) -> Iterator[list[bytes]]:
-    """The texts of a column as bytes, a few MB at a time."""
+    """The texts of a column as bytes, about one MB at a time."""
     raw, offsets = text_buffers(column)
     data, ends = raw.tobytes(), offsets.tolist()
     own: list[bytes] = []
@@ -131,7 +131,7 @@ def _rows(column: pa.Array) -> Iterator[list[bytes]]:
     for i, j in zip(ends, ends[1:], strict=False):
         own.append(data[i:j])
         held += j - i
-        if held > 4_000_000:
+        if held > 1_000_000:
             yield own
             own, held = [], 0
     yield own
@@ -141,8 +141,8 @@ def _ids(joined: bytes) -> list[int]:
     return list(map(int, joined.split(b","))) if joined else []
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
-    """``keep`` columns and ids array<int>; with digest, instead the counts and digests of both directions."""
+def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), digest: bool = False, decoded: bool = False) -> DataFrame:
+    """``keep`` columns and ids array<int>; with decoded, also the text that they decode to, by the same worker; with digest, instead counts and digests of both directions."""
     width = len(keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,12 +157,14 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ..
                     back = [hashlib.sha256(own.decode(x).encode()).hexdigest() for x in joined]
                     more = [pa.array([x.count(b",") + 1 if x else 0 for x in joined], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in joined]), pa.array(back)]
                 else:
-                    more = [pa.array([_ids(x) for x in joined], pa.list_(pa.int32()))]
+                    more = [pa.array([_ids(x) for x in joined], pa.list_(pa.int32()))] + ([pa.array([own.decode(x) for x in joined], pa.string())] if decoded else [])
                 if raws:
                     yield pa.record_batch([*kept, *more], names=names)
 
     schema = df.select(*keep).schema
     schema = schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string") if digest else schema.add("ids", ArrayType(IntegerType()))
+    if decoded and not digest:
+        schema = schema.add("decoded", "string")
     names = schema.names
     return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
@@ -174,8 +176,10 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...]
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            back = [b"".join(map(own.by_id.__getitem__, ids or ())).decode("utf-8", "replace") for ids in batch.column(width).to_pylist()]
-            yield pa.record_batch([*batch.columns[:width], pa.array(back, pa.string())], names=[*keep, "decoded"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                back = [b"".join(map(own.by_id.__getitem__, ids or ())).decode("utf-8", "replace") for ids in part.column(width).to_pylist()]
+                yield pa.record_batch([*part.columns[:width], pa.array(back, pa.string())], names=[*keep, "decoded"])
 
     return df.select(*keep, F.col(ids_col).alias("__ids")).mapInArrow(run, df.select(*keep).schema.add("decoded", "string"))
 
