@@ -46,9 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     own = ("doc_id", "lang", "source", "n_chars")
-    encoded = bpe.encode(docs, path, keep=own)
-    decoded = bpe.decode(encoded, path, keep=(*own, "ids"))
-    return decoded.select(*own, F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
+    return bpe.encode(docs, path, keep=own, decoded=True).select(*own, F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").alias("text"))
 
 
 STAGES = [("quality_classifier", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("mix_sources", mix), ("bpe_codec", tokens)]
