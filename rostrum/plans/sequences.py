@@ -15,13 +15,13 @@ from rostrum.plans.registry import query, table
 from rostrum.plans.standins import PASSAGES, SEGMENTS, TIMED, passages, segments, timed
 from rostrum.plans.windows import ATOMS_SQL, atomize_text
 
-#: Orders give score rows: a customer is a lecture, blocks of eight orders are passages, places in a block are slides.
-SCORES_SQL = "sco AS (SELECT (o_orderkey // 80) AS lecture_id, (o_orderkey // 8) % 10 AS query_id, o_orderkey % 8 AS slide_id, o_totalprice AS score FROM orders)"
+#: Orders give score rows: a customer is a lecture, blocks of ten orders are passages, places in a block are slides.
+SCORES_SQL = "sco AS (SELECT (o_orderkey // 100) AS lecture_id, (o_orderkey // 10) % 10 AS query_id, o_orderkey % 10 AS slide_id, o_totalprice AS score FROM orders)"
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = F.col("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select(F.floor(o / 80).alias("lecture_id"), (F.floor(o / 8) % 10).alias("query_id"), (o % 8).alias("slide_id"), F.col("o_totalprice").alias("score"))
+    rows = table(spark, sf_dir, "orders").select(F.floor(o / 100).alias("lecture_id"), (F.floor(o / 10) % 10).alias("query_id"), (o % 10).alias("slide_id"), F.col("o_totalprice").alias("score"))
     return rows
 
 
