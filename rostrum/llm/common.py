@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
@@ -41,6 +42,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files of finished phases now: it acts when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """Hinted for broadcast if it has at most so many rows, else left to a shuffle join. For tables that are cheap to count."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a document is kept from training: crc32 of the id as text, mod 4, is 2. False for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -55,7 +67,7 @@ def partitions(df: DataFrame) -> int:
     return df._jdf.queryExecution().toRdd().getNumPartitions()
 
 
-def merged(df: DataFrame, merge: Callable[[Iterator[bytes]], bytes], fan: int = 64) -> bytes | None:
+def merged(df: DataFrame, merge: Callable[[Iterator[bytes]], bytes], fan: int = 16) -> bytes | None:
     """Merge one bounded binary summary per partition through a tree of tasks; the driver gets at most ``fan`` of them.
 
     ``df`` has one binary column named ``summary``.

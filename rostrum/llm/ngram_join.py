@@ -34,16 +34,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from rostrum.llm.common import WORD, checkpointed, documents, merged, text_buffers
+from rostrum.llm.common import WORD, checkpointed, documents, merged, release, small, text_buffers
 
 #: Counters of the frequency sketch and bits of the filter of wanted sets, as powers of two: 8 MB and 2 MB.
 SKETCH_BITS, FILTER_BITS = 20, 24
 #: Bytes of text that are hashed at once; longer texts go alone.
 CHUNK = 1 << 20
+#: Linked sets and answers (40 bytes a row) up to which they are broadcast to the lists; beyond, a shuffle joins them.
+BROADCAST_ROWS = 1_000_000
 #: Rows of a block of an index list.
 BLOCK = 256
 #: A link needs 9 * overlap >= 4 * (sum of sizes), which is a Jaccard similarity of 0.8.
@@ -327,7 +329,9 @@ def plausible(pairs: DataFrame, lists: DataFrame) -> DataFrame:
 
     Lists hold every prefix shingle that two sets share, so one set's rows there are all that can be common.
     """
-    own = lists.groupBy("k").agg(F.first("n").alias("n"), F.collect_list("tok").alias("toks"))
+    pairs = checkpointed(pairs.select("a", "b"))
+    met = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+    own = lists.join(small(met, BROADCAST_ROWS), "k", "left_semi").groupBy("k").agg(F.first("n").alias("n"), F.collect_list("tok").alias("toks"))
     left, right = own.select(F.col("k").alias("a"), F.col("n").alias("n"), F.col("toks").alias("x")), own.select(F.col("k").alias("b"), F.col("n").alias("m"), F.col("toks").alias("y"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b")
     rest = F.ceil(F.greatest("n", "m") * 4 / 5) - 1
@@ -365,18 +369,25 @@ def ngram_components(df: DataFrame, width: int = 5, keep: tuple[str, ...] = ())
     index = prefixes.select("k", "n", F.posexplode("prefix").alias("at", "tok")).select("tok", "at", "n", "k")
     lists = checkpointed(index.repartition("tok").sortWithinPartitions("tok", "at", "n", "k").mapInArrow(_starred, "tok long, at int, n long, k long, hub long, star boolean"))
 
+    del prefixes, index
+    release(df.sparkSession)
+
     linked = (OVER * F.col("o")) >= UNDER * (F.col("na") + F.col("nb"))
     stars = lists.filter("star").select(F.col("k").alias("a"), F.col("hub").alias("b")).distinct()
     answers = checkpointed(overlaps(plausible(stars, lists), df, classes, width))
+    release(df.sparkSession)
     links = answers.filter(linked).select("a", "b")
     first = components(links)
 
-    labelled = lists.drop("star").join(first, "k", "left").withColumn("c", F.coalesce("c", "k"))
     known = answers.select(F.col("a").alias("k"), F.col("b").alias("hub"), F.col("nb").alias("hub_n"), "o")
-    open_ = labelled.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("tok")
-    left = labelled.join(open_, "tok").join(known, ["k", "hub"], "left")
-    left = left.select("tok", "at", "n", "k", "c", "hub", F.when(F.col("k") == F.col("hub"), F.col("n")).otherwise(F.coalesce("hub_n", F.lit(0))).alias("hub_n"), F.when(F.col("k") == F.col("hub"), F.col("n")).otherwise(F.coalesce("o", F.lit(-1))).alias("o"))
-    crossed = checkpointed(left.repartition("tok").sortWithinPartitions("tok", "at", "n", "k").mapInArrow(_crossed, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    labelled = lists.drop("star").join(small(first, BROADCAST_ROWS), "k", "left").withColumn("c", F.coalesce("c", "k")).join(small(known, BROADCAST_ROWS), ["k", "hub"], "left")
+    own = F.col("k") == F.col("hub")
+    left = labelled.select("tok", "at", "n", "k", "c", "hub", F.when(own, F.col("n")).otherwise(F.coalesce("hub_n", F.lit(0))).alias("hub_n"), F.when(own, F.col("n")).otherwise(F.coalesce("o", F.lit(-1))).alias("o"))
+    # one exchange: lists of one component fall out behind a window over the same partitioning, which spills where a list is long
+    same = Window.partitionBy("tok")
+    left = left.repartition("tok").withColumn("lo", F.min("c").over(same)).withColumn("hi", F.max("c").over(same)).filter("lo <> hi").drop("lo", "hi")
+    crossed = checkpointed(left.sortWithinPartitions("tok", "at", "n", "k").mapInArrow(_crossed, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")))
+    release(df.sparkSession)
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     checked = overlaps(plausible(crossed.filter("not sure").join(done, ["a", "b"], "left_anti"), lists), df, classes, width)
     found = links.unionByName(crossed.filter("sure").select("a", "b")).unionByName(checked.filter(linked).select("a", "b"))
