@@ -95,7 +95,11 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> str:
     import zstandard
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    sample = rows.filter(F.octet_length("html") <= SAMPLE_WIDTH).orderBy(F.xxhash64("page_id", "html")).limit(SAMPLE).collect()
+    # hashes are picked first, so that no partition sends a sample's worth of pages to the driver
+    key = F.xxhash64("page_id", "html")
+    short = rows.filter(F.octet_length("html") <= SAMPLE_WIDTH)
+    picked = [r[0] for r in short.select(key.alias("h")).orderBy("h").limit(SAMPLE).collect()]
+    sample = sorted(short.filter(key.isin(picked)).limit(SAMPLE).collect(), key=str)
     trained = _dictionary([record(r.page_id, r.url, r.html, hashlib.sha1((r.html or "").encode()).hexdigest(), None, False) for r in sample])
 
     def archive(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
