@@ -142,7 +142,13 @@ def train(bodies: list[bytes], langs: list[str], steps: int = STEPS, seed: int =
 def fit(df: DataFrame, max_train: int = MAX_TRAIN) -> Network | None:
     """Learns from text and non-null lang of documents that may be learned from."""
     rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & trainable(F.col("doc_id")))
-    picked = rows.select("doc_id", "lang", F.substring("text", 1, TRAIN_BYTES).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_train).collect()
+    # hashes are picked first, so that no partition sends a sample's worth of texts to the driver
+    key = F.xxhash64("doc_id")
+    hashes = [r[0] for r in rows.select(key.alias("h")).orderBy("h").limit(max_train).collect()]
+    if not hashes:
+        return None
+    part = rows.filter(key <= max(hashes)).select(key.alias("h"), "lang", F.substring("text", 1, TRAIN_BYTES).alias("text"))
+    picked = sorted(part.limit(max_train).collect(), key=lambda r: (r.h, r.lang, r.text))
     return train([r.text.encode() for r in picked], [r.lang for r in picked])
 
 
