@@ -2,8 +2,8 @@
 
 Every whole text gives a short vector of statistics. Random Fourier features
 approximate a Gaussian kernel over the standardised vectors. Each partition of
-the training rows sums its normal equations, by fold; the driver adds the few
-partial sums, solves the ridge system on all folds, and on all folds but one for
+the training rows sums its normal equations, by fold; the sums are added in a
+tree of tasks; the driver adds the last few, solves the ridge system on all folds, and on all folds but one for
 scores out of fold. Those scores, counted in bins, give a monotone calibration
 by pooling adjacent violators.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from rostrum.llm.common import checkpointed, documents, texts, trainable
+from rostrum.llm.common import checkpointed, documents, merged, texts, trainable
 
 #: Labelled documents that the fit uses at most; 16 bytes each are broadcast.
 MAX_TRAIN = 20_000
@@ -103,11 +103,18 @@ def _fold_sums(model: Model) -> callable:
                 own = z[fold == k]
                 gram[k] += own.T @ own
                 right[k] += own.T @ y[fold == k]
-        yield pa.record_batch([pa.array([gram.tobytes()]), pa.array([right.tobytes()])], names=["gram", "target"])
+        yield pa.record_batch([pa.array([np.concatenate([gram.ravel(), right.ravel()]).tobytes()], pa.binary())], names=["summary"])
 
     return run
 
 
+def _added(parts: Iterator[bytes]) -> bytes:
+    total = np.zeros(FOLDS * (FEATURES + 1) * (FEATURES + 2))
+    for part in parts:
+        total += np.frombuffer(part)
+    return total.tobytes()
+
+
 def _solved(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
     n = max(gram[-1, -1], 1)
     penalty = np.full(len(right), RIDGE * n)
@@ -141,10 +148,9 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", max_train: int
         return model
     model.mean, model.scale = np.array(moments[2::2], float), np.maximum(np.array(moments[3::2], float), 1e-6)
 
-    sums = rows.select("x", "y", "fold").mapInArrow(_fold_sums(model), "gram binary, target binary").collect()
     side = FEATURES + 1
-    gram = sum(np.frombuffer(r.gram).reshape(FOLDS, side, side) for r in sums)
-    right = sum(np.frombuffer(r.target).reshape(FOLDS, side) for r in sums)
+    sums = np.frombuffer(merged(rows.select("x", "y", "fold").mapInArrow(_fold_sums(model), "summary binary"), _added, fan=8))
+    gram, right = sums[: FOLDS * side * side].reshape(FOLDS, side, side), sums[FOLDS * side * side :].reshape(FOLDS, side)
     held = np.stack([_solved(gram.sum(0) - gram[k], right.sum(0) - right[k]) for k in range(FOLDS)])
 
     def binned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
