@@ -18,7 +18,12 @@ same set form one class; classes are joined, and copies never expand into pairs.
    sides, and often decide it without reading either set.
 4. Links found make components, by alternating large-star and small-star steps.
 
-No link between different sets is lost: a pair at the threshold passes every
+Where only components are asked for (``ngram_components``), step 3 leaves out pairs
+that are connected already, so only a connecting subset of the links is found.
+``ngram_links`` and ``ngram_joined`` compare all pairs there: every link is found,
+at a cost quadratic in the sets of a group of near copies.
+
+No link between different sets is lost then: a pair at the threshold passes every
 filter in the list of its first common shingle. A list is streamed in step 2 and
 held only in step 3, and only if its members aren't linked yet.
 
@@ -356,11 +361,8 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("k"), F.col("b").alias("c")).unionByName(edges.select(F.col("b").alias("k"), F.col("b").alias("c")).distinct())
 
 
-def ngram_components(df: DataFrame, width: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Of every row of ``df`` (doc_id, text): doc_id and ``keep``, n_shingles, class_id, component_id and component.
-
-    component is the component's own key, null for texts without words; ids alone may be null or repeat.
-    """
+def _joined(df: DataFrame, width: int, keep: tuple[str, ...], every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their set's n, k, k2; classes; links (a, b) of classes, a < b: every one, or as many as make the components."""
     texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, "text")
     rows = checkpointed(signatures(texts, width, ("doc_id", *keep)))
     classes = checkpointed(rows.filter("n > 0").groupBy("n", "k", "k2").agg(F.min("doc_id").alias("doc_id")))
@@ -377,7 +379,8 @@ def ngram_components(df: DataFrame, width: int = 5, keep: tuple[str, ...] = ())
     answers = checkpointed(overlaps(plausible(stars, lists), df, classes, width))
     release(df.sparkSession)
     links = answers.filter(linked).select("a", "b")
-    first = components(links)
+    # where every link counts, no set is linked yet: each stands for itself in step 3
+    first = classes.limit(0).select("k", F.col("k").alias("c")) if every else components(links)
 
     known = answers.select(F.col("a").alias("k"), F.col("b").alias("hub"), F.col("nb").alias("hub_n"), "o")
     labelled = lists.drop("star").join(small(first, BROADCAST_ROWS), "k", "left").withColumn("c", F.coalesce("c", "k")).join(small(known, BROADCAST_ROWS), ["k", "hub"], "left")
@@ -391,12 +394,44 @@ def ngram_components(df: DataFrame, width: int = 5, keep: tuple[str, ...] = ())
     done = answers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     checked = overlaps(plausible(crossed.filter("not sure").join(done, ["a", "b"], "left_anti"), lists), df, classes, width)
     found = links.unionByName(crossed.filter("sure").select("a", "b")).unionByName(checked.filter(linked).select("a", "b"))
+    return rows, classes, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _named(rows: DataFrame, classes: DataFrame, found: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     labels = classes.select("k", "k2", "n", F.col("doc_id").alias("class_id")).join(components(found), "k", "left").withColumn("c", F.coalesce("c", "k"))
     labels = checkpointed(labels)
     names = labels.groupBy("c").agg(F.min("class_id").alias("component_id"))
     named = labels.join(names, "c").select("k", "k2", "n", "class_id", "component_id", "c")
     out = rows.join(named, ["k", "k2", "n"], "left")
-    return out.select("doc_id", *keep, F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("c").alias("component"))
+    return out.select("doc_id", *keep, "n", "k", "k2", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("c").alias("component"))
+
+
+def ngram_components(df: DataFrame, width: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Of every row of ``df`` (doc_id, text): doc_id and ``keep``, n_shingles, class_id, component_id and component.
+
+    component is the component's own key, null for texts without words; ids alone may be null or repeat.
+    """
+    return _named(*_joined(df, width, keep, False), keep).drop("n", "k", "k2")
+
+
+def ngram_links(df: DataFrame, width: int = 5) -> DataFrame:
+    """a, b (keys of sets, a < b) and a_class, b_class (their least ids): every link between different sets."""
+    _, classes, found = _joined(df, width, (), True)
+    named = classes.groupBy("k").agg(F.min("doc_id").alias("id"))
+    left, right = named.select(F.col("k").alias("a"), F.col("id").alias("a_class")), named.select(F.col("k").alias("b"), F.col("id").alias("b_class"))
+    return found.join(left, "a").join(right, "b").select("a", "b", "a_class", "b_class")
+
+
+def ngram_joined(df: DataFrame, width: int = 5) -> DataFrame:
+    """The columns of ngram_components and n_links: how many other rows are linked with a row, those of its own set among them."""
+    rows, classes, found = _joined(df, width, (), True)
+    found = checkpointed(found)
+    many = rows.filter("n > 0").groupBy("k").agg(F.count("*").alias("many"))
+    ways = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ways.join(many.withColumnRenamed("k", "b"), "b").groupBy(F.col("a").alias("k")).agg(F.sum("many").alias("near"))
+    counts = many.join(near, "k", "left").select("k", (F.col("many") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    out = _named(rows, classes, found, ()).join(counts, "k", "left").withColumn("n_links", F.when(F.col("n") > 0, F.col("n_links")).otherwise(0))
+    return out.select("doc_id", "n_shingles", "class_id", "component_id", "component", "n_links")
 
 
 def one_of_each(df: DataFrame, width: int = 5) -> DataFrame:
@@ -414,4 +449,4 @@ def one_of_each(df: DataFrame, width: int = 5) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(documents(spark, sf_dir)).drop("component")
+    return ngram_joined(documents(spark, sf_dir)).drop("component")

@@ -96,6 +96,26 @@ def test_jaccard_links_a_star_whose_leaves_are_unlike(spark):
     assert {r.doc_id: r.component_id for r in got} == want
 
 
+def test_jaccard_finds_every_link(spark, corpus):
+    rng = random.Random(4)
+    words, near = prose(rng, 200).split(), []
+    for k in range(300, 340):
+        own = list(words)
+        for _ in range(rng.randrange(1, 5)):
+            own[rng.randrange(200)] = f"new{k}"
+        near.append((k, " ".join(own), "s1"))
+    rows = corpus + near
+    sets = [sets_of(t) for _, t, _ in rows]
+    linked = lambda x, y: bool(x and y) and 9 * len(x & y) >= 4 * (len(x) + len(y))
+    want = Counter((k, sum(linked(x, y) for y in sets) - bool(x)) for (k, _, _), x in zip(rows, sets, strict=True))
+    got = ngram_join.ngram_joined(table(spark, rows))
+    assert Counter(map(tuple, got.select("doc_id", "n_links").collect())) == want
+    assert Counter(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == Counter(components(rows))
+    different = list(set(sets))
+    pairs = ngram_join.ngram_links(table(spark, rows)).select("a", "b").collect()
+    assert len(set(pairs)) == len(pairs) == sum(linked(x, y) for i, x in enumerate(different) for y in different[:i])
+
+
 def test_shingle_hashes_ignore_chunks_and_neighbours():
     texts = [b"", b"A b c d e f", b"x", b"a B c d e f  ", "é ü a b c d".encode(), b"one two three four"]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
