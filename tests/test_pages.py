@@ -32,3 +32,11 @@ def test_warnings_see_whole_pages(spark, folder):
     assert got == {(5, False, "\u25a1\ufffd"), (7, False, "\u25a1")}
     assert {r.place for r in QUERIES["import_warning_rollup"](spark, path).collect()} == {6, 8}
     assert {6} <= {r.page for r in QUERIES["recognition_plan"](spark, path).collect()}
+
+
+def test_every_repeated_footer_is_given(spark, tmp_path):
+    texts = ["one\nThe same last  line", "two\nThe same last line", "three\nThe same last line", "four\nanother"]
+    rows = [(200 + k, t, "long deck") for k, t in enumerate(texts)] + [(300 + k, f"page {k}\nlast x{k}y", "no footer") for k in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.deck, r.footer, r.n, r.pages) for r in QUERIES["footer_majority"](spark, str(tmp_path)).collect()]
+    assert got == [("long deck", "The same last line", 3, 4)]
