@@ -9,7 +9,7 @@ from rostrum.operators import evaluation as E
 from rostrum.operators import trace as T
 from rostrum.plans.ranking import COUNTS_SQL, DECIDED_SQL, MEMBERS_SQL, decisions, members
 from rostrum.plans.registry import query, table
-from rostrum.plans.standins import PASSAGES, SEGMENTS, TRACE, passages, segments, trace
+from rostrum.plans.standins import LIMITS, PASSAGES, SEGMENTS, TRACE, passages, segments, trace
 
 
 @query("trace_event_counts", f"WITH {TRACE} SELECT workflow, event, count(*) AS n, count(DISTINCT CASE WHEN repair_turn > 0 THEN window_index * 10 + repair_turn END) AS repair_turns, count(*) FILTER (event = 'request' AND provider_attempt > 0 AND NOT hedge) AS retries FROM tra GROUP BY ALL")
@@ -72,7 +72,7 @@ def history_replay(spark, sf_dir):
 @query("adaptive_admission")
 def adaptive_admission(spark, sf_dir):
     """Caps replayed over the log; the tests compare the kernel with hand-made sequences and with its streaming form."""
-    return T.admission(trace(spark, sf_dir))
+    return T.admission(trace(spark, sf_dir), limits=LIMITS)
 
 
 @query("annotation_quality", f"WITH {PASSAGES}, q AS (SELECT novelty % 3 AS changed, chars AS compared, importance = 5 AS rejected FROM pas) SELECT count(*) AS windows, count(*) FILTER (NOT rejected AND changed = 0) AS exact, count(*) FILTER (NOT rejected AND changed > 0) AS fuzzy, count(*) FILTER (rejected) AS rejected, round(count(*) FILTER (NOT rejected AND changed = 0) * 100.0 / count(*), 6) AS exact_percent, round(count(*) FILTER (NOT rejected AND changed > 0) * 100.0 / count(*), 6) AS fuzzy_percent, round(count(*) FILTER (rejected) * 100.0 / count(*), 6) AS rejected_percent, CAST(sum(changed) AS BIGINT) AS changed, CAST(sum(compared) AS BIGINT) AS compared FROM q")

@@ -67,6 +67,9 @@ def trace_of(rows: DataFrame) -> DataFrame:
     )
 
 
+#: The categories that stand for rate limits.
+LIMITS = ("c0",)
+
 TRACE_KINDS = {"view": "request", "click": "attempt", "purchase": "completion", "signup": "validation", "error": "failure"}
 
 TRACE = """tra AS (SELECT event_id AS record_id, epoch_us(ts) // 1000 AS at_ms, event_id // 3 AS exchange_id, 'w' || (user_id % 7) AS workflow, k % 12 AS window_index, k % 3 AS repair_turn, k % 4 AS provider_attempt, k % 5 = 0 AS hedge,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rostrum.plans.analytics import USAGE_SQL
 from rostrum.plans.registry import query, table
-from rostrum.plans.standins import TRACE, trace_of
+from rostrum.plans.standins import LIMITS, TRACE, trace_of
 from rostrum.streaming import logs as L
 
 
@@ -46,7 +46,7 @@ def stream_active_requests(spark, sf_dir):
 @query("stream_admission")
 def stream_admission(spark, sf_dir):
     """Equals adaptive_admission row by row; a test compares them."""
-    return run(L.admission(replay(spark, sf_dir)), "append")
+    return run(L.admission(replay(spark, sf_dir), limits=LIMITS), "append")
 
 
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

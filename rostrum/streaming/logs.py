@@ -54,20 +54,20 @@ def active_requests(records: DataFrame) -> DataFrame:
     return rows.groupBy("workflow").applyInPandasWithState(step, "workflow string, active long", "opened array<bigint>, ended array<bigint>", "update", GroupStateTimeout.NoTimeout)
 
 
-def admission(records: DataFrame, start: int = 2, largest: int = 8) -> DataFrame:
+def admission(records: DataFrame, start: int = 2, largest: int = 8, limits: tuple[str, ...] = (T.RATE_LIMITED,)) -> DataFrame:
     """workflow, record_id, cap after every completion or failure; for the append mode. Records of a batch are put in order of time."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         own = tuple(state.get) if state.exists else (start, 0, 0)
         rows = pd.concat(list(batches)).sort_values(["at_ms", "record_id"])
         caps = []
-        for event, at in zip(rows.event, rows.at_ms, strict=True):
-            own = T.admission_step(own, event, int(at), largest)
+        for event, at, category in zip(rows.event, rows.at_ms, rows.category, strict=True):
+            own = T.admission_step(own, event, int(at), largest, category in limits)
             caps.append(own[0])
         state.update(own)
         yield pd.DataFrame({"workflow": rows.workflow, "record_id": rows.record_id, "cap": caps})
 
-    rows = records.filter("event IN ('completion', 'failure')").select("workflow", "record_id", "at_ms", "event")
+    rows = records.filter("event IN ('completion', 'failure')").select("workflow", "record_id", "at_ms", "event", "category")
     return rows.groupBy("workflow").applyInPandasWithState(step, "workflow string, record_id long, cap long", "cap long, good long, grown long", "append", GroupStateTimeout.NoTimeout)
 
 
