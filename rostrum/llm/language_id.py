@@ -6,8 +6,8 @@ position with a language distribution, and the mean over all positions of a
 text (not of its windows) is the document's. Padding is masked out.
 
 The network is trained in numpy by backpropagation through time, on windows of
-at most ``max_train`` documents, those with the least hash of their id, drawn
-anew each step so that languages come equally often. Gates are the piecewise
+at most ``max_train`` documents, of each language those with the least hash of
+their id (one at least), from pieces over the whole of long texts, drawn anew each step so that languages come equally often. Gates are the piecewise
 linear sigmoid, so that a step is cheap; the batch is over windows, so that a
 step serves thousands of positions at once.
 
@@ -22,13 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rostrum.llm.common import documents, text_buffers, trainable
 
-#: Documents that training uses at most, and bytes of each that the driver holds at most.
-MAX_TRAIN, TRAIN_BYTES = 2_000, 4_096
+#: Documents that training uses at most, and characters of each that the driver holds at most, in so many pieces.
+MAX_TRAIN, TRAIN_BYTES, PIECES = 2_000, 4_096, 16
 HIDDEN, WINDOW, BATCH, STEPS, RATE, SEED = 8, 64, 192, 260, 0.02, 5
 #: Windows that go through the network at once.
 LANES = 4_096
@@ -139,17 +139,29 @@ def train(bodies: list[bytes], langs: list[str], steps: int = STEPS, seed: int =
     return net
 
 
+def sample(df: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """h, lang, text: of each language the documents with the least hashes of their ids, an equal number, one at least.
+
+    Of a text longer than TRAIN_BYTES characters, PIECES pieces that lie evenly from its start to its end.
+    """
+    rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & trainable(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
+    # hashes are picked first, so that no texts but those of the sample are sorted
+    many = max(max_train // max(rows.select("lang").distinct().count(), 1), 1)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    most = rows.select("lang", "h").withColumn("place", place).filter(F.col("place") <= many).groupBy("lang").agg(F.max("h").alias("most"))
+    own = rows.join(F.broadcast(most), "lang").filter("h <= most")
+    size = TRAIN_BYTES // PIECES
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substring("text", F.lit(1) + F.floor((F.length("text") - size) * k / (PIECES - 1)).cast("int"), F.lit(size)))
+    text = F.when(F.length("text") <= TRAIN_BYTES, F.col("text")).otherwise(F.array_join(parts, " "))
+    # ids may repeat
+    again = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    return own.select("h", "lang", text.alias("text")).withColumn("place", again).filter(F.col("place") <= many).drop("place")
+
+
 def fit(df: DataFrame, max_train: int = MAX_TRAIN) -> Network | None:
     """Learns from text and non-null lang of documents that may be learned from."""
-    rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & trainable(F.col("doc_id")))
-    # hashes are picked first, so that no partition sends a sample's worth of texts to the driver
-    key = F.xxhash64("doc_id")
-    hashes = [r[0] for r in rows.select(key.alias("h")).orderBy("h").limit(max_train).collect()]
-    if not hashes:
-        return None
-    part = rows.filter(key <= max(hashes)).select(key.alias("h"), "lang", F.substring("text", 1, TRAIN_BYTES).alias("text"))
-    picked = sorted(part.limit(max_train).collect(), key=lambda r: (r.h, r.lang, r.text))
-    return train([r.text.encode() for r in picked], [r.lang for r in picked])
+    picked = sorted(sample(df, max_train).collect(), key=lambda r: (r.h, r.lang, r.text))
+    return train([r.text.encode() for r in picked], [r.lang for r in picked]) if picked else None
 
 
 def pooled(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -304,6 +304,14 @@ def test_warc_frames_open_with_the_dictionary(spark, tmp_path):
     assert warc.frame_end(f := zstandard.ZstdCompressor().compress(b"abc" * 90_000), 0) == len(f)
 
 
+def test_language_sample_has_rare_languages_and_ends_of_texts(spark):
+    rows = [(k, "plain words " * 2 + "x" * 6000 + " the end", "big") for k in range(400)] + [(1000 + k, "rare", "few") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter(language_id.trainable(F.col("doc_id")))
+    got = language_id.sample(df, 4).collect()
+    assert Counter(r.lang for r in got) == {"big": 2, "few": 2}
+    assert all(r.text.startswith("plain words") and r.text.endswith(" the end") and len(r.text) < 4200 for r in got if r.lang == "big")
+
+
 def test_language_of_odd_texts(spark):
     rng = random.Random(6)
     rows = []
