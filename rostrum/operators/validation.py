@@ -64,7 +64,7 @@ def related_slide_errors(passages: DataFrame, slides: DataFrame) -> DataFrame:
 
 
 def score5_errors(passages: DataFrame) -> DataFrame:
-    """importance and novelty must be whole numbers from 0 to 5; both or neither comparative score must be there, alike in all of a lecture."""
+    """importance and novelty must be whole numbers from 0 to 5. Whether both or neither comparative score is there isn't checked."""
     return _errors(passages, "passage_id", importance_out_of_range=~F.col("importance").between(0, 5), novelty_out_of_range=~F.col("novelty").between(0, 5))
 
 
