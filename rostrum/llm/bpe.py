@@ -13,7 +13,9 @@ the ids of short ones and gives the library those it hasn't met.
 
 Nulls are empty texts: no ids, an empty decoded text. Very long texts take
 memory in proportion to their length. Special strings inside texts become
-their special id, as the library does by default.
+their special id, as the library does by default. Repeated rows give repeated
+results, an empty table an empty one. Columns other than ``keep`` and the text
+are not read; ``keep`` may not hold the names of the results.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from rostrum.llm.common import documents, text_buffers
+from rostrum.llm.common import documents, text_buffers, tidy
 from rostrum.llm.token_counts import tokenizer
 
 #: Fragments that a worker remembers at most, and the longest of them in bytes.
-CACHE_SIZE, CACHE_WIDTH = 400_000, 48
+CACHE_SIZE, CACHE_WIDTH = 150_000, 48
 #: Last bytes of white-space characters in UTF-8, ASCII and others.
 SPACE_ENDS = [*range(0x09, 0x0E), 0x20, *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]
 #: Letter pairs inside the contractions that the pattern knows.
@@ -166,7 +168,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ..
     if decoded and not digest:
         schema = schema.add("decoded", "string")
     names = schema.names
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -181,7 +183,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...]
                 back = [b"".join(map(own.by_id.__getitem__, ids or ())).decode("utf-8", "replace") for ids in part.column(width).to_pylist()]
                 yield pa.record_batch([*part.columns[:width], pa.array(back, pa.string())], names=[*keep, "decoded"])
 
-    return df.select(*keep, F.col(ids_col).alias("__ids")).mapInArrow(run, df.select(*keep).schema.add("decoded", "string"))
+    return df.select(*keep, F.col(ids_col).alias("__ids")).mapInArrow(tidy(run), df.select(*keep).schema.add("decoded", "string"))
 
 
 def op4_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

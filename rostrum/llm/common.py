@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,26 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def tidy(kernel: Callable) -> Callable:
+    """The same kernel, whose worker gives memory back when a task ends: workers live on, and two tasks' peaks would add up."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(batches)
+        finally:
+            given_back()
+
+    return run
+
+
+def given_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+    if trim is not None:
+        trim(0)
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """Hinted for broadcast if it has at most so many rows, else left to a shuffle join. For tables that are cheap to count."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -89,7 +111,7 @@ def merged(df: DataFrame, merge: Callable[[Iterator[bytes]], bytes], fan: int =
     count = partitions(df)
     while count > fan:
         count = -(-count // fan)
-        df = df.repartition(count).mapInArrow(step, "summary binary")
+        df = df.repartition(count).mapInArrow(tidy(step), "summary binary")
     rows = [bytes(r[0]) for r in df.collect()]
     return merge(iter(rows)) if rows else None
 
@@ -105,5 +127,22 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batch: pa.RecordBatch, at: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, about ``size`` bytes of its text column at a time; a longer text goes alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, i = np.concatenate([[0], np.cumsum(lengths)]), 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + size, "right")) - 1)
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def with_text(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """``keep`` columns and the text, which is sent once only where it is one of them; and its place."""
+    if text_col in keep:
+        return df.select(*keep), keep.index(text_col)
+    return df.select(*keep, F.col(text_col).alias("__text")), len(keep)
+
+
 def texts(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]

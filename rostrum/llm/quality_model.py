@@ -3,14 +3,18 @@
 Every whole text gives a short vector of statistics. Random Fourier features
 approximate a Gaussian kernel over the standardised vectors. Each partition of
 the training rows sums its normal equations, by fold; the sums are added in a
-tree of tasks; the driver adds the last few, solves the ridge system on all folds, and on all folds but one for
-scores out of fold. Those scores, counted in bins, give a monotone calibration
-by pooling adjacent violators.
+tree of tasks; the driver adds the last few, solves the ridge system on all
+folds, and on all folds but one for scores out of fold. Those scores, counted in
+bins, give a monotone calibration by pooling adjacent violators.
 
 Training takes at most ``max_train`` labelled documents, those with the least
 hash of their id; everything is scored. Null labels and ids are not learned
 from; conflicting labels of an id count by their mean. Null texts are scored as
 empty ones. Without labels every score is 0.5; with one class only, its share.
+Repeated rows get the same score, each in its own row; an empty table gives an
+empty result. Texts are read whole, whatever their length, a megabyte of them at
+a time. Columns other than ``keep``, the id and the text are not read; ``keep``
+may not hold the names of the results (score, predicted).
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from rostrum.llm.common import checkpointed, documents, merged, texts, trainable
+from rostrum.llm.common import checkpointed, documents, merged, pieces, texts, tidy, trainable, with_text
 
 #: Labelled documents that the fit uses at most; 16 bytes each are broadcast.
 MAX_TRAIN = 20_000
@@ -56,14 +60,14 @@ def statistics(text: str) -> list[float]:
 
 
 def with_statistics(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    width = len(keep)
+    width, (sent, at) = len(keep), with_text(df, text_col, keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([statistics(t) for t in texts(batch.column(width))], np.float64).reshape(-1, STATISTICS)
-            yield pa.record_batch([*batch.columns[:width], pa.array(list(x), pa.list_(pa.float64()))], names=[*keep, "x"])
+        for part in (part for batch in batches for part in pieces(batch, at)):
+            x = np.array([statistics(t) for t in texts(part.column(at))], np.float64).reshape(-1, STATISTICS)
+            yield pa.record_batch([*part.columns[:width], pa.array(list(x), pa.list_(pa.float64()))], names=[*keep, "x"])
 
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, df.select(*keep).schema.add("x", ArrayType(DoubleType())))
+    return sent.mapInArrow(tidy(run), df.select(*keep).schema.add("x", ArrayType(DoubleType())))
 
 
 @dataclass
@@ -168,14 +172,14 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", max_train: int
 
 def score_quality(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.7) -> DataFrame:
     """``keep`` columns, score and predicted (score >= threshold) of every row."""
-    width = len(keep)
+    width, (sent, at) = len(keep), with_text(df, text_col, keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = model.score(np.array([statistics(t) for t in texts(batch.column(width))], np.float64).reshape(-1, STATISTICS))
-            yield pa.record_batch([*batch.columns[:width], pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+        for part in (part for batch in batches for part in pieces(batch, at)):
+            found = model.score(np.array([statistics(t) for t in texts(part.column(at))], np.float64).reshape(-1, STATISTICS))
+            yield pa.record_batch([*part.columns[:width], pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, df.select(*keep).schema.add("score", "double").add("predicted", "integer"))
+    return sent.mapInArrow(tidy(run), df.select(*keep).schema.add("score", "double").add("predicted", "integer"))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

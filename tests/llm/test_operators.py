@@ -116,6 +116,46 @@ def test_jaccard_finds_every_link(spark, corpus):
     assert len(set(pairs)) == len(pairs) == sum(linked(x, y) for i, x in enumerate(different) for y in different[:i])
 
 
+def test_jaccard_links_of_groups_dealt_in_blocks(spark, monkeypatch):
+    """Small blocks, so that lists, components and sets of many pairs are all dealt out."""
+    for name, value in (("SETS", 8), ("LIST_ROWS", 16), ("SPREAD", 4)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng, rows = random.Random(14), []
+    for group in range(2):
+        words = prose(rng, 120 + 60 * group).split()
+        for k in range(30):
+            own = list(words)
+            for _ in range(rng.randrange(5)):
+                own[rng.randrange(len(own))] = f"new{group}x{k}"
+            rows.append((100 * group + k, " ".join(own), "a"))
+    rows += [(k + 300, f"same start of all these texts and then {k} other words {k * 7} here", "b") for k in range(40)]
+    sets = [sets_of(t) for _, t, _ in rows]
+    linked = lambda x, y: 9 * len(x & y) >= 4 * (len(x) + len(y))
+    got = ngram_join.ngram_joined(table(spark, rows)).select("doc_id", "n_links", "component_id").collect()
+    want = {k: c for k, _, c in components(rows)}
+    assert {tuple(r) for r in got} == {(k, sum(linked(x, y) for y in sets) - 1, want[k]) for (k, _, _), x in zip(rows, sets, strict=True)}
+
+
+def test_jaccard_keys_that_clash():
+    hashes, n = np.arange(1, 11, dtype=np.uint64), np.array([4, 6])
+    k, k2 = ngram_join._folded(hashes, n, ngram_join._NONE)
+    again, _ = ngram_join._folded(hashes, n, k[:1])
+    assert list(again) == [k2[0], k[1]] and len({*k, *k2}) == 4
+
+
+def test_jaccard_links_of_one_block_are_those_of_sets():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(200, 301), replace=False), rng.integers(0, 1 << 60, rng.integers(0, 30)).astype(np.uint64)])) for _ in range(40)]
+    n = np.array([len(x) for x in sets])
+    both = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    want = 9 * both >= 4 * (n[:, None] + n[None, :])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(40), n)
+    assert (ngram_join.linked_sets(flat, owner, n, 15) == want[:15, 15:]).all()
+    np.fill_diagonal(want, False)
+    assert want.any() and not want.all() and (ngram_join.linked_sets(flat, owner, n, 40) == want).all()
+
+
 def test_shingle_hashes_ignore_chunks_and_neighbours():
     texts = [b"", b"A b c d e f", b"x", b"a B c d e f  ", "é ü a b c d".encode(), b"one two three four"]
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
