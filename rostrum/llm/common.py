@@ -70,6 +70,14 @@ def given_back() -> None:
         trim(0)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of ``df`` has it (Spark doesn't tell cases apart)."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """Hinted for broadcast if it has at most so many rows, else left to a shuffle join. For tables that are cheap to count."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -40,8 +40,8 @@ nulls likewise. Null ids are allowed: a component's id is the least that isn't
 null. Repeated ids with different texts are different sets; repeated rows are
 rows of one set, each with its own row in the results. Very long texts are hashed
 alone and take memory in proportion to their length. An empty table gives an
-empty result. Columns other than doc_id, text and ``keep`` are not read;
-one_of_each carries all and raises where one is named ``__h``.
+empty result. Columns other than doc_id, text and ``keep`` are not read, whatever
+their names; one_of_each carries all.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import WORD, checkpointed, documents, merged, release, small, text_buffers, tidy
+from rostrum.llm.common import WORD, checkpointed, documents, free, merged, release, small, text_buffers, tidy
 
 #: Counters of the frequency sketch, as powers of two: one for every 256 shingles of the corpus between these. Beyond, counts
 #: stand on the level of all that share a slot; shingles that many documents hold still rise above it. 8 to 32 MB.
@@ -67,6 +67,8 @@ CHUNK = 1 << 18
 BROADCAST_ROWS = 1_000_000
 #: Rows of a block of an index list, and of a list that one task compares.
 BLOCK, LIST_ROWS = 256, 4_096
+#: Rows of a list up to which it is compared together with others.
+SHORT = 32
 #: Sets of a component, and shingles of them, that make a block; columns that are multiplied at once.
 SETS, SHINGLES, COLUMNS = 512, 500_000, 2_048
 #: Pairs that one copy of a set serves.
@@ -297,32 +299,62 @@ def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[list[pa.Reco
         yield held
 
 
+def _whole_runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Rows sorted by their first ``keys`` columns, many whole runs of equal ones at a time, and where each run starts."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy() for c in batch.columns]
+        held = now if held is None else [np.concatenate([x, y]) for x, y in zip(held, now, strict=True)]
+        starts = np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in held[:keys]], axis=0)) + 1])
+        if starts[-1]:
+            yield [c[: starts[-1]] for c in held], starts[:-1]
+            held = [c[starts[-1] :] for c in held]
+    if held is not None:
+        yield held, np.zeros(1, np.int64)
+
+
 def _crossed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tok, part, side, at, n, k, c, hub, hub_n, o) sorted by the first four: pairs of different components that may link, or do."""
-    for run in _runs(batches, 2):
-        side, at, n, k, c, hub, hub_n, o = (np.concatenate([b.column(i).to_numpy() for b in run]) for i in range(2, 10))
-        middle = int(np.searchsorted(side, 1))
-        one = [(i, min(i + BLOCK, middle)) for i in range(0, middle, BLOCK)]
-        two = [(i, min(i + BLOCK, len(at))) for i in range(middle, len(at), BLOCK)]
-        for x, y in ((u, v) for u in one for v in two) if two else ((u, v) for i, u in enumerate(one) for v in one[i:]):
-            (i, j), (p, q) = x, y
-            most = min((n[i:j] - at[i:j]).max(), (n[p:q] - at[p:q]).max())
-            if OVER * most < UNDER * (n[i:j].min() + n[p:q].min()) or 5 * n[i:j].max() < 4 * n[p:q].min() or 5 * n[p:q].max() < 4 * n[i:j].min():
-                continue
-            ok = (c[i:j, None] != c[None, p:q]) & _reach(n[i:j, None], at[i:j, None], n[None, p:q], at[None, p:q])
-            if i == p:
-                ok &= np.arange(i, j)[:, None] < np.arange(p, q)[None, :]
-            r, s = np.nonzero(ok)
-            if not len(r):
-                continue
-            r, s = r + i, s + p
+    """Rows (tok, part, side, at, n, k, c, hub, hub_n, o) sorted by the first four: pairs of different components that may link, or do.
+
+    Short lists are compared many at once, each row with the next, the one after, and so on; long ones by pairs of blocks.
+    """
+    for columns, starts in _whole_runs(batches, 2):
+        side, at, n, k, c, hub, hub_n, o = columns[2:]
+        sizes = np.diff(np.append(starts, len(at)))
+        ends = np.repeat(starts + sizes, sizes)
+
+        def judged(r: np.ndarray, s: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ok = (c[r] != c[s]) & _reach(n[r], at[r], n[s], at[s])
+            r, s = r[ok], s[ok]
             known = (hub[r] == hub[s]) & (o[r] >= 0) & (o[s] >= 0)
             total = UNDER * (n[r] + n[s])
             upper = np.minimum(o[r], o[s]) + np.minimum(n[r] - o[r], n[s] - o[s])
             keep = ~known | (OVER * upper >= total)
             sure = known & (OVER * (o[r] + o[s] - hub_n[r]) >= total)
             r, s, sure = r[keep], s[keep], sure[keep]
-            yield pa.record_batch([pa.array(np.minimum(k[r], k[s])), pa.array(np.maximum(k[r], k[s])), pa.array(sure)], names=["a", "b", "sure"])
+            if len(r):
+                yield pa.record_batch([pa.array(np.minimum(k[r], k[s])), pa.array(np.maximum(k[r], k[s])), pa.array(sure)], names=["a", "b", "sure"])
+
+        rows = np.flatnonzero(np.repeat(sizes <= SHORT, sizes))
+        for step in range(1, SHORT):
+            rows = rows[rows + step < ends[rows]]
+            if not len(rows):
+                break
+            yield from judged(rows, rows + step)
+        for first, size in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist(), strict=True):
+            last = first + size
+            middle = first + int(np.searchsorted(side[first:last], 1))
+            one = [(i, min(i + BLOCK, middle)) for i in range(first, middle, BLOCK)]
+            two = [(i, min(i + BLOCK, last)) for i in range(middle, last, BLOCK)]
+            for (i, j), (p, q) in ((u, v) for u in one for v in two) if two else ((u, v) for x, u in enumerate(one) for v in one[x:]):
+                most = min((n[i:j] - at[i:j]).max(), (n[p:q] - at[p:q]).max())
+                if OVER * most < UNDER * (n[i:j].min() + n[p:q].min()) or 5 * n[i:j].max() < 4 * n[p:q].min() or 5 * n[p:q].max() < 4 * n[i:j].min():
+                    continue
+                r, s = np.divmod(np.arange((j - i) * (q - p)), q - p)
+                ahead = slice(None) if i != p else r < s
+                yield from judged(r[ahead] + i, s[ahead] + p)
 
 
 def _parts(df: DataFrame, blocks: Column) -> DataFrame:
@@ -610,14 +642,13 @@ def one_of_each(df: DataFrame, width: int = 5) -> DataFrame:
 
     Texts without words all stay. Of rows that agree in id and text one stays.
     """
-    if "__h" in df.columns:
-        raise ValueError("a column named __h is in the way")
-    keyed = df.withColumn("__h", F.xxhash64("text"))
-    found = ngram_components(keyed, width, ("__h",)).filter("n_shingles > 0")
-    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__h").alias("h"))).alias("x"))
-    chosen = least.select(F.col("x.id").alias("__id"), F.col("x.h").alias("__own"))
+    own = free(df, "__h")
+    keyed = df.withColumn(own, F.xxhash64("text"))
+    found = ngram_components(keyed, width, (own,)).filter("n_shingles > 0")
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(own).alias("h"))).alias("x"))
+    chosen = least.select(F.col("x.id").alias(free(keyed, "__id")), F.col("x.h").alias(free(keyed, "__own")))
     there = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)) > 0
-    kept = keyed.filter(there).join(chosen, (F.col("__h") == F.col("__own")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__h", "doc_id"])
+    kept = keyed.filter(there).join(chosen, (F.col(own) == chosen[1]) & F.col("doc_id").eqNullSafe(chosen[0]), "left_semi").dropDuplicates([own, "doc_id"])
     return kept.unionByName(keyed.filter(~there)).select(*df.columns)
 
 
