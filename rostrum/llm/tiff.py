@@ -9,7 +9,10 @@ per page.
 
 Null texts are empty; an empty text still is one row of padding. Equal bytes
 give equal files. Media that is null gives no page; media that can't be read
-gives one row with its error and page -1.
+gives one row with its error and page -1. Repeated rows give repeated results, an
+empty table an empty one. A long text becomes many pages, and is measured page by
+page. Columns other than ``keep`` and the text or media are not read; ``keep`` may
+not hold the names of the results.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ WIDTH, PAGE_ROWS, STRIP_ROWS, TILE_WIDTH, TILE_ROWS = 96, 1_536, 96, 48, 32
 NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 TAGS = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "strip_at": 273, "samples": 277, "strip_rows": 278, "strip_size": 279, "predictor": 317, "tile_width": 322, "tile_height": 323, "tile_at": 324, "tile_size": 325}
 SIZES = {1: 1, 3: 2, 4: 4}
+#: Samples that a byte of a file can stand for at most; above what deflate and LZW reach.
+MOST_RATIO = 4_096
 #: (compression, tiled, predictor) of the forms that files take in turn.
 FORMS = [(PACKBITS, False, 1), (LZW, False, 2), (DEFLATE, True, 2), (LZW, True, 1), (PACKBITS, True, 1), (DEFLATE, False, 1)]
 _RUN = re.compile(rb"(.)\1{2,127}", re.DOTALL)
@@ -261,6 +266,8 @@ def _page(data: bytes, one: dict[str, int], tags: dict[str, tuple[int, ...]]) ->
     if set(tags.get("bits", (8,))) != {8}:
         raise ValueError("only 8-bit samples are supported")
     compression, predictor = one.get("compression", NONE), one.get("predictor", 1)
+    if width * height * samples > len(data) * MOST_RATIO:
+        raise ValueError(f"{width} x {height} samples don't fit into {len(data)} bytes")
     pixels = np.empty((height, width, samples), np.uint8)
     tiled = "tile_at" in tags
     if tiled:
@@ -306,59 +313,113 @@ def write_column(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     return df.select(*keep, F.col(text_col).alias("__text")).mapInArrow(run, df.select(*keep).schema.add("n_bytes", "long").add("media", "binary"))
 
 
-def read_column(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per page: ``keep`` columns, page, width, height, compression, predictor, tiled, pixels, error."""
+def read_column(df: DataFrame, media_col: str = "media", keep: tuple[str, ...] = ("doc_id",), every: bool = False) -> DataFrame:
+    """One row per page: ``keep`` columns, page, width, height, compression, predictor, tiled, pixels, error.
+
+    Pages of a file come one after another, in order. With ``every``, null media give a row too, of page -1.
+    """
     names = [*keep, "page", "width", "height", "compression", "predictor", "tiled", "pixels", "error"]
     schema = df.select(*keep).schema
     for name, kind in zip(names[len(keep) :], ("integer", "integer", "integer", "integer", "integer", "boolean", "binary", "string"), strict=True):
         schema = schema.add(name, kind)
     kinds = [pa.int32()] * 5 + [pa.bool_(), pa.binary(), pa.string()]
 
+    def pages(media: pa.Scalar) -> Iterator[tuple]:
+        try:
+            if media.is_valid:
+                for i, p in enumerate(read(media.as_py())):
+                    yield i, p.width, p.height, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), None
+            elif every:
+                yield (-1, *[None] * 6, "no media")
+        except (ValueError, KeyError, struct.error, zlib.error, IndexError, OverflowError) as e:
+            yield (-1, *[None] * 6, str(e))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, media in enumerate(batch.column(len(keep))):
-                rows = []
-                try:
-                    if media.is_valid:
-                        rows += [(i, p.width, p.height, p.compression, p.predictor, p.tiled, p.pixels.tobytes(), None) for i, p in enumerate(read(media.as_py()))]
-                except (ValueError, KeyError, struct.error, zlib.error, IndexError) as e:
-                    rows.append((-1, *[None] * 6, str(e)))
-                if rows:
-                    own = [c.take(pa.array([k] * len(rows))) for c in batch.columns[: len(keep)]]
-                    yield pa.record_batch([*own, *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
+            own, rows, held = [], [], 0
 
-    return df.select(*keep, media_col).mapInArrow(run, schema)
+            def flushed() -> pa.RecordBatch:
+                return pa.record_batch([*(c.take(pa.array(own)) for c in batch.columns[: len(keep)]), *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)  # noqa: B023
 
-
-def features(pages: list[Page]) -> str:
-    """Page count, size, mean, deviation and edge strength of the pages, from integer sums."""
-    n = sum(p.pixels.size for p in pages)
-    total = sum(int(p.pixels.sum(dtype=np.int64)) for p in pages)
-    square = sum(int((p.pixels.astype(np.int64) ** 2).sum()) for p in pages)
-    edges = sum(int(np.abs(np.diff(p.pixels.astype(np.int16), axis=1)).sum(dtype=np.int64)) for p in pages)
-    mean = total / n
-    return f"pages={len(pages)};size={pages[0].width}x{sum(p.height for p in pages)};mean={mean:.3f};std={max(square / n - mean * mean, 0) ** 0.5:.3f};edge={edges / n:.3f}"
+            for k, media in enumerate(batch.column(len(keep))):
+                for row in pages(media):
+                    own.append(k)
+                    rows.append(row)
+                    held += len(row[6] or b"")
+                    if held > 1_000_000:
+                        yield flushed()
+                        own, rows, held = [], [], 0
+            if rows:
+                yield flushed()
+
+    return df.select(*keep, F.col(media_col).alias("__media")).mapInArrow(run, schema)
+
+
+class Measured:
+    """Of the pages of a file, one after another: payload bytes, digest, the last 32 bytes, and integer sums for the feature."""
+
+    def __init__(self):
+        self.bytes, self.sha, self.tail = 0, hashlib.sha256(), b""
+        self.pages = self.height = self.total = self.square = self.edges = 0
+        self.width, self.error = None, None
+
+    def add(self, page: int, width: int | None, height: int | None, pixels: bytes | None, error: str | None) -> None:
+        if page < 0:
+            self.error = error
+            return
+        x = np.frombuffer(pixels, np.uint8).reshape(height, width, -1)
+        self.bytes += len(pixels)
+        self.sha.update(pixels)
+        self.tail = (self.tail + pixels[-32:])[-32:]
+        self.pages += 1
+        self.width = self.width or width
+        self.height += height
+        self.total += int(x.sum(dtype=np.int64))
+        self.square += int((x.astype(np.int64) ** 2).sum())
+        self.edges += int(np.abs(np.diff(x.astype(np.int16), axis=1)).sum(dtype=np.int64))
+
+    def found(self) -> tuple:
+        """payload_bytes, payload_sha256, tail_crc32 and feature: page count, size, mean, deviation and edge strength. Nulls where the file can't be read."""
+        if self.error is not None or not self.bytes:
+            return None, None, None, None, self.error
+        mean = self.total / self.bytes
+        deviation = max(self.square / self.bytes - mean * mean, 0) ** 0.5
+        feature = f"pages={self.pages};size={self.width}x{self.height};mean={mean:.3f};std={deviation:.3f};edge={self.edges / self.bytes:.3f}"
+        return self.bytes, self.sha.hexdigest(), zlib.crc32(self.tail), feature, None
 
 
 def digest(df: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
-    """What the pages of each file hold, read back: sizes, digests and features."""
+    """What the pages of each file hold, read back page by page: ``keep``, sizes, digests, feature and error. One row per row, also where media is null or can't be read."""
     width = len(keep)
+    known = {"__size": F.octet_length("media").cast("long"), "__sha": F.sha2("media", 256), "__row": F.monotonically_increasing_id()}
+    pages = read_column(df.withColumns(known), keep=(*keep, *known), every=True)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []  # files: their columns, measures of their pages so far, and row
+
+        def flushed(files: list) -> pa.RecordBatch:
+            own = [pa.concat_arrays([f[0][c] for f in files]) for c in range(width)]
+            rows = [(*f[1].found(), f[0][width][0].as_py(), f[0][width + 1][0].as_py()) for f in files]
+            return pa.record_batch([*own, *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[*keep, "payload_bytes", "payload_sha256", "tail_crc32", "feature", "error", "media_bytes", "media_sha256"])
+
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         for batch in batches:
-            rows = []
-            for media in batch.column(width):
-                data = media.as_py()
-                pages = list(read(data))
-                back = b"".join(p.pixels.tobytes() for p in pages)
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(pages)))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            if rows:
-                yield pa.record_batch([*batch.columns[:width], *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=schema.names)
+            row, number, wide, high, pixels, error = (batch.column(width + 2 + c) for c in (0, 1, 2, 3, 7, 8))
+            for k, (now, page) in enumerate(zip(row.to_pylist(), number.to_pylist(), strict=True)):
+                if not held or held[-1][2] != now:
+                    held.append(([c.slice(k, 1) for c in batch.columns[: width + 2]], Measured(), now))
+                held[-1][1].add(page, wide[k].as_py(), high[k].as_py(), pixels[k].as_py(), error[k].as_py())
+            if len(held) > 512:
+                yield flushed(held[:-1])
+                held = held[-1:]
+        if held:
+            yield flushed(held)
 
-    schema = df.select(*keep).schema.add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
-    return df.select(*keep, "media").mapInArrow(run, schema)
+    schema = df.select(*keep).schema
+    for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("feature", "string"), ("error", "string"), ("media_bytes", "long"), ("media_sha256", "string")):
+        schema = schema.add(name, kind)
+    return pages.mapInArrow(run, schema)
 
 
 def op5_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(write_column(documents(spark, sf_dir)))
+    return digest(write_column(documents(spark, sf_dir))).drop("error")
