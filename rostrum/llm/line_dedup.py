@@ -11,7 +11,9 @@ however often they occur.
 
 Null sites are one site. Null texts stay null, with no lines. Rows that agree in
 id, text and source are treated alike: each keeps what the first place keeps.
-An empty table gives an empty result.
+An empty table gives an empty result. Long texts are split inside their row. All
+columns are carried, and those that are named as the counts (n_lines, n_removed,
+or as ``names`` says) are replaced by them.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import SPACES, checkpointed, documents
+from rostrum.llm.common import SPACES, checkpointed, documents, free, small
 
 #: Sites that make a line boilerplate.
 MIN_SITES = 5
@@ -54,16 +56,11 @@ def boilerplate(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     band = max(1, math.ceil(6 * ERROR * min_sites))
     wide = checkpointed(spread.filter(F.col("sites") >= min_sites - band))
     near = wide.filter(F.col("sites") <= min_sites + band)
-    exact = lines.join(_small(near.select("h1", "h2")), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("exact"))
+    exact = lines.join(small(near.select("h1", "h2"), BROADCAST_LINES), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("exact"))
     sure = wide.filter(F.col("sites") > min_sites + band).select("h1", "h2", "first")
     return checkpointed(sure.unionByName(near.join(exact.filter(F.col("exact") >= min_sites), ["h1", "h2"]).select("h1", "h2", "first")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Hinted for broadcast if it has few rows, else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES else df
-
-
 def _flags(gone: Column, n: Column) -> Column:
     """n booleans, true at the sorted places of ``gone``; linear in n."""
     before = F.concat(F.array(F.lit(-1)), F.slice(gone, 1, F.size(gone) - 1))
@@ -71,20 +68,21 @@ def _flags(gone: Column, n: Column) -> Column:
     return F.concat(F.flatten(runs), F.array_repeat(F.lit(False), n - 1 - F.element_at(gone, -1)))
 
 
-def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """``df`` with boilerplate lines taken out of text, and n_lines, n_removed."""
+def dedup_lines(df: DataFrame, min_sites: int = MIN_SITES, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``df`` with boilerplate lines taken out of text, and n_lines, n_removed (or as ``names`` says)."""
     known = boilerplate(df, min_sites)
-    met = _lines(df).join(_small(known), ["h1", "h2"])
+    met = _lines(df).join(small(known, BROADCAST_LINES), ["h1", "h2"])
     again = ~((F.col("key") == F.col("first.key")) & (F.col("at") == F.col("first.at")))
-    removed = met.filter(again).groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_set("at")).alias("__gone"))
-    joined = df.withColumn("__own", _key()).join(removed, F.col("__own") == F.col("__key"), "left")
+    own, gone = free(df, "__own"), free(df, "__gone")
+    # the id with the hash, so that no document loses the lines of another
+    removed = met.filter(again).groupBy(F.col("key").alias("__key"), F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set("at")).alias(gone))
+    keyed = df.withColumn(own, _key())
+    joined = keyed.join(removed, (keyed[own] == removed["__key"]) & keyed["doc_id"].eqNullSafe(removed["__id"]), "left").select(*(keyed[c] for c in keyed.columns), removed[gone])
     lines = F.split("text", "\n")
-    marked = F.zip_with(lines, _flags(F.col("__gone"), F.size(lines)), lambda x, gone: F.struct(x.alias("x"), gone.alias("gone")))
+    marked = F.zip_with(lines, _flags(F.col(gone), F.size(lines)), lambda x, gone: F.struct(x.alias("x"), gone.alias("gone")))
     text = F.array_join(F.transform(F.filter(marked, lambda m: ~m["gone"]), lambda m: m["x"]), "\n")
-    cleaned = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(text)
-    counted = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    counted = counted.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return counted.withColumn("text", cleaned).drop("__own", "__key", "__gone")
+    counts = {names[0]: F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"), names[1]: F.coalesce(F.size(gone), F.lit(0)).cast("long")}
+    return joined.withColumns(counts | {"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(text)}).drop(own, gone)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
