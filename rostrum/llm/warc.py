@@ -32,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import shared_folder
+from rostrum.llm.common import checkpointed, shared_folder, small
 
 #: Fixed values of the formats: frame magics, and the separator as text.
 DICTIONARY_MAGIC, SKIP_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 SEPARATOR = "P*M\u0018\u0000\u0000\u0000\u0000"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: Records that the dictionary is trained on at most, the longest of them, and its size; in rows and bytes.
+#: Repeated payloads (40 bytes a row) up to which their table is broadcast, so that pages stay where they are; beyond, a shuffle joins it.
+BROADCAST_PAYLOADS = 1_000_000
+#: Records that the dictionary is trained on at most, characters of each, and its size in bytes.
 SAMPLE, SAMPLE_WIDTH, DICTIONARY_SIZE, LEVEL = 400, 32_768, 16_384, 6
 
 
@@ -85,7 +87,7 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     hashed = pages.withColumn("sha1", F.sha1(html.cast("binary"))).withColumn("long_enough", F.octet_length(html) >= min_bytes)
     last = hashed.filter("long_enough").groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1").select("sha1", "last")
-    joined = hashed.join(last, "sha1", "left")
+    joined = hashed.join(small(checkpointed(last), BROADCAST_PAYLOADS), "sha1", "left")
     revisit = F.coalesce(F.col("long_enough") & F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.lit(False))
     return joined.withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("last"))).drop("long_enough", "last")
 
@@ -95,11 +97,12 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> str:
     import zstandard
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    # hashes are picked first, so that no partition sends a sample's worth of pages to the driver
+    # hashes are picked first, so that no partition sends a sample's worth of pages to the driver; of a long page, a piece from anywhere in it
     key = F.xxhash64("page_id", "html")
-    short = rows.filter(F.octet_length("html") <= SAMPLE_WIDTH)
-    picked = [r[0] for r in short.select(key.alias("h")).orderBy("h").limit(SAMPLE).collect()]
-    sample = sorted(short.filter(key.isin(picked)).limit(SAMPLE).collect(), key=str)
+    picked = [r[0] for r in rows.select(key.alias("h")).orderBy("h").limit(SAMPLE).collect()]
+    html = F.coalesce("html", F.lit(""))
+    start = F.lit(1) + F.pmod(key, F.greatest(F.char_length(html) - SAMPLE_WIDTH, F.lit(0)) + 1).cast("int")
+    sample = sorted(rows.filter(key.isin(picked)).limit(SAMPLE).select("page_id", "url", F.substring(html, start, F.lit(SAMPLE_WIDTH)).alias("html")).collect(), key=str)
     trained = _dictionary([record(r.page_id, r.url, r.html, hashlib.sha1((r.html or "").encode()).hexdigest(), None, False) for r in sample])
 
     def archive(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
