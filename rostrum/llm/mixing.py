@@ -17,7 +17,9 @@ source are one unit with a count, however many they are. Random directions come
 from hashes of the documents, so reruns agree.
 
 Null texts have size 0, are never taken, and appear with taken 0. Null sources
-are one source, last in order. An empty table gives an empty result.
+are one source, last in order. An empty table gives an empty result. A long text
+is one unit as any other. mix reads doc_id, text and source alone; mixed_documents
+carries all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import WORD, checkpointed, documents
+from rostrum.llm.common import WORD, checkpointed, documents, free
 
 #: The direction of an exchange is drawn from so many values.
 DRAWS = 1 << 40
@@ -124,10 +126,12 @@ def salt() -> Column:
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
     """The rows of ``df`` as often as the mix takes them. The key of the join is a document's own, so no key is hot."""
     taken = mix(df, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("salt").alias("__salt")).agg(F.collect_list("copies").alias("__copies"))
-    keyed = df.withColumn("__key", salt())
-    numbered = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__key", "doc_id").orderBy("__key")))
-    joined = numbered.join(taken, (F.col("__key") == F.col("__salt")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.filter(F.col("__n") <= F.size("__copies")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.element_at("__copies", F.col("__n"))))).select(*df.columns)
+    key, n = free(df, "__key"), free(df, "__n")
+    keyed = df.withColumn(key, salt())
+    numbered = keyed.withColumn(n, F.row_number().over(Window.partitionBy(key, "doc_id").orderBy(key)))
+    joined = numbered.join(taken, (numbered[key] == taken["__salt"]) & numbered["doc_id"].eqNullSafe(taken["__id"]))
+    copies = F.array_repeat(F.lit(0), F.element_at(taken["__copies"], numbered[n]).cast("int"))
+    return joined.filter(numbered[n] <= F.size(taken["__copies"])).select(*(numbered[c] for c in df.columns), F.explode(copies).alias(n)).select(*df.columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

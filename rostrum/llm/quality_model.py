@@ -14,7 +14,7 @@ empty ones. Without labels every score is 0.5; with one class only, its share.
 Repeated rows get the same score, each in its own row; an empty table gives an
 empty result. Texts are read whole, whatever their length, a megabyte of them at
 a time. Columns other than ``keep``, the id and the text are not read; ``keep``
-may not hold the names of the results (score, predicted).
+may not hold the names of the results, which ``names`` can change.
 """
 
 from __future__ import annotations
@@ -170,16 +170,16 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", max_train: int
     return model
 
 
-def score_quality(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.7) -> DataFrame:
-    """``keep`` columns, score and predicted (score >= threshold) of every row."""
+def score_quality(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``keep`` columns, score and predicted (score >= threshold), or as ``names`` says, of every row."""
     width, (sent, at) = len(keep), with_text(df, text_col, keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (part for batch in batches for part in pieces(batch, at)):
             found = model.score(np.array([statistics(t) for t in texts(part.column(at))], np.float64).reshape(-1, STATISTICS))
-            yield pa.record_batch([*part.columns[:width], pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.record_batch([*part.columns[:width], pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[*keep, *names])
 
-    return sent.mapInArrow(tidy(run), df.select(*keep).schema.add("score", "double").add("predicted", "integer"))
+    return sent.mapInArrow(tidy(run), df.select(*keep).schema.add(names[0], "double").add(names[1], "integer"))
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

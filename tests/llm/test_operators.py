@@ -281,7 +281,7 @@ def test_every_order_of_the_cascade_gives_one_verdict(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     want = None
     for order in (sorted, lambda x: sorted(x, reverse=True)):
-        monkeypatch.setattr(quality_rules, "cascade_order", lambda df, own, order=order: order(own))
+        monkeypatch.setattr(quality_rules, "cascade_order", lambda seen, cost, order=order: order(cost))
         got = {r.doc_id: r.kept for r in quality_rules.apply_rules(docs).collect()}
         want = want or got
         assert got == want
@@ -303,6 +303,36 @@ def test_tiff_forms_and_errors(spark):
     assert Counter((r.doc_id, r.page) for r in rows) == Counter([(1, -1), (3, -1), (4, 0), (4, 1), (4, 2)])
 
 
+def test_cascade_counts_rejections_among_survivors():
+    seen = [{"a": False, "b": False, "c": True}] * 6 + [{"a": True, "b": True, "c": False}] * 3 + [{"a": True, "b": True, "c": True}]
+    assert quality_rules.cascade_order(seen, {"b": 1.0, "a": 0.9, "c": 1.0}) == ["a", "c", "b"]
+    assert quality_rules.cascade_order([], {"b": 1.0, "a": 1.0, "c": 0.5}) == ["c", "a", "b"]
+
+
+def test_tiff_digests_of_odd_media(spark):
+    good = tiff.write([np.arange(96, dtype=np.uint8).reshape(1, 96)] * 2)
+    huge = bytearray(tiff.write([np.zeros((1, 96), np.uint8)]))
+    at = int.from_bytes(huge[4:8], "little")
+    huge[at + 10 : at + 14] = (1 << 31).to_bytes(4, "little")
+    rows = [(1, None), (2, good), (2, good), (3, good[: len(good) // 2]), (4, b""), (5, bytes(huge))]
+    got = tiff.digest(spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1), keep=("doc_id",)).collect()
+    assert [(r.doc_id, r.payload_bytes, r.media_bytes, r.error is None) for r in got] == [(1, None, None, False), (2, 192, len(good), True), (2, 192, len(good), True), (3, None, len(good) // 2, False), (4, None, 0, False), (5, None, len(huge), False)]
+    assert got[1].media_sha256 == hashlib.sha256(good).hexdigest() and got[1].feature.startswith("pages=2;size=96x2;mean=47.500;")
+    assert tiff.digest(spark.createDataFrame([], "doc_id long, media binary"), keep=("doc_id",)).count() == 0
+
+
+def test_clashing_columns(spark):
+    """Names that operators use themselves, on columns that must come through."""
+    odd = ["n_lines", "n_removed", "__own", "__gone", "__key", "__id", "__h", "__n", "k", "n"]
+    docs = table(spark, [(k, f"same line\nown {k} words", f"s{k}") for k in range(8)] + [(9, None, None)]).withColumns({c: F.lit(f"mine {c}") for c in odd})
+    mine = lambda df: all(r[c] == f"mine {c}" for r in df.collect() for c in odd)
+    cleaned = line_dedup.dedup_lines(docs, names=("gone", "lines"))
+    assert mine(cleaned) and cleaned.filter("text LIKE 'same%'").count() == 1
+    assert {r.n_lines for r in line_dedup.dedup_lines(docs).collect()} == {0, 2}
+    for df in (ngram_join.one_of_each(docs), mixing.mixed_documents(docs)):
+        assert df.columns == docs.columns and df.count() > 0 and mine(df)
+
+
 def test_tiff_digests(spark, corpus):
     for r in tiff.digest(tiff.write_column(table(spark, corpus).filter("doc_id IS NOT NULL"))).collect():
         text = next(t for k, t, _ in corpus if k == r.doc_id)

@@ -71,3 +71,19 @@ def test_run_is_its_stages(spark, stages):
 
 def test_columns(stages):
     assert all(tuple(s[0].__fields__) == ("doc_id", "text", "lang", "source", "n_chars") for s in stages[:5])
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeats, clashing names; and no rows at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, n_lines string, n_removed string"
+    rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "word " * 30_000, "en", "a", 150_000), (4, "one two three", None, "b", 13), (4, "one two three", None, "b", 13), (None, "four five", "en", None, 9)]
+    docs = spark.createDataFrame([(*r, "w", "x", "y", "z") for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        got = stage(spark, docs, FOLDER)
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+        if name != "bpe_codec":
+            assert got.columns == docs.columns and all((r.score, r.predicted, r.n_lines, r.n_removed) == ("w", "x", "y", "z") for r in got.collect())
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).count() == 6
+    scored = corpus_pipeline.STAGES[0][1](spark, docs, FOLDER)
+    assert scored.columns == docs.columns and scored.count() <= 6
