@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; run() writes every stage's rows as Parquet in the shared folder and reads
-them again, so a lost executor costs a stage at most.
+them again, so a lost executor costs a stage at most. Who owns the folder removes
+what lies there; run() leaves it, as its result is still read from it.
+
+In every stage null and empty texts are documents without words, repeated rows are
+rows of their own but for near-duplicates, where one stays, an empty table stays
+empty, and columns beside those of documents are carried on to the last stage,
+whatever their names. Long texts are worked on whole.
 """
 
 from __future__ import annotations
@@ -14,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.llm import bpe, line_dedup, mixing, ngram_join, quality_model
-from rostrum.llm.common import WORD, documents, shared_folder
+from rostrum.llm.common import WORD, documents, free, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +28,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model.weights is None:
         return docs
-    return quality_model.score_quality(docs, model, keep=tuple(docs.columns)).filter("predicted = 1").select(*docs.columns)
+    names = free(docs, "score"), free(docs, "predicted")
+    return quality_model.score_quality(docs, model, keep=tuple(docs.columns), names=names).filter(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go, and documents that consisted of nothing else."""
-    cleaned = line_dedup.dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.regexp_count("text", F.lit(WORD)) == 0)
+    names = free(docs, "n_lines"), free(docs, "n_removed")
+    cleaned = line_dedup.dedup_lines(docs, names=names)
+    emptied = (F.col(names[1]) > 0) & (F.regexp_count("text", F.lit(WORD)) == 0)
     return cleaned.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
