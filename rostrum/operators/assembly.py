@@ -9,9 +9,12 @@ from rostrum.operators import alignment, projection, ranking, segmentation, wind
 
 
 def cut_passages(texts: DataFrame, costs: DataFrame) -> DataFrame:
-    """lecture_id, passage_id, text, byte_start, byte_end of texts (lecture_id, text) cut by costs (lecture_id, atom_id, cut) of the gaps after atoms."""
+    """lecture_id, passage_id, text, byte_start, byte_end of texts (lecture_id, text) cut by costs (lecture_id, atom_id, cut) of the gaps after atoms.
+
+    A lecture that can't be cut legally has no passages; ``segmentation.partition`` names it.
+    """
     atoms = windows.atom_table(texts)
-    parts = segmentation.partition(atoms.join(costs, ["lecture_id", "atom_id"], "left"))
+    parts = segmentation.partition(atoms.join(costs, ["lecture_id", "atom_id"], "left")).filter("error IS NULL")
     named = parts.select("lecture_id", "passage_id", F.explode(F.sequence(F.col("atom_start"), F.col("atom_end") - 1)).alias("atom_id"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("atom_id", "text"))), lambda x: x["text"]), "")
     grouped = named.join(atoms, ["lecture_id", "atom_id"]).groupBy("lecture_id", "passage_id").agg(joined.alias("text"))

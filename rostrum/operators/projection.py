@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from array import array
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -24,9 +26,11 @@ class Edit:
     d: int
 
 
-def edits(source: str, proposed: str) -> list[Edit]:
-    """The shortest edit script by Myers' greedy algorithm, as alternating equal and changed blocks."""
+def edits(source: str, proposed: str, most: int | None = None) -> list[Edit] | None:
+    """The shortest edit script by Myers' greedy algorithm, as alternating equal and changed blocks; None if it takes over ``most`` insertions and deletions."""
     n, m = len(source), len(proposed)
+    if most is not None and apart(source, proposed) > most:
+        return None
     lead = 0
     while lead < min(n, m) and source[lead] == proposed[lead]:
         lead += 1
@@ -34,7 +38,10 @@ def edits(source: str, proposed: str) -> list[Edit]:
     while tail < min(n, m) - lead and source[n - 1 - tail] == proposed[m - 1 - tail]:
         tail += 1
     old, new = source[lead : n - tail], proposed[lead : m - tail]
-    matches = [(k, k) for k in range(lead)] + [(lead + i, lead + j) for i, j in _matches(old, new)] + [(n - tail + k, m - tail + k) for k in range(tail)]
+    inner = _matches(old, new, most)
+    if inner is None:
+        return None
+    matches = [(k, k) for k in range(lead)] + [(lead + i, lead + j) for i, j in inner] + [(n - tail + k, m - tail + k) for k in range(tail)]
     out: list[Edit] = []
     x = y = 0
     k = 0
@@ -53,29 +60,41 @@ def edits(source: str, proposed: str) -> list[Edit]:
     return out
 
 
-def _matches(old: str, new: str) -> list[tuple[int, int]]:
-    """Matched positions of a longest common subsequence, from the furthest-reaching paths of each edit distance."""
+def apart(a: str, b: str) -> int:
+    """Characters, with repeats, that one text has and the other hasn't: every edit script takes so many edits at least."""
+    x, y = Counter(a), Counter(b)
+    return (x - y).total() + (y - x).total()
+
+
+def _matches(old: str, new: str, most: int | None = None) -> list[tuple[int, int]] | None:
+    """Matched positions of a longest common subsequence, from the furthest-reaching paths of each edit distance; None beyond ``most`` edits.
+
+    The paths of a distance are kept as an array of 4-byte places, so memory is the square of the distance, not of the texts.
+    """
     n, m = len(old), len(new)
-    reach, history = {1: 0}, []
-    for d in range(n + m + 1):
-        history.append(dict(reach))
+    edge = n + m if most is None else min(n + m, most)
+    zero, history = edge + 1, []
+    reach = array("i", bytes(4 * (2 * edge + 3)))
+    for d in range(edge + 1):
+        history.append(reach[zero - d - 1 : zero + d + 2])
         for k in range(-d, d + 1, 2):
-            x = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
+            spot = zero + k
+            x = reach[spot + 1] if k == -d or (k != d and reach[spot - 1] < reach[spot + 1]) else reach[spot - 1] + 1
             y = x - k
             while x < n and y < m and old[x] == new[y]:
                 x, y = x + 1, y + 1
-            reach[k] = x
+            reach[spot] = x
             if x >= n and y >= m:
                 return _unwound(history, n, m)
-    return []
+    return None if most is not None else []
 
 
-def _unwound(history: list[dict[int, int]], x: int, y: int) -> list[tuple[int, int]]:
+def _unwound(history: list[array], x: int, y: int) -> list[tuple[int, int]]:
     out = []
     for d in range(len(history) - 1, -1, -1):
         reach, k = history[d], x - y
-        before = k + 1 if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else k - 1
-        start = reach[before]
+        below, above = reach[k + d], reach[k + d + 2]
+        before, start = (k + 1, above) if k == -d or (k != d and below < above) else (k - 1, below)
         while x > max(start, 0) and y > max(start - before, 0):
             x, y = x - 1, y - 1
             out.append((x, y))
@@ -93,7 +112,11 @@ class Projection:
 
 
 def project(source: str, proposed: list[str]) -> Projection:
-    """Character ranges of the source for proposed passages, or why there are none. The proposed text itself is discarded."""
+    """Character ranges of the source for proposed passages, or why there are none. The proposed text itself is discarded.
+
+    A changed stretch counts by its longer side, which is half its edits or more; so a script of twice the allowed change
+    is given up unfinished, and changed is then what it must be at least.
+    """
     if not source:
         return Projection(None, 0, 0, "empty_source")
     if not proposed:
@@ -101,7 +124,11 @@ def project(source: str, proposed: list[str]) -> Projection:
     if not all(proposed):
         return Projection(None, 0, 0, "empty_proposed_passage")
     joined = "".join(proposed)
-    script, compared = edits(source, joined), max(len(source), len(joined))
+    compared = max(len(source), len(joined))
+    allowed = 2 * MAX_CHANGED * compared // 100 + 1
+    script = edits(source, joined, allowed)
+    if script is None:
+        return Projection(None, allowed // 2 + 1, compared, "difference_too_large")
     changed = sum(max(e.b - e.a, e.d - e.c) for e in script if not e.equal)
     if changed * 100 >= MAX_CHANGED * compared:
         return Projection(None, changed, compared, "difference_too_large")

@@ -14,6 +14,8 @@ from rostrum.functions.text import ascii_terms
 
 #: Fixed values of the scoring formulas.
 K1, B, RRF_K = 1.2, 0.75, 60
+#: Terms of queries, with repeats, that are broadcast at most; about 60 bytes each.
+BROADCAST_TERMS = 500_000
 
 
 def inverted_index(slides: DataFrame, terms: Column | None = None, key: tuple[str, ...] = ("slide_id",)) -> DataFrame:
@@ -33,17 +35,21 @@ def lengths(slides: DataFrame, terms: Column | None = None, key: tuple[str, ...]
 
 
 def bm25(slides: DataFrame, queries: DataFrame, slide_terms: Column | None = None, query_terms: Column | None = None) -> DataFrame:
-    """query_id, slide_id, score of every pair that shares a term. slides (slide_id, text), queries (query_id, text)."""
-    long = lengths(slides, slide_terms)
-    stats = long.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    index = inverted_index(slides, slide_terms)
+    """query_id, slide_id, score of every pair that shares a term. slides (slide_id, text), queries (query_id, text).
+
+    Up to BROADCAST_TERMS terms of queries are broadcast, so that a slide's other terms fall away where they are read, and
+    only counts of the rest are shuffled, once; with more, the same joins shuffle.
+    """
+    own = ascii_terms(F.col("text")) if slide_terms is None else slide_terms
+    stats = lengths(slides, slide_terms).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
     wanted = queries.select("query_id", F.explode(F.array_distinct(ascii_terms(F.col("text")) if query_terms is None else query_terms)).alias("term"))
-    # only terms that some query holds are weighed and joined with lengths
-    posted = index.join(wanted.select("term").distinct(), "term", "left_semi")
-    weighed = posted.join(document_frequency(posted), "term").join(long, "slide_id").crossJoin(F.broadcast(stats))
+    few = F.broadcast if wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else lambda df: df
+    terms = slides.select("slide_id", own.alias("terms")).select("slide_id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    posted = terms.join(few(wanted.select("term").distinct()), "term", "left_semi").groupBy("slide_id", "len", "term").agg(F.count("*").alias("tf"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.when(F.col("avgdl") > 0, idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))).otherwise(0.0)
-    return weighed.select("term", "slide_id", part.alias("part")).join(wanted, "term").groupBy("query_id", "slide_id").agg(F.sum("part").alias("score"))
+    weights = wanted.join(document_frequency(posted), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "avgdl", idf.alias("idf"))
+    part = F.when(F.col("avgdl") > 0, F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))).otherwise(0.0)
+    return posted.join(few(weights), "term").groupBy("query_id", "slide_id").agg(F.sum(part).alias("score"))
 
 
 def with_zeros(scores: DataFrame, slides: DataFrame, queries: DataFrame) -> DataFrame:
@@ -64,10 +70,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 def dense(slides: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, slide_id, score by cosine. A slide or query without a vector scores 0. The queries are a stated set."""
-    normed = lambda c: F.when(dot(c, c) > 0, F.transform(c, lambda x: x.cast("double") / F.sqrt(dot(c, c)))).otherwise(F.transform(c, lambda x: F.lit(0.0)))
-    s = slides.select("slide_id", normed(F.col("vector")).alias("s"))
-    q = queries.select("query_id", normed(F.col("vector")).alias("q"))
-    return q.crossJoin(s).select("query_id", "slide_id", F.coalesce(F.greatest(dot(F.col("q"), F.col("s")), F.lit(0.0)), F.lit(0.0)).alias("score"))
+    # the norm is a column of its own: inside an expression over the elements it would be computed for each of them
+    s = slides.select("slide_id", F.col("vector").alias("s"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("s_norm"))
+    q = queries.select("query_id", F.col("vector").alias("q"), F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("q_norm"))
+    size = F.col("q_norm") * F.col("s_norm")
+    score = F.when(size > 0, F.greatest(dot(F.col("q"), F.col("s")) / size, F.lit(0.0)))
+    return q.crossJoin(s).select("query_id", "slide_id", F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def competition_ranks(scores: DataFrame) -> DataFrame:

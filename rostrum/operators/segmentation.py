@@ -2,105 +2,104 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import BLANK
 
-#: The longest passage, and the weights of the prototype's objective.
+#: The longest passage, and the rewards and lengths of the prototype's objective.
 MAX_PASSAGE, PROTOTYPE_MAX = 300, 450
-REWARDS = {"continue": -14.0, "possible_break": -2.0, "preferred_break": 4.0, "required_break": 16.0}
+REWARDS = {"continue": -14, "possible_break": -2, "preferred_break": 4, "required_break": 16}
 PREFERRED = (80, 280)
-#: Openings that suggest a break before them.
-REQUIRED_OPENINGS = ("接下来", "下面我们", "第一", "第二", "第三", "最后", "Next", "Finally", "First", "Second", "Third")
-PREFERRED_OPENINGS = ("那么", "所以", "但是", "因此", "另外", "So", "But", "However", "Also", "Now")
+#: Openings of the next atom that ask for a break before it, and endings of this one.
+REQUIRED_OPENINGS = ("好，那么接下来", "好，我们接下来", "下面我们", "最后我们")
+PREFERRED_OPENINGS = ("那么", "首先", "其次", "另外", "还有一种", "举个例子", "比如说", "所以大家可以看到")
+ENDINGS, PAUSES = "\n。！？!?", "；;：:，,"
+#: White space that is passed over before an opening is looked at, as a class of a regular expression.
+LEADING = r"[\s\p{Z}\x{85}\x{1C}-\x{1F}\x{0B}]"
 
 
-def best_cuts(lengths: list[int], costs: list[int], limit: int = MAX_PASSAGE) -> list[tuple[int, int]] | None:
-    """Atom ranges [start, end) that minimise cuts of cost 5, then 4, ... then 1, then passages, then squared lengths.
+def best_ranges(sizes: list[int], gains: list[int | None], charges: list[int]) -> list[tuple[int, int]] | None:
+    """Ranges [start, end) of atoms with the most gain: gains of the cuts behind atoms, less the charge of each range's size.
 
-    None if an atom alone is too long. Equal objectives keep the shorter last passage.
+    A gain that is None forbids the cut; the last atom's counts for the end. Ranges beyond the charges' sizes are not
+    allowed; None if nothing is left. Equal totals keep the shorter last range.
     """
-    sums = [0]
-    for n in lengths:
-        sums.append(sums[-1] + n)
-    best: list[tuple | None] = [((0, 0, 0, 0, 0), 0, 0)] + [None] * len(lengths)
-    came = [0] * (len(lengths) + 1)
-    for end in range(1, len(lengths) + 1):
-        cost = costs[end - 1] if end < len(lengths) else 0
-        for start in range(end - 1, -1, -1):
-            size = sums[end] - sums[start]
-            if size > limit:
-                break
-            if best[start] is None:
-                continue
-            cuts, count, squares = best[start]
-            if cost:
-                cuts = tuple(c + (k == 5 - cost) for k, c in enumerate(cuts))
-            found = (cuts, count + 1, squares + size * size)
-            if best[end] is None or found < best[end]:
-                best[end], came[end] = found, start
-    if best[-1] is None:
-        return None
-    out, end = [], len(lengths)
+    places, totals, starts, came = [0], [0], [0], {}
+    upto = low = 0
+    for end, (size, gain) in enumerate(zip(sizes, gains, strict=True), 1):
+        upto += size
+        while low < len(places) and upto - places[low] >= len(charges):
+            low += 1
+        if gain is None or low == len(places):
+            continue
+        top, k = max((totals[k] - charges[upto - places[k]], k) for k in range(low, len(places)))
+        came[end] = starts[k]
+        places.append(upto)
+        totals.append(top + gain)
+        starts.append(end)
+    end, out = len(sizes), []
     while end:
+        if end not in came:
+            return None
         out.append((came[end], end))
         end = came[end]
     return out[::-1]
 
 
+def best_cuts(lengths: list[int], costs: list[int], limit: int = MAX_PASSAGE) -> list[tuple[int, int]] | None:
+    """Atom ranges that minimise cuts of cost 5, then 4, ... then 1, then passages, then squared lengths. None if an atom alone is too long.
+
+    Each of these is a digit of one number, in a base that it can't reach.
+    """
+    passage = limit * sum(lengths) + limit + 1
+    base = len(lengths) + 1
+    gains = [-passage * base**cost if cost else 0 for cost in costs[: len(lengths) - 1]]
+    return best_ranges(lengths, [*gains, 0][: len(lengths)], [passage + n * n for n in range(limit + 1)])
+
+
 def prototype_cuts(lengths: list[int], labels: list[str], limit: int = PROTOTYPE_MAX) -> list[tuple[int, int]] | None:
-    """Atom ranges that maximise rewards of cuts less penalties of lengths; a gap labelled continue is never cut."""
-    sums = [0]
-    for n in lengths:
-        sums.append(sums[-1] + n)
-    best: list[float | None] = [0.0] + [None] * len(lengths)
-    came = [0] * (len(lengths) + 1)
-    for end in range(1, len(lengths) + 1):
-        label = labels[end - 1] if end < len(lengths) else None
-        if label == "continue":
-            continue
-        for start in range(end - 1, -1, -1):
-            size = sums[end] - sums[start]
-            if size > limit:
-                break
-            if best[start] is None:
-                continue
-            fit = -max(PREFERRED[0] - size, 0) / 8 - max(size - PREFERRED[1], 0) / 12
-            found = best[start] + fit + (REWARDS[label] if label else 0.0)
-            if best[end] is None or found > best[end]:
-                best[end], came[end] = found, start
-    if best[-1] is None:
-        return None
-    out, end = [], len(lengths)
-    while end:
-        out.append((came[end], end))
-        end = came[end]
-    return out[::-1]
+    """Atom ranges that maximise rewards of cuts less an eighth of what a passage lacks, or a twelfth of what it has too much. A gap labelled continue is never cut."""
+    gains = [None if label == "continue" else 24 * REWARDS[label] for label in labels[: len(lengths) - 1]]
+    charges = [3 * max(PREFERRED[0] - n, 0) + 2 * max(n - PREFERRED[1], 0) for n in range(limit + 1)]
+    return best_ranges(lengths, [*gains, 0][: len(lengths)], charges)
 
 
 def partition(atoms: DataFrame, prototype: bool = False) -> DataFrame:
-    """lecture_id, passage_id, atom_start, atom_end (exclusive), chars. atoms (lecture_id, atom_id, text, cut): cut is the gap's cost after it, or its label."""
-    sized = atoms.select("lecture_id", "atom_id", F.char_length("text").alias("n"), "cut")
+    """lecture_id, passage_id, atom_start, atom_end (exclusive), chars, error. atoms (lecture_id, atom_id, text, cut): cut is the gap's cost after it, or its label.
+
+    A lecture that can't be cut legally gives one row with error no_partition and nulls. Null costs count as 0, null labels as continue.
+    """
+    cut = F.coalesce("cut", F.lit("continue")) if prototype else F.coalesce(F.col("cut").cast("long"), F.lit(0).cast("long"))
+    items = F.sort_array(F.collect_list(F.struct("atom_id", F.char_length("text").alias("n"), cut.alias("cut"))))
+    lectures = atoms.groupBy("lecture_id").agg(items.alias("i")).select("lecture_id", F.transform("i", lambda x: x["n"]).alias("n"), F.transform("i", lambda x: x["cut"]).alias("cut"))
     cuts = prototype_cuts if prototype else best_cuts
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("atom_id")
-        n = own.n.tolist()
-        found = cuts(n, own.cut.tolist() if prototype else [0 if pd.isna(c) else int(c) for c in own.cut])
-        rows = [(own.lecture_id.iloc[0], k, a, b, sum(n[a:b])) for k, (a, b) in enumerate(found or [])]
-        return pd.DataFrame(rows, columns=["lecture_id", "passage_id", "atom_start", "atom_end", "chars"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, own = [], []
+            for k, (sizes, gaps) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                found = cuts(sizes, gaps)
+                rows += [(p, a, b, sum(sizes[a:b]), None) for p, (a, b) in enumerate(found)] if found is not None else [(None, None, None, None, "no_partition")]
+                own += [k] * (len(rows) - len(own))
+            if rows:
+                kinds = [pa.int64()] * 4 + [pa.string()]
+                yield pa.record_batch([batch.column(0).take(pa.array(own)), *(pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["lecture_id", "passage_id", "atom_start", "atom_end", "chars", "error"])
 
     kind = atoms.schema["lecture_id"].dataType.simpleString()
-    return sized.groupBy("lecture_id").applyInPandas(run, f"lecture_id {kind}, passage_id long, atom_start long, atom_end long, chars long")
+    return lectures.mapInArrow(run, f"lecture_id {kind}, passage_id long, atom_start long, atom_end long, chars long, error string")
 
 
 def boundary_labels(atoms: DataFrame) -> DataFrame:
     """Adds label, of the gap after each atom but the last: by how the next one opens, and how this one ends."""
-    following = F.ltrim(F.lead("text").over(Window.partitionBy("lecture_id").orderBy("atom_id")))
+    following = F.regexp_replace(F.lead("text").over(Window.partitionBy("lecture_id").orderBy("atom_id")), f"^{LEADING}+", "")
     opens = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: following.startswith(w))
-    label = F.when(following.isNull(), None).when(opens(REQUIRED_OPENINGS), "required_break").when(opens(PREFERRED_OPENINGS), "preferred_break").when(F.col("text").rlike("[。！？!?\n]$"), "possible_break").otherwise("continue")
+    # of the marks in an atom the last one says how it ends, whatever follows
+    ends = F.col("text").rlike(rf"[{ENDINGS}][^{ENDINGS}{PAUSES}]*\z")
+    label = F.when(following.isNull(), None).when(opens(REQUIRED_OPENINGS), "required_break").when(opens(PREFERRED_OPENINGS), "preferred_break").when(ends, "possible_break").otherwise("continue")
     return atoms.withColumn("label", label)
 
 

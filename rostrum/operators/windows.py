@@ -52,15 +52,26 @@ def with_context(windows: DataFrame, rows: DataFrame, budget: int = CONTEXT_CHAR
     """Adds visible_start and visible_end: whole rows either side of the owned ones within a budget of characters."""
     order = Window.partitionBy("lecture_id").orderBy("id")
     sums = rows.select("lecture_id", "id", F.coalesce(F.char_length("text"), F.lit(0)).alias("c"))
-    sums = sums.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    at = sums.select("lecture_id", F.col("id").alias("owned_start"), (F.col("upto") - F.col("c")).alias("before"))
+    sums = sums.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("before", F.col("upto") - F.col("c"))
+    at = sums.select("lecture_id", F.col("id").alias("owned_start"), "before")
     end = sums.select("lecture_id", F.col("id").alias("owned_end"), F.col("upto").alias("after"))
     placed = windows.join(at, ["lecture_id", "owned_start"]).join(end, ["lecture_id", "owned_end"])
-    near = placed.join(sums.select("lecture_id", "id", "c", "upto"), "lecture_id")
-    left = F.min(F.when((F.col("id") < F.col("owned_start")) & (F.col("before") - F.col("upto") + F.col("c") <= budget), F.col("id")))
-    right = F.max(F.when((F.col("id") > F.col("owned_end")) & (F.col("upto") - F.col("after") <= budget), F.col("id")))
-    out = near.groupBy("lecture_id", "window_index", "owned_start", "owned_end").agg(left.alias("l"), right.alias("r"))
-    return out.select("lecture_id", "window_index", "owned_start", "owned_end", F.coalesce("l", "owned_start").alias("visible_start"), F.coalesce("r", "owned_end").alias("visible_end"))
+    # rows and the places that windows may reach to lie on one line of characters: the row next to a place is read in one pass over it
+    none = F.lit(None).cast("long")
+    window = [F.col(c) for c in ("window_index", "owned_start", "owned_end")]
+
+    def reached(place: Column, row_at: str, ahead: bool) -> DataFrame:
+        spots = placed.select("lecture_id", place.cast("long").alias("at"), F.lit(0 if ahead else 1).alias("kind"), none.alias("id"), F.struct(*window).alias("w"))
+        own = sums.select("lecture_id", F.col(row_at).cast("long").alias("at"), F.lit(1 if ahead else 0).alias("kind"), F.col("id").cast("long").alias("id"), F.lit(None).cast(spots.schema["w"].dataType).alias("w"))
+        line = Window.partitionBy("lecture_id").orderBy(*(F.col(c) if not ahead else F.col(c).desc() for c in ("at", "kind", "id")))
+        met = F.last("id", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
+        return spots.unionByName(own).withColumn("met", met).filter("w IS NOT NULL").select("lecture_id", "w.*", "met")
+
+    keys = ["lecture_id", "window_index", "owned_start", "owned_end"]
+    left = reached(F.col("before") - budget, "before", True).withColumnRenamed("met", "l")
+    right = reached(F.col("after") + budget, "upto", False).withColumnRenamed("met", "r")
+    out = left.join(right, keys)
+    return out.select(*keys, F.least("l", "owned_start").alias("visible_start"), F.greatest("r", "owned_end").alias("visible_end"))
 
 
 def _evenly(piece: Column) -> Column:

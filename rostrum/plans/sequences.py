@@ -79,9 +79,9 @@ def segmentation_prototype(spark, sf_dir):
     return S.partition(S.boundary_labels(atomize_text(spark, sf_dir)).withColumnRenamed("label", "cut"), prototype=True)
 
 
-@query("heuristic_boundaries", f"""WITH {ATOMS_SQL}, l AS (SELECT *, ltrim(lead(text) OVER (PARTITION BY lecture_id ORDER BY atom_id), ' ') AS f FROM ato)
-SELECT lecture_id, atom_id, CASE WHEN f IS NULL THEN NULL WHEN regexp_matches(f, '^(接下来|下面我们|第一|第二|第三|最后|Next|Finally|First|Second|Third)') THEN 'required_break' WHEN regexp_matches(f, '^(那么|所以|但是|因此|另外|So|But|However|Also|Now)') THEN 'preferred_break'
-  WHEN regexp_matches(text, '[。！？!?\\n]$') THEN 'possible_break' ELSE 'continue' END AS label FROM l""")
+@query("heuristic_boundaries", f"""WITH {ATOMS_SQL}, l AS (SELECT *, regexp_replace(lead(text) OVER (PARTITION BY lecture_id ORDER BY atom_id), '^[\\s\\p{{Z}}\\x{{85}}\\x{{1C}}-\\x{{1F}}\\x{{0B}}]+', '') AS f FROM ato)
+SELECT lecture_id, atom_id, CASE WHEN f IS NULL THEN NULL WHEN regexp_matches(f, '^(好，那么接下来|好，我们接下来|下面我们|最后我们)') THEN 'required_break' WHEN regexp_matches(f, '^(那么|首先|其次|另外|还有一种|举个例子|比如说|所以大家可以看到)') THEN 'preferred_break'
+  WHEN regexp_matches(text, '[。！？!?\\n][^。！？!?\\n；;：:，,]*\\z') THEN 'possible_break' ELSE 'continue' END AS label FROM l""")
 def heuristic_boundaries(spark, sf_dir):
     return S.boundary_labels(atomize_text(spark, sf_dir)).select("lecture_id", "atom_id", "label")
 

@@ -64,6 +64,32 @@ def test_longest_passages():
     assert segmentation.best_cuts([2] * 98, [5] * 98) == [(0, 98)]
 
 
+def test_prototype_partitions_are_the_best_of_all():
+    rng = random.Random(6)
+    for _ in range(60):
+        n = rng.randrange(1, 9)
+        lengths, labels = [rng.randrange(20, 260) for _ in range(n)], [rng.choice(list(segmentation.REWARDS)) for _ in range(n)]
+        every = []
+        for cuts in itertools.product((0, 1), repeat=n - 1):
+            edges = [0, *(k + 1 for k, c in enumerate(cuts) if c), n]
+            sizes = [sum(lengths[a:b]) for a, b in itertools.pairwise(edges)]
+            if max(sizes) <= 450 and all(labels[e - 1] != "continue" for e in edges[1:-1]):
+                fit = sum(-max(80 - x, 0) / 8 - max(x - 280, 0) / 12 for x in sizes)
+                every.append((round(fit + sum(segmentation.REWARDS[labels[e - 1]] for e in edges[1:-1]), 6), list(itertools.pairwise(edges))))
+        found = segmentation.prototype_cuts(lengths, labels)
+        assert found is None if not every else max(every)[0] == dict((tuple(r), v) for v, r in every)[tuple(found)]
+
+
+def test_far_texts_are_given_up():
+    rng = random.Random(2)
+    a, b = ("".join(rng.choice("abcdef ") for _ in range(20_000)) for _ in range(2))
+    assert projection.project(a, [b]).error == "difference_too_large"
+    assert projection.project(a, ["x" * 20_000]).error == "difference_too_large"
+    assert projection.edits(a[:50], b[:50], 3) is None
+    near = a[:9_000] + "xyz" + a[9_010:]
+    assert projection.project(a, [near[:500], near[500:]]).ranges[0] == (0, 500)
+
+
 def test_prototype_never_cuts_a_continuation():
     assert segmentation.prototype_cuts([100, 100, 100], ["continue", "required_break", None]) == [(0, 2), (2, 3)]
     assert segmentation.prototype_cuts([300, 300], ["continue", None]) is None

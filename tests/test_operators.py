@@ -121,3 +121,33 @@ def test_streamed_admission_is_the_batch_one(spark):
 def test_fenced_json_only_whole(spark):
     df = spark.createDataFrame([('{"a":1}',), ('```json\n{"a":1}\n```',), ('so ```json\n{"a":1}\n```',)], "c string")
     assert [r[0] for r in df.select(F.from_json(X.json_body(F.col("c")), "a int")["a"]).collect()] == [1, 1, None]
+
+
+def test_boundary_labels_by_openings_and_endings(spark):
+    """Golden cases by hand: openings, white space before them, and the last mark of an atom whatever follows it."""
+    texts = ["开始", " 下面我们看", "最后我们说", "\u3000首先", "其次。”", "好，那么接下来：", "完。 x", "对，y", "a；b", "问？)", "End! (so)", "Next", "好。，"]
+    want = ["required_break", "required_break", "preferred_break", "preferred_break", "required_break", "continue", "possible_break", "continue", "continue", "possible_break", "possible_break", "continue", None]
+    from rostrum.operators import segmentation
+
+    atoms = spark.createDataFrame([("l", k, t) for k, t in enumerate(texts)], "lecture_id string, atom_id long, text string")
+    got = [r.label for r in segmentation.boundary_labels(atoms).orderBy("atom_id").collect()]
+    assert got == want
+
+
+def test_every_lecture_is_partitioned_or_named(spark):
+    from rostrum.operators import segmentation
+    from rostrum.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()}
+    for name in ("segmentation_dp", "segmentation_prototype"):
+        rows = QUERIES[name](spark, folder).collect()
+        assert {r.lecture_id for r in rows} == ids or name == "segmentation_dp" and {r.lecture_id for r in rows} <= ids
+        whole = [r for r in rows if r.error is None]
+        for lecture in {r.lecture_id for r in whole}:
+            own = sorted((r for r in whole if r.lecture_id == lecture), key=lambda r: r.passage_id)
+            assert own[0].atom_start == 0 and all(a.atom_end == b.atom_start for a, b in zip(own, own[1:], strict=False))
+        assert all(r.chars <= (450 if "prototype" in name else 300) for r in whole)
+    rows = [("a", 0, "x" * 500, "continue"), ("b", 0, "x" * 100, None)]
+    got = segmentation.partition(spark.createDataFrame(rows, "lecture_id string, atom_id long, text string, cut string"), prototype=True).collect()
+    assert {(r.lecture_id, r.passage_id, r.error) for r in got} == {("a", None, "no_partition"), ("b", 0, None)}
