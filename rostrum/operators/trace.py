@@ -75,10 +75,15 @@ def recent_p80(latencies: DataFrame, *key: str) -> DataFrame:
 
 
 def smoothed(latencies: DataFrame, *key: str) -> DataFrame:
-    """Exponentially weighted latency, in order of time: 0.8 of what was and 0.2 of what comes."""
-    items = F.sort_array(F.collect_list(F.struct("at_ms", "record_id", "latency_ms")))
-    fold = F.aggregate(F.slice("i", 2, F.size("i")), F.element_at("i", 1)["latency_ms"].cast("double"), lambda a, x: a * SMOOTHING + x["latency_ms"] * (1 - SMOOTHING))
-    return latencies.groupBy(*key).agg(items.alias("i")).select(*key, fold.alias("ewma"))
+    """Exponentially weighted latency, in order of time: 0.8 of what was and 0.2 of what comes.
+
+    As a sum over ranks from the last: what comes k later weighs 0.8 to the k less, so no class is collected.
+    """
+    order = Window.partitionBy(*key).orderBy(F.col("at_ms").desc(), F.col("record_id").desc(), F.col("latency_ms").desc())
+    later = (F.row_number().over(order) - 1).cast("double")
+    first = F.lead("at_ms").over(order).isNull()
+    weight = F.pow(F.lit(SMOOTHING), later) * F.when(first, 1.0).otherwise(1 - SMOOTHING)
+    return latencies.withColumn("__part", F.col("latency_ms") * weight).groupBy(*key).agg(F.sum("__part").alias("ewma"))
 
 
 def budget_gate(trace: DataFrame, budget: int, *key: str) -> DataFrame:

@@ -48,6 +48,26 @@ def partition_errors(ranges: DataFrame, bounds: DataFrame) -> DataFrame:
     return _errors(rows, "range_id", reversed_range=F.col("first") > F.col("last"), outside=~inside, gap=F.col("first") > expected, overlap=F.col("first") < expected, missing_tail=F.col("after").isNull() & (F.col("last") < F.col("hi")))
 
 
+def restored_errors(spans: DataFrame, segments: DataFrame) -> DataFrame:
+    """Spans (lecture_id, span_index, source_start, source_end, text) of a restored transcript against its segments (lecture_id, id).
+
+    Each must start behind the one before and end inside the transcript; text is null for what was left out on purpose, else
+    it has something in it; together they cover every segment. The position is the span's, or the first segment uncovered.
+    """
+    order = Window.partitionBy("lecture_id").orderBy("span_index")
+    sizes = segments.groupBy("lecture_id").agg(F.count("*").alias("n"))
+    rows = spans.join(sizes, "lecture_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumns({"expected": F.coalesce(F.lag("source_end").over(order) + 1, F.lit(0)), "last": F.lead("span_index").over(order).isNull()})
+    found = _errors(
+        rows, "span_index",
+        end_before_start=F.col("source_end") < F.col("source_start"), outside_transcript=(F.col("source_start") >= F.col("n")) | (F.col("source_end") >= F.col("n")),
+        unexpected_span=F.col("expected") >= F.col("n"), coverage_mismatch=(F.col("expected") < F.col("n")) & (F.col("source_start") != F.col("expected")),
+        empty_text=F.col("text").isNotNull() & is_blank(F.col("text")),
+    )
+    reached = spans.groupBy("lecture_id").agg(F.max_by("source_end", "span_index").alias("end"))
+    tail = sizes.join(reached, "lecture_id", "left").withColumn("position", F.coalesce(F.col("end") + 1, F.lit(0)).cast("long")).filter(F.col("position") < F.col("n"))
+    return found.unionByName(tail.select("lecture_id", F.lit("uncovered_tail").alias("error"), "position"))
+
+
 def passage_text_errors(passages: DataFrame, sources: DataFrame) -> DataFrame:
     """Passages (lecture_id, passage_id, text) must concatenate to their source (lecture_id, text)."""
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("passage_id", "text"))), lambda x: x["text"]), "")

@@ -70,25 +70,27 @@ def deck_pages(spark: SparkSession, sf_dir: str, head: int | None = None) -> Dat
     return rows.select("deck", "page", "doc_id", F.concat(body, foot).alias("text"))
 
 
-PAGES_SQL = """pag AS (SELECT source AS deck, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'ab' WHEN doc_id % 13 = 0 THEN left(text, 60) || ' □' || chr(65533) ELSE left(text, 60) END AS body FROM documents),
-lin AS (SELECT deck, page, doc_id, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pag)"""
+PAGES_SQL = """pag AS (SELECT source AS deck, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page, doc_id, CASE WHEN doc_id % 11 = 0 THEN 'ab' WHEN doc_id % 13 = 0 THEN text || ' □' || chr(65533) ELSE text END AS body FROM documents),
+lns AS (SELECT deck, page, doc_id, list_filter(list_transform(string_split(body || CASE WHEN length(deck) = 4 THEN chr(10) || ' Course  notes ' || page || ' / 90 ' ELSE '' END, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ls, count(*) OVER (PARTITION BY deck) AS pages FROM pag),
+cnd AS (SELECT *, regexp_replace(regexp_replace(ls[-1], '\\s+', ' ', 'g'), ' [0-9]+ / [0-9]+$', '') AS last FROM lns),
+foo AS (SELECT deck, last AS footer, count(*) AS n, pages FROM cnd WHERE last IS NOT NULL GROUP BY deck, last, pages HAVING count(*) >= 3 AND count(*) * 2 > pages),
+lin AS (SELECT c.deck, page, doc_id, array_to_string(CASE WHEN footer IS NULL THEN ls ELSE ls[:-2] END, chr(10)) AS text FROM cnd c LEFT JOIN foo f ON f.deck = c.deck AND f.footer = c.last)"""
 
 
-@query("footer_majority", f"WITH {PAGES_SQL} SELECT deck, 'Course notes' AS footer, count(*) AS n, count(*) AS pages FROM pag WHERE length(deck) = 4 GROUP BY deck HAVING count(*) >= 3")
+@query("footer_majority", f"WITH {PAGES_SQL} SELECT deck, footer, n, pages FROM foo")
 def footer_majority(spark, sf_dir):
-    """All repeated footers. The SQL knows only the planted one, so it agrees where a deck repeats no other last line."""
     return G.repeated_footers(deck_pages(spark, sf_dir))
 
 
 @query("deck_slides", f"WITH {PAGES_SQL} SELECT deck, page AS slide_id, text FROM lin")
 def deck_slides(spark, sf_dir):
-    """Over the first 60 characters, as its SQL has it; deck_slides_whole and the queries after it read whole pages."""
-    return G.slides(deck_pages(spark, sf_dir, 60))
+    return G.slides(deck_pages(spark, sf_dir))
 
 
-@query("deck_slides_whole", f"WITH {PAGES_SQL.replace('left(text, 60)', 'text')} SELECT deck, page AS slide_id, text FROM lin")
+@query("deck_slides_whole", f"WITH {PAGES_SQL} SELECT deck, page AS slide_id, text FROM lin")
 def deck_slides_whole(spark, sf_dir):
-    return G.slides(deck_pages(spark, sf_dir))
+    """The name under which round 1 read whole pages; deck_slides reads them too now."""
+    return deck_slides(spark, sf_dir)
 
 
 WARN_SQL = f"{PAGES_SQL}, war AS (SELECT deck, page + 1 AS page, length(regexp_replace(text, '\\s+', '', 'g')) < 8 AS sparse, list_sort(list_distinct(regexp_extract_all(text, '[□�]'))) AS glyphs FROM lin)"
@@ -96,13 +98,13 @@ WARN_SQL = f"{PAGES_SQL}, war AS (SELECT deck, page + 1 AS page, length(regexp_r
 
 @query("sparse_page_warnings", f"WITH {WARN_SQL} SELECT deck, page, sparse, array_to_string(glyphs, '') AS glyphs FROM war WHERE sparse OR len(glyphs) > 0")
 def sparse_page_warnings(spark, sf_dir):
-    return G.flagged(deck_slides_whole(spark, sf_dir)).withColumn("glyphs", F.array_join("glyphs", ""))
+    return G.flagged(deck_slides(spark, sf_dir)).withColumn("glyphs", F.array_join("glyphs", ""))
 
 
 @query("import_warning_rollup", f"""WITH {WARN_SQL} SELECT deck, 0 AS place, 'sparse pages: ' || string_agg(page, ', ' ORDER BY page) AS message FROM war WHERE sparse GROUP BY deck
 UNION ALL SELECT deck, page + 1, 'page ' || page || ': ' || array_to_string(glyphs, ' ') FROM war WHERE len(glyphs) > 0""")
 def import_warning_rollup(spark, sf_dir):
-    return T.import_warnings(G.warnings(deck_slides_whole(spark, sf_dir)))
+    return T.import_warnings(G.warnings(deck_slides(spark, sf_dir)))
 
 
 @query("recognition_plan", f"WITH {PAGES_SQL} SELECT deck, page FROM pag WHERE (doc_id % 11 = 0 AND length(deck) <> 4) OR contains(body, '□') OR (doc_id % 20) / 100.0 >= 0.05 OR (length(regexp_replace(body || CASE WHEN length(deck) = 4 THEN 'Coursenotes0/90' ELSE '' END, '\\s+', '', 'g')) < 8)")

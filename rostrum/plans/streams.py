@@ -18,7 +18,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """Under the shared folder that the session names; in local mode without one, a temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="rostrum-stream-")
     return f"{named}/stream-{uuid.uuid4().hex}"

@@ -144,6 +144,23 @@ def partition_validation(spark, sf_dir):
     return V.partition_errors(spoilt, bounds)
 
 
+@query("restored_validation", f"""WITH {PASSAGES}, z AS (SELECT lecture_id, count(*) AS n FROM seg GROUP BY 1),
+r AS (SELECT lecture_id, passage_id AS i, source_start + CASE WHEN lecture_id % 7 = 1 AND passage_id = 1 THEN 1 ELSE 0 END AS a, source_end + CASE WHEN lecture_id % 7 = 2 AND passage_id = 0 THEN -2 WHEN lecture_id % 7 = 3 THEN 3 ELSE 0 END AS b,
+  CASE WHEN passage_id % 4 = 3 THEN NULL WHEN passage_id % 5 = 2 THEN ' ' ELSE text END AS text FROM pas WHERE NOT (lecture_id % 7 = 4 AND passage_id > 1)),
+x AS (SELECT r.*, n, coalesce(lag(b) OVER (PARTITION BY lecture_id ORDER BY i) + 1, 0) AS w FROM r JOIN z USING (lecture_id))
+SELECT lecture_id, 'end_before_start' AS error, i AS position FROM x WHERE b < a UNION ALL SELECT lecture_id, 'outside_transcript', i FROM x WHERE a >= n OR b >= n UNION ALL SELECT lecture_id, 'unexpected_span', i FROM x WHERE w >= n
+UNION ALL SELECT lecture_id, 'coverage_mismatch', i FROM x WHERE w < n AND a <> w UNION ALL SELECT lecture_id, 'empty_text', i FROM x WHERE text = ' '
+UNION ALL SELECT lecture_id, 'uncovered_tail', e + 1 FROM (SELECT lecture_id, any_value(n) AS n, max_by(b, i) AS e FROM x GROUP BY 1) WHERE e + 1 < n""")
+def restored_validation(spark, sf_dir):
+    """Passages as restored spans, spoilt by their numbers."""
+    lecture, k = F.col("lecture_id") % 7, F.col("passage_id")
+    spans = passages(spark, sf_dir).filter(~((lecture == 4) & (k > 1))).select(
+        "lecture_id", k.alias("span_index"), (F.col("source_start") + F.when((lecture == 1) & (k == 1), 1).otherwise(0)).alias("source_start"),
+        (F.col("source_end") + F.when((lecture == 2) & (k == 0), -2).when(lecture == 3, 3).otherwise(0)).alias("source_end"), F.when(k % 4 == 3, F.lit(None).cast("string")).when(k % 5 == 2, " ").otherwise(F.col("text")).alias("text"),
+    )
+    return V.restored_errors(spans, segments(spark, sf_dir))
+
+
 @query("passage_text_validation", f"WITH {PASSAGES} SELECT lecture_id, 'text_differs' AS error, CAST(sum(strlen(text)) AS BIGINT) AS position FROM pas WHERE lecture_id % 3 = 0 GROUP BY 1")
 def passage_text_validation(spark, sf_dir):
     own = segments(spark, sf_dir)

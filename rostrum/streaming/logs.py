@@ -85,7 +85,14 @@ def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 m
 
 
 def to_completion(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over all that is there and gives its result table: for replays and tests."""
+    """Runs a stream over all that is there and gives its result table: for replays and tests.
+
+    Appended rows go to Parquet beside the checkpoint; only tables of a row per key, in the other modes, are held in memory.
+    """
+    if mode == "append":
+        out = f"{checkpoint}-rows"
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return stream.sparkSession.read.schema(stream.schema).parquet(out)
     run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     run.awaitTermination()
     return stream.sparkSession.table(name)
