@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
@@ -18,3 +18,12 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_me
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
     )
+
+
+def widened(df: DataFrame) -> DataFrame:
+    """Dealt out to all cores if it has fewer partitions than there are cores: texts in one row group are one task otherwise.
+
+    Large tables have more partitions than that and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
