@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rostrum.session import widened
+
 #: Characters that separate words.
 SPACES = "\t\n\x0b\x0c\r "
 #: A word, as a Java regular expression.
@@ -20,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return widened(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def shared_folder(spark: SparkSession) -> str:

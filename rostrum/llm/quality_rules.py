@@ -31,7 +31,7 @@ from rostrum.llm.common import SPACES, checkpointed, documents
 #: Characters that separate words, in a class of a regular expression.
 BLANKS = r"\x20\x09-\x0D"
 #: Texts of the sample on which costs and rejections are measured, how often each is read for a time, and how many times are taken.
-SAMPLE, REPEATS, RUNS = 400, 25, 3
+SAMPLE, REPEATS, RUNS = 400, 8, 2
 
 
 def _staged(df: DataFrame, **columns: Column) -> DataFrame:
