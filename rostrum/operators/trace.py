@@ -1,16 +1,13 @@
-"""Analytics of model-exchange logs: summaries, usage and its gaps, cost, latency, budgets, replay of admission."""
+"""Analytics of model-exchange logs: summaries, usage and its gaps, cost, latency, budgets."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Hedging, admission and the categories that count as annotation failures.
+#: Hedging and smoothing.
 RECENT, MIN_SAMPLES, HEDGE_FACTOR, HEDGE_BASE_MS = 50, 10, 3, 5_000
-SMOOTHING, GROW_MIN, GROW_EVERY_MS = 0.8, 8, 1_000
-#: The category of failures by a rate limit (status 429).
-RATE_LIMITED = "rate_limited"
+SMOOTHING = 0.8
 
 
 def summary(trace: DataFrame) -> DataFrame:
@@ -100,33 +97,6 @@ def replayed_state(trace: DataFrame) -> DataFrame:
     return trace.agg((F.max("record_id") + 1).alias("next_id"), F.sum(F.when(F.col("event") == "completion", F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0)))).alias("tokens"), F.count_if(F.col("event") == "completion").alias("completions"), F.count_if(F.col("event") == "failure").alias("failures"))
 
 
-def admission_step(state: tuple[int, int, int], event: str, at_ms: int, largest: int, limited: bool = True) -> tuple[int, int, int]:
-    """(cap, successes in good health, since when): a rate limit halves the cap, other failures only end the health, enough successes raise the cap by one."""
-    cap, good, grown = state
-    if event == "failure":
-        return max(cap // 2, 1) if limited else cap, 0, at_ms
-    if event == "completion":
-        good += 1
-        if good >= max(GROW_MIN, 2 * cap) and at_ms - grown >= GROW_EVERY_MS and cap < largest:
-            return cap + 1, 0, at_ms
-    return cap, good, grown
-
-
-def admission(trace: DataFrame, start: int = 2, largest: int = 8, limits: tuple[str, ...] = (RATE_LIMITED,)) -> DataFrame:
-    """The cap after every completion or failure of each workflow, replayed in order of time. ``limits`` are the categories of rate limits."""
-
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["at_ms", "record_id"])
-        state, caps = (start, 0, 0), []
-        for event, at, category in zip(own.event, own.at_ms, own.category, strict=True):
-            state = admission_step(state, event, int(at), largest, category in limits)
-            caps.append(state[0])
-        return pd.DataFrame({"workflow": own.workflow, "record_id": own.record_id, "cap": caps})
-
-    rows = trace.filter("event IN ('completion', 'failure')").select("workflow", "record_id", "at_ms", "event", "category")
-    return rows.groupBy("workflow").applyInPandas(run, "workflow string, record_id long, cap long")
-
-
 def annotation_quality(windows: DataFrame) -> DataFrame:
     """Of windows (changed, compared, rejected): exact, fuzzy and rejected ones with percentages, 0 of none."""
     share = lambda n: F.when(F.count("*") == 0, 0.0).otherwise(n * 100.0 / F.count("*"))

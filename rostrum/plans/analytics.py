@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rostrum.operators import admission as A
 from rostrum.operators import evaluation as E
 from rostrum.operators import trace as T
 from rostrum.plans.ranking import COUNTS_SQL, DECIDED_SQL, MEMBERS_SQL, decisions, members
@@ -71,8 +72,31 @@ def history_replay(spark, sf_dir):
 
 @query("adaptive_admission")
 def adaptive_admission(spark, sf_dir):
-    """Caps replayed over the log; the tests compare the kernel with hand-made sequences and with its streaming form."""
-    return T.admission(trace(spark, sf_dir), limits=LIMITS)
+    """Caps replayed over the log; the tests compare with a plain replay and with the streaming form."""
+    return A.admission(trace(spark, sf_dir), limits=LIMITS)
+
+
+@query("response_times", f"""WITH {TRACE}, d AS (SELECT workflow, latency_ms, row_number() OVER (PARTITION BY workflow ORDER BY at_ms DESC, record_id DESC) AS n FROM tra WHERE event = 'completion' AND latency_ms IS NOT NULL),
+k AS (SELECT workflow, string_agg(latency_ms, ',' ORDER BY n DESC) AS latencies FROM d WHERE n <= 50 GROUP BY 1), b AS (SELECT workflow, count(*) FILTER (hedge) AS hedges, max(exchange_id) + 1 AS next_exchange FROM tra WHERE event = 'request' GROUP BY 1)
+SELECT workflow, latencies, hedges, next_exchange FROM k FULL JOIN b USING (workflow)""")
+def response_times(spark, sf_dir):
+    return A.response_times(trace(spark, sf_dir), "workflow").withColumn("latencies", F.array_join(F.transform("latencies", lambda x: x.cast("string")), ","))
+
+
+@query("due_hedges", f"""WITH {TRACE}, l AS (SELECT workflow, at_ms, record_id, row_number() OVER (PARTITION BY workflow ORDER BY at_ms, record_id) AS n, latency_ms FROM tra WHERE event = 'completion' AND latency_ms IS NOT NULL),
+p AS (SELECT workflow, at_ms, record_id, CASE WHEN n >= 10 THEN list_sort(list(latency_ms) OVER w)[(len(list(latency_ms) OVER w) * 4 + 4) // 5] END AS p80 FROM l WINDOW w AS (PARTITION BY workflow ORDER BY n ROWS 49 PRECEDING)),
+u AS (SELECT workflow, at_ms, record_id, p80, NULL AS exchange_id FROM p UNION ALL SELECT workflow, at_ms, record_id, NULL, exchange_id FROM tra WHERE event = 'request' AND NOT hedge),
+f AS (SELECT workflow, at_ms, record_id, exchange_id, last_value(p80 IGNORE NULLS) OVER (PARTITION BY workflow ORDER BY at_ms, record_id ROWS UNBOUNDED PRECEDING) AS p80 FROM u),
+e AS (SELECT exchange_id, min(at_ms) AS end_ms FROM tra WHERE event IN ('completion', 'failure') GROUP BY 1)
+SELECT f.workflow, f.exchange_id, record_id, at_ms, p80, 3 * p80 + 5000 AS threshold_ms, at_ms + 3 * p80 + 5000 AS due_ms, end_ms FROM f LEFT JOIN e ON e.exchange_id = f.exchange_id WHERE f.exchange_id IS NOT NULL AND p80 IS NOT NULL AND (end_ms IS NULL OR end_ms > at_ms + 3 * p80 + 5000)""")
+def due_hedges(spark, sf_dir):
+    return A.due_hedges(trace(spark, sf_dir), "workflow")
+
+
+@query("started_hedges")
+def started_hedges(spark, sf_dir):
+    """Three at a time and twenty a run, of those due; the tests compare with a replay by events."""
+    return A.hedges(A.due_hedges(trace(spark, sf_dir), "workflow"), "workflow")
 
 
 @query("annotation_quality", f"WITH {PASSAGES}, q AS (SELECT novelty % 3 AS changed, chars AS compared, importance = 5 AS rejected FROM pas) SELECT count(*) AS windows, count(*) FILTER (NOT rejected AND changed = 0) AS exact, count(*) FILTER (NOT rejected AND changed > 0) AS fuzzy, count(*) FILTER (rejected) AS rejected, round(count(*) FILTER (NOT rejected AND changed = 0) * 100.0 / count(*), 6) AS exact_percent, round(count(*) FILTER (NOT rejected AND changed > 0) * 100.0 / count(*), 6) AS fuzzy_percent, round(count(*) FILTER (rejected) * 100.0 / count(*), 6) AS rejected_percent, CAST(sum(changed) AS BIGINT) AS changed, CAST(sum(compared) AS BIGINT) AS compared FROM q")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rostrum.operators import admission as A
 from rostrum.operators import trace as T
 from rostrum.sources.artifacts import TRACE
 
@@ -54,21 +55,20 @@ def active_requests(records: DataFrame) -> DataFrame:
     return rows.groupBy("workflow").applyInPandasWithState(step, "workflow string, active long", "opened array<bigint>, ended array<bigint>", "update", GroupStateTimeout.NoTimeout)
 
 
-def admission(records: DataFrame, start: int = 2, largest: int = 8, limits: tuple[str, ...] = (T.RATE_LIMITED,)) -> DataFrame:
-    """workflow, record_id, cap after every completion or failure; for the append mode. Records of a batch are put in order of time."""
+def admission(records: DataFrame, start: int = 2, largest: int = 8, limits: tuple[str, ...] = (A.RATE_LIMITED,)) -> DataFrame:
+    """What operators.admission gives, after every completion or failure; for the append mode. Records of a batch are put in order of time.
+
+    Beside the gate's numbers the state holds the requests still open, with the generation in which they began.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = tuple(state.get) if state.exists else (start, 0, 0)
-        rows = pd.concat(list(batches)).sort_values(["at_ms", "record_id"])
-        caps = []
-        for event, at, category in zip(rows.event, rows.at_ms, rows.category, strict=True):
-            own = T.admission_step(own, event, int(at), largest, category in limits)
-            caps.append(own[0])
-        state.update(own)
-        yield pd.DataFrame({"workflow": rows.workflow, "record_id": rows.record_id, "cap": caps})
-
-    rows = records.filter("event IN ('completion', 'failure')").select("workflow", "record_id", "at_ms", "event", "category")
-    return rows.groupBy("workflow").applyInPandasWithState(step, "workflow string, record_id long, cap long", "cap long, good long, grown long", "append", GroupStateTimeout.NoTimeout)
+        gate, begun = A.unpacked(state.get) if state.exists else (A.Gate(start), {})
+        gate, out = A.replayed(gate, begun, pd.concat(list(batches)), largest, limits)
+        state.update(A.packed(gate, begun))
+        yield out
+
+    kind = f"{A.STATE}, open array<bigint>, begun array<bigint>"
+    return A.admission_rows(records).groupBy("workflow").applyInPandasWithState(step, A.CAPS, kind, "append", GroupStateTimeout.NoTimeout)
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from rostrum.operators import alignment, projection, ranking, segmentation, trace
+from rostrum.operators import alignment, projection, ranking, segmentation
 from rostrum.sources import pages
 
 
@@ -154,16 +154,6 @@ def test_times_within_an_island():
     assert projection.timed_island(["abc", "defg"], [(0, 700), (0, 700)], tokens[:7]) == [(0, 300), (300, 700)]
 
 
-def test_admission_halves_and_grows():
-    state = (4, 0, 0)
-    state = trace.admission_step(state, "failure", 10, 8)
-    assert state == (2, 0, 10)
-    for k in range(8):
-        state = trace.admission_step(state, "completion", 2000 + k, 8)
-    assert state[0] == 3
-    assert trace.admission_step((1, 0, 0), "failure", 1, 8)[0] == 1
-
-
 def test_recognised_lines():
     own = ["The quick brown fox jumps"]
     assert pages.merge_lines(own, ["THE QUICK BROWN FOX", "Another line here", "abc"]) == [*own, "Another line here"]
