@@ -209,6 +209,19 @@ def test_mixing_meets_targets(spark, corpus):
     assert source
 
 
+def test_mixing_misses_by_short_documents(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(["w"] * rng.choice([5, 9, 20, 40, 300, 2500] if k % 3 else [3, 8])), f"s{k % 4}") for k in range(600)]
+    rows.append((600, " ".join(["w"] * 9000), "s1"))
+    taken, source = defaultdict(int), {k: s for k, _, s in rows}
+    targets = {}
+    for r in mixing.mix(table(spark, rows), fan=16).collect():
+        taken[source[r.doc_id]] += r.taken
+        targets[source[r.doc_id]] = r.target
+        assert r.taken <= 3 * r["size"]
+    assert all(abs(taken[s] - t) <= 300 for s, t in targets.items()), (taken, targets)
+
+
 def test_mixing_repeated_rows_share_copies(spark):
     rows = [(1, "a b c", "x")] * 50 + [(k, "d e f g", "y") for k in range(2, 8)]
     got = mixing.mix(table(spark, rows)).collect()
