@@ -68,6 +68,22 @@ def restored_errors(spans: DataFrame, segments: DataFrame) -> DataFrame:
     return found.unionByName(tail.select("lecture_id", F.lit("uncovered_tail").alias("error"), "position"))
 
 
+def artifact_errors(tables: dict[str, DataFrame], segments: DataFrame) -> DataFrame:
+    """A stored analysis against the transcript it was made from.
+
+    tables: spans as of restored_errors, passages (lecture_id, passage_id, source_start, source_end), window_diagnostics (lecture_id,
+    window_index) and window_projections (lecture_id, window_index, compared_characters). A lecture has as many projections as
+    diagnostics (else the position is the number of projections), none of them empty; spans and passages cover the segments.
+    """
+    count = lambda name, n: tables[name].groupBy("lecture_id").agg(F.count("*").alias(n))
+    both = count("window_diagnostics", "want").join(count("window_projections", "got"), "lecture_id", "full_outer").select("lecture_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("want", "got")])
+    uneven = both.filter("want <> got").select("lecture_id", F.lit("window_count_mismatch").alias("error"), F.col("got").alias("position"))
+    empty = tables["window_projections"].filter("compared_characters = 0").select("lecture_id", F.lit("empty_projection").alias("error"), F.col("window_index").alias("position"))
+    bounds = segments.groupBy("lecture_id").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    ranges = tables["passages"].select("lecture_id", F.col("passage_id").alias("range_id"), F.col("source_start").alias("first"), F.col("source_end").alias("last"))
+    return uneven.unionByName(empty).unionByName(restored_errors(tables["spans"], segments)).unionByName(partition_errors(ranges, bounds))
+
+
 def passage_text_errors(passages: DataFrame, sources: DataFrame) -> DataFrame:
     """Passages (lecture_id, passage_id, text) must concatenate to their source (lecture_id, text)."""
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("passage_id", "text"))), lambda x: x["text"]), "")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.operators import ranking as R
-from rostrum.plans.registry import query, table
+from rostrum.operators.resume import resumed
+from rostrum.plans.registry import checkpoint_folder, query, table
 from rostrum.plans.standins import PASSAGES, passages
 
 #: Orders of a customer are compared in fours by id; the dearest is chosen most, the cheapest least.
@@ -82,6 +83,15 @@ def pending_batches(spark, sf_dir):
     return R.pending(own, own.filter("batch % 3 = 0"))
 
 
+@query("resumed_batches", f"WITH {MEMBERS_SQL} SELECT DISTINCT comparison_id // 16 AS batch, comparison_id // 16 * 2 AS doubled, (comparison_id // 16) % 3 = 0 AS before FROM mem")
+def resumed_batches(spark, sf_dir):
+    """A run over a third of the batches, and a second one that computes the others alone."""
+    own, folder = comparison_batches(spark, sf_dir).select("batch").distinct(), f"{checkpoint_folder(spark)}-resume"
+    work = lambda first: lambda rows: rows.select("batch", (F.col("batch") * 2).alias("doubled"), F.lit(first).alias("before"))
+    resumed(own.filter("batch % 3 = 0"), work(True), folder, {"version": 1}, "batch")
+    return resumed(own, work(False), folder, {"version": 1}, "batch", invalid=F.col("doubled") != F.col("batch") * 2, rounds=2)
+
+
 @query("bws_plan")
 def bws_plan(spark, sf_dir):
     """Plans of every lecture; the tests compare the generator with its published sequence."""

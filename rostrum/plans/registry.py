@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,3 +33,13 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return widened(found) if name == "documents" else found
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Under the shared folder that the session names; in local mode without one, a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="rostrum-stream-")
+    return f"{named}/rostrum-{uuid.uuid4().hex}"

@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.plans.analytics import USAGE_SQL
-from rostrum.plans.registry import query, table
+from rostrum.plans.registry import checkpoint_folder, query, table
 from rostrum.plans.standins import LIMITS, TRACE, trace_of
 from rostrum.streaming import logs as L
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """Under the shared folder that the session names; in local mode without one, a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="rostrum-stream-")
-    return f"{named}/stream-{uuid.uuid4().hex}"
-
-
 def replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of trace() as a stream over the events table. Streams read folders or patterns, so the table's path is a pattern."""
     return trace_of(L.parquet_tail(spark, f"{sf_dir}/events.parque[t]", table(spark, sf_dir, "events").schema))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rostrum.operators import validation as V
 from rostrum.operators import windows as W
-from rostrum.plans.registry import query, table
+from rostrum.plans.registry import checkpoint_folder, query, table
 from rostrum.plans.standins import PASSAGES, SEGMENTS, SLIDES, TIMED, passages, segments, slides, timed
+from rostrum.sources.artifacts import read_artifact, write_artifact
 
 GREEDY_SQL = f"""{SEGMENTS}, gre AS (SELECT lecture_id, id, length(text) AS used, 0 AS w FROM seg WHERE id = 0 UNION ALL
   SELECT s.lecture_id, s.id, length(s.text) + CASE WHEN g.used + length(s.text) > 400 THEN 0 ELSE g.used END, g.w + CASE WHEN g.used + length(s.text) > 400 THEN 1 ELSE 0 END FROM gre g JOIN seg s ON s.lecture_id = g.lecture_id AND s.id = g.id + 1),
@@ -188,3 +189,22 @@ def token_validation(spark, sf_dir):
     k = F.col("pos")
     own = timed(spark, sf_dir).select("lecture_id", "pos", F.when(k % 17 == 3, "").otherwise(F.col("event_type")).alias("text"), "start_ms", F.when(k % 13 == 5, F.col("start_ms")).when(k % 11 == 2, F.col("end_ms") + 1).otherwise(F.col("end_ms")).alias("end_ms"))
     return V.token_errors(own)
+
+
+@query("artifact_revalidation", f"""WITH {PASSAGES} SELECT lecture_id, 'window_count_mismatch' AS error, count(*) - 1 AS position FROM pas WHERE lecture_id % 5 = 1 GROUP BY 1
+UNION ALL SELECT lecture_id, 'empty_projection', passage_id FROM pas WHERE lecture_id % 5 = 2 AND passage_id = 0
+UNION ALL SELECT lecture_id, 'uncovered_tail', max(id) FROM seg WHERE lecture_id % 5 = 3 GROUP BY 1
+UNION ALL SELECT lecture_id, 'overlap', passage_id FROM pas WHERE lecture_id % 5 = 4 AND passage_id = 1""")
+def artifact_revalidation(spark, sf_dir):
+    """Stored tables of which some lectures lack a projection or a span, hold an empty projection, or passages that overlap."""
+    own, kind, path = passages(spark, sf_dir), F.col("lecture_id") % 5, f"{checkpoint_folder(spark)}-artifact"
+    windows = own.select("lecture_id", F.col("passage_id").alias("window_index"), F.when((kind == 2) & (F.col("passage_id") == 0), 0).otherwise(F.col("chars")).alias("compared_characters"))
+    rows = segments(spark, sf_dir)
+    tail = F.col("id") == F.max("id").over(Window.partitionBy("lecture_id"))
+    spans = rows.withColumn("tail", tail).filter(~((kind == 3) & F.col("tail"))).select("lecture_id", F.col("id").alias("span_index"), F.col("id").alias("source_start"), F.col("id").alias("source_end"), "text")
+    tables = {
+        "spans": spans, "passages": own.withColumn("source_start", F.col("source_start") - F.when((kind == 4) & (F.col("passage_id") == 1), 1).otherwise(0)),
+        "window_diagnostics": windows.select("lecture_id", "window_index"), "window_projections": windows.filter(~((kind == 1) & (F.col("window_index") == 0))),
+    }
+    write_artifact(tables, path)
+    return V.artifact_errors(read_artifact(spark, path, tuple(tables)), rows)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import parsed_price, per_token, search_words
@@ -24,27 +27,56 @@ def parse_trace(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def append_trace(records: DataFrame, path: str) -> None:
-    """Appends records numbered on from the largest id at the path; in order of time and exchange."""
-    from pyspark.sql import Window
-    from pyspark.sql.utils import AnalysisException
+    """Appends records numbered on from the largest id at the path; in order of time and exchange.
 
-    spark = records.sparkSession
+    Numbers are places within a minute and the sizes of the minutes before, so no task orders all records. A write is kept whole
+    or not at all: there is no half-written tail.
+    """
     try:
-        last = spark.read.parquet(path).agg(F.max("record_id")).first()[0]
+        last = records.sparkSession.read.parquet(path).agg(F.max("record_id")).first()[0]
     except AnalysisException:
         last = None
-    number = F.row_number().over(Window.orderBy("at_ms", "exchange_id", "event")) + (0 if last is None else last + 1) - 1
-    records.withColumn("record_id", number.cast("long")).write.mode("append").parquet(path)
+    minute = F.coalesce(F.floor(F.col("at_ms") / 60_000), F.lit(-(1 << 60)))
+    rows = records.withColumn("__minute", minute)
+    before = Window.orderBy("__minute").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("__minute").agg(F.count("*").alias("__n")).select("__minute", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__minute").orderBy("at_ms", "exchange_id", "event"))
+    number = F.col("__before") + place + (0 if last is None else last + 1) - 1
+    rows.join(offsets, "__minute").withColumn("record_id", number.cast("long")).select(*records.columns, *([] if "record_id" in records.columns else ["record_id"])).write.mode("append").parquet(path)
+
+
+class ArtifactError(ValueError):
+    """An artifact that is not there or not whole."""
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(f"{path}/commits")
+    except AnalysisException:
+        return None
 
 
 def write_artifact(tables: dict[str, DataFrame], path: str) -> None:
-    """An artifact is a directory of tables; each is replaced whole by the committer."""
+    """An artifact is a directory of tables, replaced all at once: readers see them when the last step, one row that names their folder, is there.
+
+    Earlier versions stay; who owns the path removes them. One writer at a time.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    folder, known = uuid.uuid4().hex, _commits(spark, path)
+    version = 0 if known is None else known.agg(F.max("version")).first()[0] + 1
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.parquet(f"{path}/{folder}/{name}")
+    row = spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(folder).alias("folder"), F.array(*map(F.lit, sorted(tables))).alias("names"))
+    row.coalesce(1).write.mode("append").parquet(f"{path}/commits")
 
 
 def read_artifact(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    """The newest version's tables. What they hold is checked by validation.artifact_errors."""
+    known = _commits(spark, path)
+    newest = None if known is None else known.orderBy(F.col("version").desc()).first()
+    if newest is None or set(names) - set(newest["names"]):
+        raise ArtifactError(f"{path} holds no artifact of {', '.join(names)}")
+    return {name: spark.read.parquet(f"{path}/{newest['folder']}/{name}") for name in names}
 
 
 def hashed_files(spark: SparkSession, path: str) -> DataFrame:
@@ -71,8 +103,6 @@ def catalog(texts: DataFrame) -> DataFrame:
 
 def search_catalog(presets: DataFrame, text: str, offset: int = 0, page: int = 20) -> DataFrame:
     """A page of presets that hold every word of the search, the most relevant first, with total and next_offset. The model's id settles ties."""
-    from pyspark.sql import Window
-
     own = presets.withColumn("__q", search_words(F.lit(text)))
     names = ("provider_id", "provider_name", "model_id", "model_name")
     for name in names:
