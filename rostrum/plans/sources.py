@@ -56,15 +56,12 @@ def plain_text_scan(spark, sf_dir):
     return S.from_plain(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("lecture_id"), "text")).select("lecture_id", "id", "text")
 
 
-def deck_pages(spark: SparkSession, sf_dir: str, head: int | None = None) -> DataFrame:
-    """A source's documents as pages of a deck, each with a footer of its count; short ones are sparse, some are broken.
-
-    Pages hold whole texts, or the first ``head`` characters.
-    """
+def deck_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source's documents as pages of a deck, each with a footer of its count; short ones are sparse, some are broken."""
     from pyspark.sql import Window
 
     place = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long")
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("deck"), place.alias("page"), F.col("doc_id"), (F.col("text") if head is None else F.left("text", F.lit(head))).alias("head"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("deck"), place.alias("page"), F.col("doc_id"), F.col("text").alias("head"))
     body = F.when(F.col("doc_id") % 11 == 0, "ab").when(F.col("doc_id") % 13 == 0, F.concat("head", F.lit(" □�"))).otherwise(F.col("head"))
     foot = F.when(F.length("deck") == 4, F.concat(F.lit("\n Course  notes "), F.col("page").cast("string"), F.lit(" / 90 "))).otherwise("")
     return rows.select("deck", "page", "doc_id", F.concat(body, foot).alias("text"))
@@ -115,11 +112,9 @@ def recognition_plan(spark, sf_dir):
 
 @query("recognised_line_merge")
 def recognised_line_merge(spark, sf_dir):
-    """Pages merged with recognised lines that repeat some of theirs; the tests compare the kernel with cases.
-
-    Only over the first 60 characters of a page and 40 recognised ones: the character diff is quadratic in a page's length.
-    """
-    return G.merged(deck_pages(spark, sf_dir, 60).withColumn("recognised", F.concat(F.upper(F.left("text", F.lit(40))), F.lit("\nA new line of text"))))
+    """Whole pages merged with recognised lines: their beginning and end in capitals, and a new one; the tests compare the kernel with cases."""
+    head, tail = F.left("text", F.lit(40)), F.right("text", F.lit(40))
+    return G.merged(deck_pages(spark, sf_dir).withColumn("recognised", F.concat_ws("\n", F.upper(head), F.upper(tail), F.lit("A new line of text"))))
 
 
 @query("comparable_text")

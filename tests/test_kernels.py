@@ -162,6 +162,24 @@ def test_recognised_lines():
     assert pages.merge_lines(own, ["new words in line", "new words in line"]) == [*own, "new words in line"]
 
 
+def test_common_is_a_longest_subsequence():
+    rng = random.Random(5)
+    for _ in range(300):
+        text, line = ("".join(rng.choice("abc") for _ in range(rng.randrange(n))) for n in (30, 12))
+        best = [[0] * (len(line) + 1) for _ in range(len(text) + 1)]
+        for i, c in enumerate(text):
+            for j, d in enumerate(line):
+                best[i + 1][j + 1] = best[i][j] + 1 if c == d else max(best[i][j + 1], best[i + 1][j])
+        found = pages.common(text, line)
+        assert len(found) == best[-1][-1]
+        assert all(text[i] == line[j] for i, j in found) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(found, found[1:]))
+
+
+def test_recognised_lines_of_long_pages():
+    page = ["A page of many words and numbers 12345"] * 3 + ["x" * 100_000, "the last line is here"]
+    assert pages.merge_lines(page, ["THE LAST L1NE IS HERE", "quite unlike all of it"]) == [*page, "quite unlike all of it"]
+
+
 def test_secrets_across_chunks():
     from rostrum.functions.redaction import Redactor
 
