@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op7_line_dedup": line_dedup.OP7_SQL,
+    "op8_warc": warc.OP8_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
 }

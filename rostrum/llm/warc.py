@@ -1,11 +1,13 @@
 """WARC archives compressed with a shared Zstandard dictionary.
 
 A dictionary is trained on a sample of the records. Each archive opens with it
-in a skippable frame, and every record is a frame of its own, so that a record
-can be read alone. Archives are written by Spark's own text sink: a record's
-frame is a line, and the line separator is an empty skippable frame, which
-readers pass over. So the sink's commit protocol, any file system that Spark
-reaches and lost executors are its business, and no record passes the driver.
+in a skippable frame, then comes a warcinfo record, and every record is a frame
+of its own, so that a record can be read alone. An archive ends before it grows
+beyond ``archive_bytes``, so that readers hold that much; a longer record has an
+archive of its own. Archives are written by Spark's own text sink: an archive is
+the one line of its file, and the line separator is an empty skippable frame,
+which readers pass over. So the sink's commit protocol, any file system that
+Spark reaches and lost executors are its business, and no record passes the driver.
 
 Of records with equal payloads the one with the largest page_id is a response
 and the others are revisits that refer to it; smaller payloads than
@@ -13,9 +15,13 @@ and the others are revisits that refer to it; smaller payloads than
 and so the payload's length, but not the payload. Payloads are compared by
 SHA-1. Several rows with the largest page_id and equal payloads are all
 responses, and so are rows without an id whose payload no row with an id has.
+A record's id is made of the page's and the payload's digest, so that only rows
+equal in both share one.
 
 Null payloads are empty. Null or odd URLs are percent-encoded. An empty table
-gives archives without records.
+gives no records. Very long pages are records like others, held whole by the
+task that writes or reads them. Columns besides page_id, url and html aren't
+stored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,14 +49,16 @@ DATE = "2024-01-01T00:00:00Z"
 BROADCAST_PAYLOADS = 1_000_000
 #: Records that the dictionary is trained on at most, characters of each, and its size in bytes.
 SAMPLE, SAMPLE_WIDTH, DICTIONARY_SIZE, LEVEL = 400, 32_768, 16_384, 6
+#: Compressed bytes of an archive.
+ARCHIVE_BYTES = 64 << 20
 
 
 def _base32(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:page:{'none' if page_id is None else page_id}>"
+def _name(page_id: int | None, sha1: str) -> str:
+    return f"<urn:page:{'none' if page_id is None else page_id}:{_base32(sha1)}>"
 
 
 def record(page_id: int | None, url: str | None, html: str | None, sha1: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -58,11 +66,18 @@ def record(page_id: int | None, url: str | None, html: str | None, sha1: str, re
     body = (html or "").encode()
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + (b"" if revisit else body)
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {DATE}",
+        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id, sha1)}", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {quote(url or 'about:blank', safe=':/?#[]@!$&()*+,;=%~')}", f"WARC-Payload-Digest: sha1:{_base32(sha1)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}",
     ]
     if revisit:
-        head[2:2] = [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_name(refers_to)}"]
+        head[2:2] = [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_name(refers_to, sha1)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def info() -> bytes:
+    """The warcinfo record that an archive opens with."""
+    block = b"software: rostrum\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -92,8 +107,12 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return joined.withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("last"))).drop("long_enough", "last")
 
 
-def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> str:
-    """Writes pages (page_id, url, html) as one archive per partition under ``folder``; returns the folder."""
+def _line(frames: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([b"".join(frames)], pa.binary())], names=["value"])
+
+
+def write(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
+    """Writes pages (page_id, url, html) as archives under ``folder``, each partition one or more; returns the folder."""
     import zstandard
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
@@ -107,17 +126,22 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> str:
 
     def archive(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary_of(trained))
-        first = True
+        opening = struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained
+        frames, size = [opening + packer.compress(info())], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                frames = [struct.pack("<II", DICTIONARY_MAGIC, len(trained)) + trained] if first else []
-                first = False
                 for r in batch.slice(i, 256).to_pylist():
-                    frames.append(packer.compress(record(r["page_id"], r["url"], r["html"], r["sha1"], r["refers_to"], r["revisit"])))
-                yield pa.record_batch([pa.array(frames, pa.binary())], names=["value"])
+                    frame = packer.compress(record(r["page_id"], r["url"], r["html"], r["sha1"], r["refers_to"], r["revisit"]))
+                    if size and size + len(frame) > archive_bytes:
+                        yield _line(frames)
+                        frames, size = [opening + packer.compress(info())], 0
+                    frames.append(frame)
+                    size += len(frame)
+        if size:
+            yield _line(frames)
 
     known = with_revisits(rows, min_bytes).select("page_id", "url", "html", "sha1", "refers_to", "revisit")
-    known.mapInArrow(archive, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(folder)
+    known.mapInArrow(archive, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", 1).text(folder)
     return folder
 
 
@@ -163,7 +187,7 @@ def parse(raw: bytes) -> dict:
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
-    number = lambda name: None if name is None or name == "<urn:page:none>" else int(name[10:-1])
+    number = lambda name: None if name is None or name.startswith("<urn:page:none:") else int(name[10:-1].split(":")[0])
     revisit = fields["WARC-Type"] == "revisit"
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:") if revisit else base64.b32encode(hashlib.sha1(payload).digest()).decode()
     return {
@@ -193,6 +217,8 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
                     return pa.record_batch([pa.array([r[k] for r in held], t) for k, t in _KINDS.items()], names=list(_KINDS))
 
                 for raw in records(content.as_py()):
+                    if raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n"):
+                        continue
                     held.append(parse(raw) if payloads else parse(raw) | {"payload": None})
                     size += len(raw) * payloads
                     if len(held) >= 5_000 or size > 4_000_000:
@@ -204,6 +230,13 @@ def read(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(run, SCHEMA)
 
 
+#: DuckDB's rows of op8_warc: five hexadecimal digits of a SHA-1 make four digits of base 32.
+OP8_SQL = """WITH h AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  max(page_id) OVER (PARTITION BY hex) AS last FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS DISTINCT FROM last AND last IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to FROM d"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)

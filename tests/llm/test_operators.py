@@ -383,10 +383,34 @@ def test_warc_frames_open_with_the_dictionary(spark, tmp_path):
     folder = warc.write(pages, f"{tmp_path}/archive")
     data = next(p.read_bytes() for p in __import__("pathlib").Path(folder).glob("part-*"))
     assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC
-    assert len(list(warc.records(data))) == 200
+    kinds = Counter(re.search(rb"WARC-Type: (\w+)", r)[1] for r in warc.records(data))
+    assert kinds == {b"warcinfo": 1, b"response": 200}
     assert warc.frame_end(f := zstandard.ZstdCompressor().compress(b"abc" * 90_000), 0) == len(f)
 
 
+def test_warc_archives_are_bounded(spark, tmp_path):
+    rng = random.Random(8)
+    pages = spark.createDataFrame([(k, f"http://a/{k}", "".join(chr(rng.randrange(33, 126)) for _ in range(9_000 if k == 7 else 900))) for k in range(60)], "page_id long, url string, html string").coalesce(2)
+    folder = warc.write(pages, f"{tmp_path}/archive", archive_bytes=5_000)
+    files = [p.read_bytes() for p in __import__("pathlib").Path(folder).glob("part-*")]
+    held = [list(warc.records(f)) for f in files]
+    assert len(files) > 5 and sum(map(len, held)) == 60 + len(files)
+    for data, own in zip(files, held, strict=True):
+        size = int.from_bytes(data[4:8], "little")
+        assert data[:4] == warc.DICTIONARY_MAGIC.to_bytes(4, "little") and b"WARC-Type: warcinfo" in own[0]
+        assert len(data) - size < 5_000 + 500 or len(own) == 2
+    assert sorted(r.page_id for r in warc.read(spark, folder).collect()) == list(range(60))
+
+
+def test_warc_names_of_repeated_pages(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a", "x"), (1, "u", "b", "x"), (2, "u", "b", "x")], "page_id long, url string, html string, sha1 string")
+    folder = warc.write(pages, f"{tmp_path}/archive")
+    raw = [r for p in __import__("pathlib").Path(folder).glob("part-*") for r in warc.records(p.read_bytes())]
+    names = {re.search(rb"WARC-Record-ID: (\S+)", r)[1] for r in raw if b"warcinfo" not in r}
+    refers = [m[1] for r in raw if (m := re.search(rb"WARC-Refers-To: (\S+)", r))]
+    assert len(names) == 3 and len(refers) == 1 and refers[0] in names
+
+
 def test_language_sample_has_rare_languages_and_ends_of_texts(spark):
     rows = [(k, "plain words " * 2 + "x" * 6000 + " the end", "big") for k in range(400)] + [(1000 + k, "rare", "few") for k in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter(language_id.trainable(F.col("doc_id")))
