@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARK = "[REDACTED]"
+MARK = "<REDACTED>"
 
 
 class Redactor:

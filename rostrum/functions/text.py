@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
+from urllib.parse import quote_plus
 
 import pandas as pd
 from pyspark.sql import Column
@@ -148,8 +150,22 @@ def per_token(per_million: Column) -> Column:
     return F.concat(F.lit("$"), F.regexp_replace(short, r"\.$", ".0"))
 
 
+#: Headers whose values are secret.
+SECRET_HEADERS = ("authorization", "proxy-authorization", "x-api-key")
+
+
+def _spellings(secret: str) -> list[str]:
+    """A secret as itself, inside a JSON string, and form-encoded; the longest first."""
+    inner = json.dumps(secret, ensure_ascii=False)[1:-1]
+    return sorted({secret, inner, quote_plus(secret, safe="*-._")}, key=lambda s: (-len(s), s))
+
+
 def redacted(text: Column, secrets: list[str]) -> Column:
-    """Every secret, and bearer tokens in authorization headers, replaced."""
-    for secret in sorted((s for s in secrets if s), key=len, reverse=True):
-        text = F.replace(text, F.lit(secret), F.lit("[REDACTED]"))
-    return F.regexp_replace(text, r"(?i)(\"authorization\"\s*:\s*\")[^\"]*\"", '$1[REDACTED]"')
+    """Serialised JSON or plain text with every spelling of a secret replaced, and values of secret headers at any depth.
+
+    A header's value is a string, a number, a word, or a list or object without others in it; deeper ones keep what secrets don't name.
+    """
+    for spelling in (v for s in sorted((s for s in secrets if s), key=len, reverse=True) for v in _spellings(s)):
+        text = F.replace(text, F.lit(spelling), F.lit("<REDACTED>"))
+    value = r'(?:"(?:[^"\\]|\\.)*+"|\[[^\[\]]*+\]|\{[^{}]*+\}|[^\s",\[\]{}]++)'
+    return F.regexp_replace(text, rf'(?i)("(?:{"|".join(SECRET_HEADERS)})"\s*:\s*){value}', '$1"<REDACTED>"')

@@ -168,15 +168,22 @@ def project_passages(windows: DataFrame) -> DataFrame:
     return windows.select("window_id", "source", "proposed").mapInPandas(run, "window_id long, passage_id long, text string, byte_start long, byte_end long, changed long, compared long, error string")
 
 
+#: Bytes of a lecture's text in which passages and spans meet.
+BUCKET = 4096
+
+
 def provenance(passages: DataFrame, spans: DataFrame) -> DataFrame:
     """First and last source segment of each passage: spans of text whose byte range overlaps its own.
 
     passages (lecture_id, passage_id, byte_start, byte_end), spans (lecture_id, pos, kind, source_start, source_end, text).
+    Both meet in buckets of bytes that they reach.
     """
     order = Window.partitionBy("lecture_id").orderBy("pos")
     size = F.when(F.col("kind") == "text", F.octet_length("text")).otherwise(0)
-    placed = spans.withColumn("s_end", F.sum(size).over(order)).withColumn("s_start", F.col("s_end") - size).filter("kind = 'text'").select("lecture_id", "s_start", "s_end", "source_start", "source_end")
-    met = passages.join(placed, "lecture_id").filter((F.col("byte_start") < F.col("s_end")) & (F.col("byte_end") > F.col("s_start")))
+    reach = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BUCKET), F.floor(F.greatest(F.col(b) - 1, F.col(a)) / BUCKET)))
+    placed = spans.withColumn("s_end", F.sum(size).over(order)).withColumn("s_start", F.col("s_end") - size).filter("kind = 'text'").select("lecture_id", "s_start", "s_end", "source_start", "source_end", reach("s_start", "s_end").alias("__bucket"))
+    own = passages.select("lecture_id", "passage_id", "byte_start", "byte_end", reach("byte_start", "byte_end").alias("__bucket"))
+    met = own.join(placed, ["lecture_id", "__bucket"]).filter((F.col("byte_start") < F.col("s_end")) & (F.col("byte_end") > F.col("s_start")))
     return met.groupBy("lecture_id", "passage_id").agg(F.min("source_start").alias("source_start"), F.max("source_end").alias("source_end"))
 
 

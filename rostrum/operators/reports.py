@@ -40,7 +40,22 @@ def markdown(passages: DataFrame) -> DataFrame:
 
 def ranked_titles(passages: DataFrame) -> DataFrame:
     """A newest-first or best-first list needs an explicit order; this one is by created_ms, newest first."""
-    return passages.withColumn("place", F.row_number().over(Window.orderBy(F.col("created_ms").desc(), "item")))
+    minute = F.coalesce(F.floor(F.col("created_ms") / 60_000), F.lit(-(1 << 60)))
+    return numbered(passages, [(-minute).alias("__minute")], F.col("created_ms").desc(), "item")
+
+
+def numbered(rows: DataFrame, groups: list, *order) -> DataFrame:
+    """Adds place, from 1, in the order of groups (named columns), then of ``order`` within one.
+
+    Only the sizes of groups are ordered in one task, so groups should be few beside the rows, and none of them most of the rows.
+    """
+    known = rows.columns
+    rows = rows.select("*", *groups)
+    names = [c for c in rows.columns if c not in known]
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = rows.groupBy(*names).agg(F.count("*").alias("__n")).select(*names, before.alias("__before"))
+    own = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*names).orderBy(*order)))
+    return own.join(sizes, names).withColumn("place", F.col("__before") + F.col("__place")).select(*known, "place")
 
 
 def without_blank_lines(text):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import is_blank
+from rostrum.operators.projection import provenance
 
 
 class ValidationError(ValueError):
@@ -91,6 +92,22 @@ def passage_text_errors(passages: DataFrame, sources: DataFrame) -> DataFrame:
     return both.filter(~F.col("got").eqNullSafe(F.col("want"))).select("lecture_id", F.lit("text_differs").alias("error"), F.octet_length("got").cast("long").alias("position"))
 
 
+def provenance_errors(passages: DataFrame, spans: DataFrame) -> DataFrame:
+    """Passages (lecture_id, passage_id, source_start, source_end, text) must name the segments that their text came from.
+
+    spans as of projection.provenance. The passages of a lecture lie one behind the other in the text of its spans; one without
+    text lies nowhere.
+    """
+    order = Window.partitionBy("lecture_id").orderBy("passage_id")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    placed = passages.withColumn("byte_end", F.sum(size).over(order)).withColumn("byte_start", F.col("byte_end") - size)
+    found = provenance(placed, spans).select("lecture_id", "passage_id", F.col("source_start").alias("want_start"), F.col("source_end").alias("want_end"))
+    both = placed.join(found, ["lecture_id", "passage_id"], "left")
+    missing = F.col("want_start").isNull()
+    differs = ~(F.col("source_start").eqNullSafe(F.col("want_start")) & F.col("source_end").eqNullSafe(F.col("want_end")))
+    return _errors(both, "passage_id", empty_passage=size == 0, missing_provenance=(size > 0) & missing, provenance_differs=~missing & differs)
+
+
 def related_slide_errors(passages: DataFrame, slides: DataFrame) -> DataFrame:
     """related_slides must exist and not repeat."""
     again = passages.filter(F.size("related_slides") != F.size(F.array_distinct("related_slides"))).select("lecture_id", F.lit("duplicate_slide").alias("error"), F.col("passage_id").alias("position"))

@@ -100,10 +100,11 @@ def bws_plan(spark, sf_dir):
 
 @query("oral_additions_rank", f"WITH {PASSAGES} SELECT lecture_id, passage_id, importance, novelty, row_number() OVER (ORDER BY importance DESC, novelty DESC, lecture_id, passage_id) AS place FROM pas WHERE importance >= 3 AND novelty >= 2")
 def oral_additions_rank(spark, sf_dir):
-    from pyspark.sql import Window
+    from rostrum.operators.reports import numbered
 
     own = R.oral_additions(passages(spark, sf_dir)).select("lecture_id", "passage_id", "importance", "novelty")
-    return own.withColumn("place", F.row_number().over(Window.orderBy(F.col("importance").desc(), F.col("novelty").desc(), "lecture_id", "passage_id")))
+    groups = [(-F.col("importance")).alias("__i"), (-F.col("novelty")).alias("__v"), F.floor(F.col("lecture_id") / 1024).alias("__l")]
+    return numbered(own, groups, "lecture_id", "passage_id")
 
 
 SHOWN_SQL = f"{POINTS_SQL}, sho AS (SELECT passage_id, CASE WHEN passage_id % 5 = 0 THEN greatest(0.0, least((least(points // 2000 + 1, 5) - 1) * 20.0, 100.0)) ELSE points / 100.0 END AS percentile FROM poi)"

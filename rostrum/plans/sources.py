@@ -141,7 +141,7 @@ def fenced_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", body["k"].isNotNull().alias("parsed"), body["k"].alias("k"))
 
 
-@query("redacted_payloads", "SELECT event_id, '{\"authorization\":\"[REDACTED]\",\"body\":\"' || replace(event_type, 'purchase', '[REDACTED]') || '\"}' AS payload FROM events")
+@query("redacted_payloads", "SELECT event_id, '{\"authorization\":\"<REDACTED>\",\"body\":\"' || replace(event_type, 'purchase', '<REDACTED>') || '\"}' AS payload FROM events")
 def redacted_payloads(spark, sf_dir):
     payload = F.concat(F.lit('{"authorization":"Bearer abc","body":"'), "event_type", F.lit('"}'))
     return table(spark, sf_dir, "events").select("event_id", X.redacted(payload, ["purchase", ""]).alias("payload"))
@@ -231,7 +231,7 @@ def restored_text(spark, sf_dir):
 
 
 
-@query("redacted_chunks", f"WITH {TIMED} SELECT lecture_id AS stream, replace(string_agg(event_type, '' ORDER BY pos), 'kview', '[REDACTED]') AS text FROM tok GROUP BY 1")
+@query("redacted_chunks", f"WITH {TIMED} SELECT lecture_id AS stream, replace(string_agg(event_type, '' ORDER BY pos), 'kview', '<REDACTED>') AS text FROM tok GROUP BY 1")
 def redacted_chunks(spark, sf_dir):
     """A user's events as chunks of one text, with a secret that spans two."""
     from rostrum.functions.redaction import redacted_chunks

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rostrum.operators import validation as V
 from rostrum.operators import windows as W
 from rostrum.plans.registry import checkpoint_folder, query, table
-from rostrum.plans.standins import PASSAGES, SEGMENTS, SLIDES, TIMED, passages, segments, slides, timed
+from rostrum.plans.standins import PASSAGES, SEGMENTS, TIMED, passages, segments, timed
 from rostrum.sources.artifacts import read_artifact, write_artifact
 
 GREEDY_SQL = f"""{SEGMENTS}, gre AS (SELECT lecture_id, id, length(text) AS used, 0 AS w FROM seg WHERE id = 0 UNION ALL
@@ -67,11 +67,12 @@ def boundary_windows(spark, sf_dir):
 
 
 def decks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every lecture's deck: the documents of the source that its number names."""
-    return slides(spark, sf_dir).withColumn("lecture_id", F.regexp_extract("deck", "([0-9]+)$", 1).cast("long")).select("lecture_id", "slide_id", "text")
+    """Every lecture's deck: documents are dealt to conversations by number."""
+    lectures = table(spark, sf_dir, "conversations").agg(F.count_distinct("conv_id").alias("n"))
+    return table(spark, sf_dir, "documents").crossJoin(F.broadcast(lectures)).select(F.expr("pmod(doc_id, n)").alias("lecture_id"), F.expr("doc_id div n").alias("slide_id"), "text")
 
 
-DECKS = f"{SLIDES}, dck AS (SELECT CAST(regexp_extract(deck, '([0-9]+)$', 1) AS BIGINT) AS lecture_id, slide_id, text FROM sli)"
+DECKS = "dck AS (SELECT doc_id % n AS lecture_id, doc_id // n AS slide_id, text FROM documents, (SELECT count(DISTINCT conv_id) AS n FROM conversations))"
 
 
 @query("neighbourhood_evidence", f"WITH {PASSAGES}, {DECKS} SELECT p.lecture_id, passage_id, slide_position, d.slide_id FROM pas p JOIN dck d ON d.lecture_id = p.lecture_id AND abs(d.slide_id - slide_position) <= 3")
@@ -169,6 +170,15 @@ def passage_text_validation(spark, sf_dir):
     return V.passage_text_errors(passages(spark, sf_dir), whole.withColumn("text", F.when(F.col("lecture_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))))
 
 
+@query("provenance_validation", f"""WITH {PASSAGES} SELECT lecture_id, 'provenance_differs' AS error, passage_id AS position FROM pas WHERE passage_id % 3 = 1 OR (passage_id % 3 = 2 AND source_start <> source_end)""")
+def provenance_validation(spark, sf_dir):
+    """Passages whose first or last segment is named wrongly."""
+    k = F.col("passage_id")
+    own = passages(spark, sf_dir).withColumns({"source_end": F.when(k % 3 == 2, F.col("source_start")).otherwise(F.col("source_end")), "source_start": F.when(k % 3 == 1, F.col("source_start") - 1).otherwise(F.col("source_start"))})
+    spans = segments(spark, sf_dir).select("lecture_id", F.col("id").alias("pos"), F.lit("text").alias("kind"), F.col("id").alias("source_start"), F.col("id").alias("source_end"), "text")
+    return V.provenance_errors(own, spans)
+
+
 @query("related_slide_validation", f"""WITH {PASSAGES}, {DECKS}, r AS (SELECT lecture_id, passage_id, [slide_position, novelty * 11, slide_position % 3] AS s FROM pas)
 SELECT lecture_id, 'duplicate_slide' AS error, passage_id AS position FROM r WHERE len(s) <> len(list_distinct(s))
 UNION ALL SELECT u.lecture_id, 'unknown_slide', passage_id FROM (SELECT lecture_id, passage_id, unnest(list_distinct(s)) AS slide_id FROM r) u LEFT JOIN dck USING (lecture_id, slide_id) WHERE dck.slide_id IS NULL""")

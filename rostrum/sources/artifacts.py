@@ -117,9 +117,9 @@ def search_catalog(presets: DataFrame, text: str, offset: int = 0, page: int = 2
     prefix = F.col("__model_id").startswith(F.col("__q")) | F.col("__model_name").startswith(F.col("__q"))
     hits = lambda a, b: F.size(F.filter(words, lambda w: F.col(a).contains(w) | F.col(b).contains(w)))
     found = own.filter(F.forall(words, lambda w: F.contains(hay, w))).withColumn("__score", F.struct((exact & provider).alias("a"), exact.alias("b"), provider.alias("c"), prefix.alias("d"), hits("__model_id", "__model_name").alias("e"), hits("__provider_id", "__provider_name").alias("f")))
-    order = Window.orderBy(F.col("__score").desc(), "provider_name", "model_name", "model_id")
-    placed = found.withColumn("place", F.row_number().over(order) - 1).withColumn("total", F.count("*").over(Window.partitionBy()))
-    out = placed.filter(F.col("place").between(offset, offset + page - 1))
+    order = (F.col("__score").desc(), "provider_name", "model_name", "model_id")
+    first = found.orderBy(*order).limit(offset + page).withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
+    out = first.filter(F.col("place") >= offset).crossJoin(found.agg(F.count("*").alias("total")))
     more = F.when(F.col("total") > offset + page, F.lit(offset + page))
     return out.select(*presets.columns, "place", "total", more.alias("next_offset"))
 

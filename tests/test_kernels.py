@@ -188,5 +188,5 @@ def test_secrets_across_chunks():
         own, out = Redactor("secret"), ""
         for k in range(0, len(text), size):
             out += own.feed(text[k : k + size], k + size >= len(text))
-        assert out == text.replace("secret", "[REDACTED]")
+        assert out == text.replace("secret", "<REDACTED>")
     assert Redactor("").feed("a") == "a"

@@ -151,3 +151,34 @@ def test_every_lecture_is_partitioned_or_named(spark):
     rows = [("a", 0, "x" * 500, "continue"), ("b", 0, "x" * 100, None)]
     got = segmentation.partition(spark.createDataFrame(rows, "lecture_id string, atom_id long, text string, cut string"), prototype=True).collect()
     assert {(r.lecture_id, r.passage_id, r.error) for r in got} == {("a", None, "no_partition"), ("b", 0, None)}
+
+
+def test_redaction_reaches_every_spelling_and_depth(spark):
+    import json
+
+    from rostrum.functions.text import redacted
+
+    secret = 'k"1 /é'
+    payload = {"a": [{"X-API-Key": "other", "note": f"<{secret}>"}], "Authorization": 'Bearer a"b\\', "proxy-authorization": ["x", "y"], "x-api-key": 12, "kept": "authorization: no"}
+    rows = [(json.dumps(payload, ensure_ascii=False),), ("?key=k%221+%2F%C3%A9&b=1",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "text string").select(redacted(F.col("text"), [secret, ""])).collect()]
+    mark = "<REDACTED>"
+    assert json.loads(got[0]) == {"a": [{"X-API-Key": mark, "note": f"<{mark}>"}], "Authorization": mark, "proxy-authorization": mark, "x-api-key": mark, "kept": "authorization: no"}
+    assert got[1:] == [f"?key={mark}&b=1", None]
+
+
+def test_places_of_groups(spark):
+    from rostrum.operators.reports import ranked_titles
+
+    rows = [(f"i{k}", k * 7919 % 500_000 if k % 9 else None) for k in range(300)]
+    got = ranked_titles(spark.createDataFrame(rows, "item string, created_ms long").repartition(5)).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 301))
+    assert [r["item"] for r in got] == [k for k, _ in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))]
+
+
+def test_empty_passages_have_no_provenance(spark):
+    from rostrum.operators.validation import provenance_errors
+
+    spans = spark.createDataFrame([(1, 0, "text", 0, 0, "ab" * 5000), (1, 1, "omitted_disfluency", 1, 1, None), (1, 2, "text", 2, 3, "é")], "lecture_id long, pos long, kind string, source_start long, source_end long, text string")
+    own = spark.createDataFrame([(1, 0, 0, 0, "ab" * 4000), (1, 1, 0, 3, "ab" * 1000 + "é"), (1, 2, 3, 3, ""), (1, 3, 3, 3, "beyond")], "lecture_id long, passage_id long, source_start long, source_end long, text string")
+    assert sorted((r.error, r.position) for r in provenance_errors(own, spans).collect()) == [("empty_passage", 2), ("missing_provenance", 3)]
