@@ -15,7 +15,7 @@ Nulls are empty texts: no ids, an empty decoded text. Very long texts take
 memory in proportion to their length. Special strings inside texts become
 their special id, as the library does by default. Repeated rows give repeated
 results, an empty table an empty one. Columns other than ``keep`` and the text
-are not read; ``keep`` may not hold the names of the results.
+are not read; ``keep`` may not hold the names of the results (ValueError).
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from rostrum.llm.common import documents, text_buffers, tidy
+from rostrum.llm.common import documents, results_free, text_buffers, tidy
 from rostrum.llm.token_counts import tokenizer
 
 #: Fragments that a worker remembers at most, and the longest of them in bytes.
@@ -145,6 +145,7 @@ def _ids(joined: bytes) -> list[int]:
 
 def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), digest: bool = False, decoded: bool = False) -> DataFrame:
     """``keep`` columns and ids array<int>; with decoded, also the text that they decode to, by the same worker; with digest, instead counts and digests of both directions."""
+    results_free(keep, *(("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids", "decoded") if decoded else ("ids",)))
     width = len(keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,6 +174,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ..
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and the decoded text of an id array; null ids give an empty text."""
+    results_free(keep, "decoded")
     width = len(keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

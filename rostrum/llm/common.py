@@ -80,6 +80,13 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
+def results_free(keep: Iterable[str], *results: str) -> None:
+    """Raises ValueError if a kept column has the name of a result (Spark doesn't tell cases apart), before any job runs."""
+    clash = sorted({c.lower() for c in keep} & {r.lower() for r in results})
+    if clash:
+        raise ValueError(f"kept columns have the names of results: {', '.join(clash)}")
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """Hinted for broadcast if it has at most so many rows, else left to a shuffle join. For tables that are cheap to count."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from rostrum.llm.common import checkpointed, documents, merged, pieces, texts, tidy, trainable, with_text
+from rostrum.llm.common import checkpointed, documents, merged, pieces, results_free, texts, tidy, trainable, with_text
 
 #: Labelled documents that the fit uses at most; 16 bytes each are broadcast.
 MAX_TRAIN = 20_000
@@ -172,6 +172,7 @@ def fit(df: DataFrame, labels: DataFrame, text_col: str = "text", max_train: int
 
 def score_quality(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.7, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """``keep`` columns, score and predicted (score >= threshold), or as ``names`` says, of every row."""
+    results_free(keep, *names)
     width, (sent, at) = len(keep), with_text(df, text_col, keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

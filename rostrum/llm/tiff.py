@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import documents, texts
+from rostrum.llm.common import documents, pieces, results_free, texts
 
 UNIT, PAD = 576, 255
 WIDTH, PAGE_ROWS, STRIP_ROWS, TILE_WIDTH, TILE_ROWS = 96, 1_536, 96, 48, 32
@@ -300,12 +300,12 @@ def stored(body: bytes) -> bytes:
 
 def write_column(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_bytes (of the text) and media (the TIFF file)."""
+    results_free(keep, "n_bytes", "media")
     width = len(keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in pieces(batch, width):
                 bodies = [t.encode() for t in texts(part.column(width))]
                 media = [stored(payload(b)) for b in bodies]
                 yield pa.record_batch([*part.columns[:width], pa.array([len(b) for b in bodies], pa.int64()), pa.array(media, pa.binary())], names=[*keep, "n_bytes", "media"])

@@ -8,8 +8,10 @@ pre-tokens, looks each up in that table, and encodes the misses in batches
 through a cache that each worker keeps. The table decides speed only: every
 miss is encoded by the library, so counts are exact whatever the table holds.
 
-Nulls count as empty texts (0 tokens). Repeated rows give repeated results.
-Other columns are carried along only where asked for.
+Nulls count as empty texts (0 tokens). Repeated rows give repeated results, an
+empty table an empty one. Texts are taken a megabyte at a time, a longer one alone
+and whole. Other columns are carried along only where asked for; ``keep`` may not
+hold the names of the results (ValueError).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import documents, merged, texts
+from rostrum.llm.common import documents, merged, pieces, results_free, texts
 
 #: How the vocabulary's library splits text before merging, and its special token.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -109,7 +111,7 @@ def _summarize(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: Counter = Counter()
     split = splitter()
     for batch in batches:
-        for text in texts(batch.column(0)):
+        for text in (text for part in pieces(batch, 0) for text in texts(part.column(0))):
             total.update(split(text))
             if len(total) > SUMMARY_HELD:
                 total = _top(total, SUMMARY_HELD // 4)
@@ -127,6 +129,7 @@ def frequent_lengths(df: DataFrame, text_col: str, path: str) -> tuple[bytes, by
 
 def count_tokens(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 1024) -> DataFrame:
     """``keep`` columns and n_bytes, n_tokens, over_limit (n_tokens > limit) of every whole text."""
+    results_free(keep, "n_bytes", "n_tokens", "over_limit")
     spark = df.sparkSession
     table = spark.sparkContext.broadcast(frequent_lengths(df, text_col, path))
     width = len(keep)
@@ -138,7 +141,7 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", keep: tuple[s
             _worker["table"] = dict(zip((w.decode() for w in words.split(b"\xff")), lengths, strict=True)) if lengths else {}
             _worker["missed"] = {}
         frequent, split, library = _worker["table"].get, splitter(), tokenizer(path)
-        for batch in batches:
+        for batch in (part for batch in batches for part in pieces(batch, width)):
             if len(_worker["missed"]) > CACHE_SIZE:
                 _worker["missed"] = {}
             missed = _worker["missed"]
