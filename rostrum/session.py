@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,3 +29,32 @@ def widened(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; one of our own only in local mode without a name."""
+    sc = spark.sparkContext
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="rostrum-checkpoint-")
+        sc.setCheckpointDir(named)
+        found = sc._jsc.sc().getCheckpointDir()
+    return found.get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of ``df`` has it (Spark doesn't tell cases apart)."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
