@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,7 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.session import widened
+from rostrum.session import checkpointed, free, shared_folder, widened
+
+__all__ = ["checkpointed", "free", "shared_folder"]
 
 #: Characters that separate words.
 SPACES = "\t\n\x0b\x0c\r "
@@ -25,27 +26,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return widened(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; one of our own only in local mode without a name."""
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-            named = tempfile.mkdtemp(prefix="rostrum-checkpoint-")
-        sc.setCheckpointDir(named)
-        found = sc._jsc.sc().getCheckpointDir()
-    return found.get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove shuffle files of finished phases now: it acts when the driver collects its garbage."""
     gc.collect()
@@ -72,14 +52,6 @@ def given_back() -> None:
         trim(0)
 
 
-def free(df: DataFrame, name: str) -> str:
-    """``name``, or with underscores behind it, so that no column of ``df`` has it (Spark doesn't tell cases apart)."""
-    there = {c.lower() for c in df.columns}
-    while name.lower() in there:
-        name += "_"
-    return name
-
-
 def results_free(keep: Iterable[str], *results: str) -> None:
     """Raises ValueError if a kept column has the name of a result (Spark doesn't tell cases apart), before any job runs."""
     clash = sorted({c.lower() for c in keep} & {r.lower() for r in results})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rostrum.llm import bpe, language_id, line_dedup, mixing, ngram_join, quality_model, quality_rules, tiff, token_counts, warc
+from rostrum.llm import bpe, filter_audit, language_id, line_dedup, mixing, ngram_join, quality_model, quality_rules, target_resampling, tiff, token_counts, warc
 
 QUERIES = {
     "op1_quality_classifier": quality_model.op1_quality_classifier,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_target_resampling": target_resampling.op13_target_resampling,
 }
 
 ORACLES = {
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op8_warc": warc.OP8_SQL,
     "op9_quality_rules": quality_rules.OP9_SQL,
+    "op12_filter_audit": filter_audit.OP12_SQL,
+    "op13_target_resampling": target_resampling.OP13_SQL,
 }
