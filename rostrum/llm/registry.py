@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rostrum.llm import bpe, filter_audit, language_id, line_dedup, mixing, ngram_join, quality_model, quality_rules, target_resampling, tiff, token_counts, warc
+from rostrum.llm import bpe, filter_audit, language_id, line_dedup, mixing, ngram_join, private_spans, quality_model, quality_rules, target_resampling, tiff, token_counts, warc
 
 QUERIES = {
     "op1_quality_classifier": quality_model.op1_quality_classifier,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_quality_rules": quality_rules.op9_quality_rules,
     "op10_language_id": language_id.op10_language_id,
+    "op11_private_spans": private_spans.op11_private_spans,
     "op12_filter_audit": filter_audit.op12_filter_audit,
     "op13_target_resampling": target_resampling.op13_target_resampling,
 }
