@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from rostrum.functions import text as X
 from rostrum.operators import reports
 from rostrum.operators import trace as T
-from rostrum.plans.registry import query, table
+from rostrum.plans.registry import checkpoint_folder, query, table
 from rostrum.plans.sequences import SCORES_SQL, scores
 from rostrum.plans.standins import PASSAGES, SEGMENTS, TIMED, TRACE, passages, segments, timed, trace
 from rostrum.sources import artifacts as R
+from rostrum.sources.lines import JsonLines
 from rostrum.sources import pages as G
 from rostrum.sources import transcripts as S
 
@@ -132,6 +133,35 @@ def trace_lenient_scan(spark, sf_dir):
     return good.agg(F.count("*").alias("records")).crossJoin(bad.agg(F.count("*").alias("bad"), F.min("line").alias("first_bad")))
 
 
+def written_log(lines: DataFrame) -> str:
+    """The path of a new JSON-lines log with these lines (value), in the shared folder."""
+    path = f"{checkpoint_folder(lines.sparkSession)}-log"
+    lines.sparkSession.dataSource.register(JsonLines)
+    lines.write.format("json_lines").mode("append").save(path)
+    return path
+
+
+@query("log_line_numbers", f"WITH {TRACE} SELECT count(*) AS lines, count(*) FILTER (record_id % 9 = 4) AS bad, CAST(min(n) FILTER (record_id % 9 = 4) AS BIGINT) AS first_bad, CAST(max(n) FILTER (record_id % 9 = 4) AS BIGINT) AS last_bad, CAST(sum(n) FILTER (record_id % 9 = 4) AS BIGINT) AS total FROM (SELECT record_id, row_number() OVER (ORDER BY record_id) AS n FROM tra)")
+def log_line_numbers(spark, sf_dir):
+    """A log in several files, read in ranges of some kilobytes: the numbers of its bad lines over all files."""
+    line = F.to_json(F.struct(*[F.col(c) for c in trace(spark, sf_dir).columns]))
+    text = F.when(F.col("record_id") % 9 == 4, F.left(line, F.lit(30))).otherwise(line)
+    path = written_log(trace(spark, sf_dir).repartitionByRange(4, "record_id").sortWithinPartitions("record_id").select(text.alias("value")))
+    lines = R.numbered_lines(spark, path, split_bytes=50_000)
+    _, bad = R.parse_trace(lines.select(F.col("place").alias("line"), "value"))
+    return lines.agg(F.count("*").alias("lines")).crossJoin(bad.agg(F.count("*").alias("bad"), F.min("line").alias("first_bad"), F.max("line").alias("last_bad"), F.sum("line").alias("total")))
+
+
+@query("appended_log", f"""WITH {TRACE}, p AS (SELECT at_ms, exchange_id, event, record_id % 3 > 0 AS late FROM tra)
+SELECT CAST(row_number() OVER (ORDER BY late, at_ms, exchange_id, event) - 1 AS BIGINT) AS record_id, at_ms, exchange_id, event FROM p""")
+def appended_log(spark, sf_dir):
+    """A log appended to twice, and read back: the second part's numbers go on from the first's."""
+    path = f"{checkpoint_folder(spark)}-log"
+    for late in (False, True):
+        R.append_trace(trace(spark, sf_dir).filter((F.col("record_id") % 3 > 0) == F.lit(late)), path)
+    return R.read_trace(spark, path).select("record_id", "at_ms", "exchange_id", "event")
+
+
 @query("fenced_json", "SELECT event_id, event_id % 3 <> 2 AS parsed, CASE WHEN event_id % 3 <> 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
 def fenced_json(spark, sf_dir):
     """Responses that are JSON, one whole fenced block, or prose around one, which is refused."""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rostrum.plans.analytics import USAGE_SQL
 from rostrum.plans.registry import checkpoint_folder, query, table
-from rostrum.plans.standins import LIMITS, TRACE, trace_of
+from rostrum.plans.sources import written_log
+from rostrum.plans.standins import LIMITS, TRACE, trace, trace_of
 from rostrum.streaming import logs as L
 
 
@@ -27,6 +28,14 @@ def stream_token_usage(spark, sf_dir):
     return run(L.running_usage(replay(spark, sf_dir), "workflow"), "complete")
 
 
+@query("tailed_token_usage", f"WITH {USAGE_SQL} SELECT * FROM usa")
+def tailed_token_usage(spark, sf_dir):
+    """Usage of the log as JSON lines, tailed by byte offsets."""
+    records = trace(spark, sf_dir)
+    path = written_log(records.select(F.to_json(F.struct(*records.columns)).alias("value")))
+    return run(L.running_usage(L.tail(spark, path, split_bytes=100_000), "workflow"), "complete")
+
+
 @query("stream_active_requests", f"WITH {TRACE} SELECT workflow, count(DISTINCT exchange_id) FILTER (event = 'request' AND NOT done) AS active FROM (SELECT *, bool_or(event IN ('completion', 'failure')) OVER (PARTITION BY workflow, exchange_id) AS done FROM tra WHERE event IN ('request', 'completion', 'failure')) GROUP BY 1")
 def stream_active_requests(spark, sf_dir):
     return run(L.active_requests(replay(spark, sf_dir)), "update")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import parsed_price, per_token, search_words
+from rostrum.operators.places import placed
+from rostrum.sources.lines import JsonLines, LogError, prepared
 
 TRACE = "record_id bigint, at_ms bigint, exchange_id bigint, workflow string, window_index bigint, repair_turn bigint, provider_attempt bigint, hedge boolean, event string, input_tokens bigint, output_tokens bigint, cached_tokens bigint, latency_ms bigint, category string"
 VERSION = 1
@@ -26,23 +28,35 @@ def parse_trace(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.filter(ok).select("r.*").drop("_bad"), parsed.filter(~ok).select("line", "value")
 
 
-def append_trace(records: DataFrame, path: str) -> None:
-    """Appends records numbered on from the largest id at the path; in order of time and exchange.
+def numbered_lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """file, line (1, 2, 3 ... in each file), place (over all files), value of a JSON-lines log, whatever ranges it is read in: for ``parse_trace``.
 
-    Numbers are places within a minute and the sizes of the minutes before, so no task orders all records. A write is kept whole
-    or not at all: there is no half-written tail.
+    Ranges give the bytes where lines begin; their order over all files gives places, and the first of a file its lines' numbers.
     """
-    try:
-        last = records.sparkSession.read.parquet(path).agg(F.max("record_id")).first()[0]
-    except AnalysisException:
-        last = None
-    minute = F.coalesce(F.floor(F.col("at_ms") / 60_000), F.lit(-(1 << 60)))
-    rows = records.withColumn("__minute", minute)
-    before = Window.orderBy("__minute").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("__minute").agg(F.count("*").alias("__n")).select("__minute", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__minute").orderBy("at_ms", "exchange_id", "event"))
-    number = F.col("__before") + place + (0 if last is None else last + 1) - 1
-    rows.join(offsets, "__minute").withColumn("record_id", number.cast("long")).select(*records.columns, *([] if "record_id" in records.columns else ["record_id"])).write.mode("append").parquet(path)
+    spark.dataSource.register(JsonLines)
+    ordered = placed(spark.read.format("json_lines").options(**options).load(path).select("file", "at", "value"), ["file", "at"])
+    first = ordered.groupBy("file").agg(F.min("place").alias("first"))
+    return ordered.join(first, "file").select("file", (F.col("place") - F.col("first") + 1).alias("line"), "place", "value")
+
+
+def append_trace(records: DataFrame, path: str) -> int:
+    """Appends records to a JSON-lines log, numbered on from its largest record id, in order of time and exchange; how many.
+
+    A half-written last line is cut off first; any other line that is no record fails. Of two writers that
+    began from the same log one fails and adds nothing, as they would give the same numbers.
+    """
+    spark = records.sparkSession
+    spark.dataSource.register(JsonLines)
+    number = prepared(path)
+    known = numbered_lines(spark, path)
+    parsed = known.filter(F.trim("value") != "").select("file", "line", F.from_json("value", "record_id bigint, event string").alias("r"))
+    bad, last = parsed.agg(F.min(F.when(F.col("r.record_id").isNull() | F.col("r.event").isNull(), F.struct("file", "line"))), F.max("r.record_id")).first()
+    if bad is not None:
+        raise LogError(f"{bad.file}, line {bad.line}: not a record")
+    placed_rows = placed(records.drop("record_id"), ["at_ms", "exchange_id", "event"], "record_id")
+    rows = placed_rows.withColumn("record_id", F.col("record_id") + (0 if last is None else last + 1) - 1)
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.format("json_lines").option("expected", number).mode("append").save(path)
+    return rows.count()
 
 
 class ArtifactError(ValueError):

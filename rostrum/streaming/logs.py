@@ -1,8 +1,8 @@
 """Streams over model-exchange logs: running usage, active requests, adaptive admission, windows as an extension.
 
-File sources take whole files, so a growing log is written as rolled files, one
-per flush; a half-written last line is never seen. State is kept by Spark's
-checkpoint, and batch and stream share their kernels.
+A growing log is followed by byte offsets (sources.lines), so a half-written last
+line is seen once it is whole. State is kept by Spark's checkpoint, and batch and
+stream share their kernels.
 """
 
 from __future__ import annotations
@@ -17,12 +17,17 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from rostrum.operators import admission as A
 from rostrum.operators import trace as T
 from rostrum.sources.artifacts import TRACE
+from rostrum.sources.lines import JsonLines
 
 
-def tail(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
-    """The records of rolled JSON-lines files as they appear; lines that aren't records are dropped, blank ones too."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    parsed = lines.select(F.from_json("value", TRACE).alias("r")).select("r.*")
+def tail(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The records of a growing JSON-lines log as its lines are completed, with file and head; lines that aren't records are dropped, blank ones too.
+
+    A file that was cut and begun anew has another head, so consumers can tell its records from those before.
+    """
+    spark.dataSource.register(JsonLines)
+    lines = spark.readStream.format("json_lines").options(**options).load(path)
+    parsed = lines.select("file", "head", F.from_json("value", TRACE).alias("r")).select("file", "head", "r.*")
     return parsed.filter(F.col("record_id").isNotNull() & F.col("event").isNotNull())
 
 

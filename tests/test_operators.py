@@ -102,7 +102,7 @@ def test_appended_traces_number_on(spark, tmp_path):
     rows = spark.createDataFrame([(0, 5, 1, "request"), (0, 6, 1, "completion")], "record_id long, at_ms long, exchange_id long, event string")
     for _ in range(2):
         artifacts.append_trace(rows, f"{tmp_path}/t")
-    assert sorted(r.record_id for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [0, 1, 2, 3]
+    assert sorted(r.record_id for r in artifacts.read_trace(spark, f"{tmp_path}/t").collect()) == [0, 1, 2, 3]
 
 
 def test_strict_traces_fail_on_a_bad_line(spark, tmp_path):

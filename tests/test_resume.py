@@ -78,7 +78,7 @@ def test_appended_numbers_follow_time_across_minutes(spark, tmp_path):
     rows = spark.createDataFrame([(t, k, "request") for k, t in enumerate(times)], "at_ms long, exchange_id long, event string").repartition(3)
     for _ in range(2):
         artifacts.append_trace(rows, f"{tmp_path}/t")
-    got = [(r.at_ms, r.exchange_id) for r in spark.read.parquet(f"{tmp_path}/t").orderBy("record_id").collect()]
+    got = [(r.at_ms, r.exchange_id) for r in artifacts.read_trace(spark, f"{tmp_path}/t").orderBy("record_id").collect()]
     want = sorted(((t, k) for k, t in enumerate(times)), key=lambda x: (-1 if x[0] is None else x[0], x[1]))
     assert got == want * 2
-    assert [r.record_id for r in spark.read.parquet(f"{tmp_path}/t").orderBy("record_id").collect()] == list(range(14))
+    assert [r.record_id for r in artifacts.read_trace(spark, f"{tmp_path}/t").orderBy("record_id").collect()] == list(range(14))
