@@ -7,12 +7,19 @@ text (not of its windows) is the document's. Padding is masked out.
 
 The network is trained in numpy by backpropagation through time, on windows of
 at most ``max_train`` documents, of each language those with the least hash of
-their id (one at least), from pieces over the whole of long texts, drawn anew each step so that languages come equally often. Gates are the piecewise
-linear sigmoid, so that a step is cheap; the batch is over windows, so that a
-step serves thousands of positions at once.
-
-Null languages and ids are not learned from. A text that is null or has no
-letter is ``und`` with score 0. Without anything to learn from, every text is.
+their id (one at least). Executors draw the windows: of every such document
+equally many, each place of its whole text equally likely, so that the driver gets
+as many windows as training takes and no texts. Steps draw among them so that
+languages come equally often. Gates are the piecewise linear sigmoid, so that a
+step is cheap; the batch is over windows, so that a step serves thousands of
+positions at once.
+
+Null languages and ids are not learned from; of repeated ids the least text counts.
+A text that is null or has no letter is ``und`` with score 0. Without anything to
+learn from, as in an empty table, every text is. Every row gives one row, repeated
+or not. Long texts are labelled whole, some megabytes of windows at a time. Columns
+other than ``keep`` and the text are not read; ``keep`` may not hold the names of
+the results (ValueError).
 """
 
 from __future__ import annotations
@@ -25,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import documents, text_buffers, trainable
+from rostrum.llm.common import documents, results_free, text_buffers, trainable
 
-#: Documents that training uses at most, and characters of each that the driver holds at most, in so many pieces.
-MAX_TRAIN, TRAIN_BYTES, PIECES = 2_000, 4_096, 16
+#: Documents that training uses at most.
+MAX_TRAIN = 2_000
 HIDDEN, WINDOW, BATCH, STEPS, RATE, SEED = 8, 64, 192, 260, 0.02, 5
 #: Windows that go through the network at once.
 LANES = 4_096
@@ -139,29 +146,30 @@ def train(bodies: list[bytes], langs: list[str], steps: int = STEPS, seed: int =
     return net
 
 
-def sample(df: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """h, lang, text: of each language the documents with the least hashes of their ids, an equal number, one at least.
+def sample(df: DataFrame, max_train: int = MAX_TRAIN, windows: int = STEPS * BATCH) -> DataFrame:
+    """h, lang, windows: of each language the documents with the least hashes of their ids, an equal number, one at least.
 
-    Of a text longer than TRAIN_BYTES characters, PIECES pieces that lie evenly from its start to its end.
+    Together they have about ``windows`` windows, of WINDOW characters each, from anywhere in their texts. Hashes that
+    can't be among the least are dropped before they are ordered: only those below four times the share
+    that is wanted, of some thousands that is as good as certain to leave enough, and a language's order is never one task's whole table.
     """
-    rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & trainable(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
-    # hashes are picked first, so that no texts but those of the sample are sorted
-    many = max(max_train // max(rows.select("lang").distinct().count(), 1), 1)
+    rows = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & trainable(F.col("doc_id"))).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 11))
+    counts = rows.groupBy("lang").count()
+    many = max(max_train // max(counts.count(), 1), 1)
+    share = F.col("h") / F.lit(float(1 << 53))
+    near = rows.select("lang", "h").join(F.broadcast(counts), "lang").filter(share * F.col("count") < 4 * max(many, 32)).select("lang", "h").distinct()
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    most = rows.select("lang", "h").withColumn("place", place).filter(F.col("place") <= many).groupBy("lang").agg(F.max("h").alias("most"))
-    own = rows.join(F.broadcast(most), "lang").filter("h <= most")
-    size = TRAIN_BYTES // PIECES
-    parts = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substring("text", F.lit(1) + F.floor((F.length("text") - size) * k / (PIECES - 1)).cast("int"), F.lit(size)))
-    text = F.when(F.length("text") <= TRAIN_BYTES, F.col("text")).otherwise(F.array_join(parts, " "))
-    # ids may repeat
-    again = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    return own.select("h", "lang", text.alias("text")).withColumn("place", again).filter(F.col("place") <= many).drop("place")
+    most = near.withColumn("place", place).filter(F.col("place") <= many).groupBy("lang").agg(F.max("h").alias("most"), F.count("*").alias("picked"))
+    each = F.ceil(F.lit(windows) / F.greatest(F.col("picked") * F.lit(max_train // many), F.lit(1))).cast("int")
+    picked = rows.join(F.broadcast(most), "lang").filter("h <= most").groupBy("lang", "h").agg(F.min("text").alias("text"), F.first("picked").alias("picked"))
+    spot = lambda k: F.pmod(F.xxhash64("h", k), F.greatest(F.char_length("text") - WINDOW, F.lit(0)) + 1).cast("int")
+    return picked.select("h", "lang", F.transform(F.sequence(F.lit(1), each), lambda k: F.substring("text", spot(k) + 1, F.lit(WINDOW))).alias("windows"))
 
 
 def fit(df: DataFrame, max_train: int = MAX_TRAIN) -> Network | None:
     """Learns from text and non-null lang of documents that may be learned from."""
-    picked = sorted(sample(df, max_train).collect(), key=lambda r: (r.h, r.lang, r.text))
-    return train([r.text.encode() for r in picked], [r.lang for r in picked]) if picked else None
+    picked = sorted(sample(df, max_train).collect(), key=lambda r: (r.h, r.lang))
+    return train([w.encode() for r in picked for w in r.windows], [r.lang for r in picked for _ in r.windows]) if picked else None
 
 
 def pooled(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -185,6 +193,7 @@ def pooled(net: Network, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def identify(df: DataFrame, net: Network | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred and score (the pooled probability) of every row."""
+    results_free(keep, "lang_pred", "score")
     width = len(keep)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade, in DataFrame operations only.
 
 Every rule is a predicate over the text. The documents with the least hashes of
-their texts are a sample, over which each rule's cost (its time over the sample
-many times over, less that of an empty pass, the least of a few runs) and its
-rejections are measured. The rules form one CASE expression: first the one with
+their texts are a sample, on which each rule's rejections are counted and its cost
+is estimated: the characters that it scans, times what its kind of scan takes for
+each, and a fixed part a document. One job reads both, and the same sample always
+gives the same order. The rules form one CASE expression: first the one with
 most rejections per cost among what passes the base rules, then the one with most
 among what is left, and so on, so that a document meets dear rules only if cheap
 ones let it pass. The order changes the time alone: the verdict is the same in any order.
@@ -21,17 +22,22 @@ begin with two underscores are the operator's own.
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import SPACES, checkpointed, documents
+from rostrum.llm.common import SPACES, documents
 
 #: Characters that separate words, in a class of a regular expression.
 BLANKS = r"\x20\x09-\x0D"
-#: Texts of the sample on which costs and rejections are measured, how often each is read for a time, and how many times are taken.
-SAMPLE, REPEATS, RUNS = 400, 8, 2
+#: Texts of the sample on which costs and rejections are estimated.
+SAMPLE = 400
+#: Nanoseconds that a rule takes for a document, and for each character by kind of scan: none (it reads base columns), a literal, a pattern.
+#: Measured over the documents of the bench on one core; only their ratios matter.
+DOCUMENT_COST, SCAN_COSTS = 50.0, {"none": 0.0, "literal": 10.0, "pattern": 30.0}
+SCANS = {
+    "mean_word_length": "none", "symbols_per_word": "none", "duplicate_lines": "none", "capitals": "pattern",
+    "words_with_letters": "pattern", "shouting": "literal", "bullet_lines": "pattern", "ellipsis_lines": "pattern",
+}
 
 
 def _staged(df: DataFrame, **columns: Column) -> DataFrame:
@@ -108,20 +114,17 @@ def cascade_order(seen: list[dict[str, bool]], cost: dict[str, float]) -> list[s
     return out
 
 
-def measured_order(df: DataFrame, text_col: str = "text") -> list[str]:
-    """The order of the cascade, by verdicts and times on the sample."""
-    own = rules(text_col)
-    met = checkpointed(base_columns(sample(df, text_col), text_col).filter("NOT base_failed"))
-    seen = [r.asDict() for r in met.select(*(rule.alias(name) for name, rule in own.items())).collect()]
-    often = met.withColumn("__again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+def estimated_costs(rows: int, characters: int) -> dict[str, float]:
+    """What each rule takes over so many texts with so many characters."""
+    return {name: rows * DOCUMENT_COST + characters * SCAN_COSTS[scan] for name, scan in SCANS.items()}
 
-    def timed(rule: Column) -> float:
-        begun = time.perf_counter()
-        often.select(F.count_if(~rule)).collect()
-        return time.perf_counter() - begun
 
-    empty = min(timed(F.col("__again") > 0) for _ in range(RUNS))
-    return cascade_order(seen, {name: max(min(timed(rule) for _ in range(RUNS)) - empty, 1e-3) for name, rule in own.items()})
+def measured_order(df: DataFrame, text_col: str = "text") -> list[str]:
+    """The order of the cascade, by verdicts and estimated costs on the sample."""
+    own = rules(text_col)
+    met = base_columns(sample(df, text_col), text_col).filter("NOT base_failed")
+    seen = [r.asDict() for r in met.select(F.char_length(text_col).alias("characters"), *(rule.alias(name) for name, rule in own.items())).collect()]
+    return cascade_order(seen, estimated_costs(max(len(seen), 1), sum(r["characters"] for r in seen)))
 
 
 def apply_rules(df: DataFrame, text_col: str = "text") -> DataFrame:

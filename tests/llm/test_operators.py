@@ -414,9 +414,23 @@ def test_warc_names_of_repeated_pages(spark, tmp_path):
 def test_language_sample_has_rare_languages_and_ends_of_texts(spark):
     rows = [(k, "plain words " * 2 + "x" * 6000 + " the end", "big") for k in range(400)] + [(1000 + k, "rare", "few") for k in range(12)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").filter(language_id.trainable(F.col("doc_id")))
-    got = language_id.sample(df, 4).collect()
+    got = language_id.sample(df, 4, 4_000).collect()
     assert Counter(r.lang for r in got) == {"big": 2, "few": 2}
-    assert all(r.text.startswith("plain words") and r.text.endswith(" the end") and len(r.text) < 4200 for r in got if r.lang == "big")
+    assert all(900 <= len(r.windows) <= 1_100 for r in got)
+    big = [w for r in got if r.lang == "big" for w in r.windows]
+    assert all(len(w) == language_id.WINDOW for w in big)
+    assert any("plain" in w for w in big) and any("the" in w for w in big)
+    assert sorted(got) == sorted(language_id.sample(df.repartition(5), 4, 4_000).collect())
+
+
+def test_language_sample_orders_few_hashes_of_a_language_with_all_rows(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("xx").alias("lang"))
+    hashed = df.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id"), 11).alias("h")).filter(language_id.trainable(F.col("doc_id"))).collect()
+    hot = hashed[0].doc_id
+    copies = spark.range(9_000).select(F.lit(hot).alias("doc_id"), F.lit("other text").alias("text"), F.lit("xx").alias("lang"))
+    got = language_id.sample(df.unionByName(copies), 100, 1_000).collect()
+    assert sorted(r.h for r in got) == sorted(r.h for r in hashed)[:100]
+    assert sum(r.h / 2**53 * (len(hashed) + 9_000) < 400 for r in hashed) < 700
 
 
 def test_language_of_odd_texts(spark):
