@@ -6,7 +6,9 @@ import unicodedata
 from array import array
 from collections import Counter
 from dataclasses import dataclass
+from math import isqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ class Edit:
 
 
 def edits(source: str, proposed: str, most: int | None = None) -> list[Edit] | None:
-    """The shortest edit script by Myers' greedy algorithm, as alternating equal and changed blocks; None if it takes over ``most`` insertions and deletions."""
+    """The shortest edit script as alternating equal and changed blocks; None if it takes over ``most`` insertions and deletions."""
     n, m = len(source), len(proposed)
     if most is not None and apart(source, proposed) > most:
         return None
@@ -66,13 +68,24 @@ def apart(a: str, b: str) -> int:
     return (x - y).total() + (y - x).total()
 
 
+#: Edits up to which furthest-reaching paths are kept; beyond, rows of bits take less.
+NEAR = 128
+
+
 def _matches(old: str, new: str, most: int | None = None) -> list[tuple[int, int]] | None:
-    """Matched positions of a longest common subsequence, from the furthest-reaching paths of each edit distance; None beyond ``most`` edits.
+    """Matched positions of a longest common subsequence; None beyond ``most`` edits.
 
-    The paths of a distance are kept as an array of 4-byte places, so memory is the square of the distance, not of the texts.
+    Of several, both ways give the one that, followed from the end, skips a character of ``new`` where it can, else one of ``old``.
     """
     n, m = len(old), len(new)
     edge = n + m if most is None else min(n + m, most)
+    found = _by_paths(old, new, min(edge, NEAR))
+    return found if found is not None or edge <= NEAR else _by_bits(old, new, edge)
+
+
+def _by_paths(old: str, new: str, edge: int) -> list[tuple[int, int]] | None:
+    """By the furthest-reaching paths of each distance up to ``edge``; their places are kept, 4 bytes each."""
+    n, m = len(old), len(new)
     zero, history = edge + 1, []
     reach = array("i", bytes(4 * (2 * edge + 3)))
     for d in range(edge + 1):
@@ -86,7 +99,50 @@ def _matches(old: str, new: str, most: int | None = None) -> list[tuple[int, int
             reach[spot] = x
             if x >= n and y >= m:
                 return _unwound(history, n, m)
-    return None if most is not None else []
+    return None
+
+
+def _by_bits(old: str, new: str, edge: int) -> list[tuple[int, int]] | None:
+    """By rows of bits, one for each character of ``old``: a zero where a row's common length grows with ``new``.
+
+    Only every so manieth row is kept, and the rows between are made again on the way back, so memory is a root of the
+    table's rows: linear in ``new`` but for that root. Time is the product of the lengths over the bits of a word.
+    """
+    n, m = len(old), len(new)
+    where: dict[str, int] = {}
+    for y, c in enumerate(new):
+        where[c] = where.get(c, 0) | 1 << y
+    ones = (1 << m) - 1
+
+    def after(row: int, c: str) -> int:
+        hits = row & where.get(c, 0)
+        return (row + hits | row - hits) & ones
+
+    step = max(isqrt(n), 1)
+    kept, row = [ones], ones
+    for x in range(n):
+        row = after(row, old[x])
+        if (x + 1) % step == 0:
+            kept.append(row)
+    common = m - row.bit_count()
+    if n + m - 2 * common > edge:
+        return None
+    out, x, y = [], n, m
+    rows = {n: row}
+    while x and y:
+        if x - 1 not in rows:
+            first = (x - 1) // step * step
+            rows = {x: rows[x], first: kept[first // step]}
+            for k in range(first, x - 1):
+                rows[k + 1] = after(rows[k], old[k])
+        if rows[x] >> (y - 1) & 1:
+            y -= 1
+        elif y - (rows[x - 1] & (1 << y) - 1).bit_count() == common:
+            x -= 1
+        else:
+            x, y, common = x - 1, y - 1, common - 1
+            out.append((x, y))
+    return out[::-1]
 
 
 def _unwound(history: list[array], x: int, y: int) -> list[tuple[int, int]]:
@@ -203,42 +259,46 @@ def _middle(a: int, b: int) -> int:
     return (a + b + 1) // 2
 
 
+def boundary_times(sizes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The time of each boundary between the characters of tokens: even within a token, and halfway between two."""
+    first = np.cumsum(sizes) - sizes
+    token = np.repeat(np.arange(len(sizes)), sizes)
+    inner = starts[token] + (ends - starts)[token] * (np.arange(len(token)) - first[token]) // sizes[token]
+    inner[first[1:]] = (ends[:-1] + starts[1:] + 1) // 2
+    return np.append(inner, ends[-1])
+
+
+def carried(script: list[Edit], places: np.ndarray) -> np.ndarray:
+    """Where places of the proposed text lie in the source: even within a stretch, and in the later one where two meet."""
+    table = np.array([(e.a, e.b, e.c, e.d) for e in script if e.d > e.c], np.int64).reshape(-1, 4)
+    a, b, c, d = table[np.searchsorted(table[:, 2], places, "right") - 1].T
+    return a + ((places - c) * (b - a) + (d - c) // 2) // (d - c)
+
+
 def timed_island(texts: list[str], coarse: list[tuple[int, int]], tokens: list[tuple[str, int, int]]) -> list[tuple[int, int]] | None:
     """Times of an island's passages from the tokens within it; None if any passage matches too little."""
-    lo, hi = min(s for s, _ in coarse), max(e for _, e in coarse)
-    heard, times, last = "", [], None
-    for text, start, end in tokens:
-        solid = _solid(text)
-        if end <= lo or start >= hi or not solid:
-            continue
-        if last is None:
-            times.append(start)
-        else:
-            times[-1] = _middle(last, start)
-        times += [start + (end - start) * k // len(solid) for k in range(1, len(solid) + 1)]
-        heard, last = heard + solid, end
-    parts = [_solid(t) for t in texts]
-    if not heard or not all(parts):
+    window = np.array(coarse, np.int64)
+    within = [(_solid(text), start, end) for text, start, end in tokens if start < window[:, 1].max() and end > window[:, 0].min()]
+    within = [token for token in within if token[0]]
+    parts = [_solid(text) for text in texts]
+    if not within or not all(parts):
+        return None
+    heard, wanted = "".join(solid for solid, _, _ in within), "".join(parts)
+    # every passage needs so many characters, so the whole island does
+    least = sum(-(-MIN_MATCHED * len(part) // 100) for part in parts)
+    script = edits(heard, wanted, len(heard) + len(wanted) - 2 * least)
+    if script is None:
         return None
-    script, bounds = edits(heard, "".join(parts)), [0]
-    for part in parts:
-        bounds.append(bounds[-1] + len(part))
-    for a, b in zip(bounds, bounds[1:], strict=False):
-        same = sum(max(0, min(e.d, b) - max(e.c, a)) for e in script if e.equal)
-        if same * 100 < MIN_MATCHED * (b - a):
-            return None
-    spots = [0] * (bounds[-1] + 1)
+    equal = np.zeros(len(wanted) + 1, np.int64)
     for e in script:
-        width = e.d - e.c
-        for k in range(width + 1 if width else 0):
-            spots[e.c + k] = e.a + (k * (e.b - e.a) + width // 2) // width
-    out = []
-    for a, b, (start, end) in zip(bounds, bounds[1:], coarse, strict=False):
-        span = max(times[spots[a]], start), min(times[spots[b]], end)
-        if span[1] <= span[0]:
-            return None
-        out.append(span)
-    return out
+        equal[e.c + 1 : e.d + 1] = e.equal
+    bounds = np.concatenate([[0], np.cumsum([len(part) for part in parts])])
+    if (np.diff(np.cumsum(equal)[bounds]) * 100 < MIN_MATCHED * np.diff(bounds)).any():
+        return None
+    times = boundary_times(*(np.array(column, np.int64) for column in ([len(solid) for solid, _, _ in within], [start for _, start, _ in within], [end for *_, end in within])))
+    found = times[carried(script, bounds)]
+    spans = np.stack([np.maximum(found[:-1], window[:, 0]), np.minimum(found[1:], window[:, 1])], 1)
+    return [(int(a), int(b)) for a, b in spans] if (spans[:, 0] < spans[:, 1]).all() else None
 
 
 def playback(passages: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -265,35 +325,44 @@ def playback(passages: DataFrame, tokens: DataFrame) -> DataFrame:
     return grouped.cogroup(tokens.select("lecture_id", "pos", "text", "start_ms", "end_ms").groupBy("lecture_id")).applyInPandas(lambda k, a, b: run(k, a, b), f"lecture_id {kind}, passage_id long, start_ms long, end_ms long, basis string")
 
 
+def region_tokens(words: list[str], starts: np.ndarray, durations: np.ndarray, begin: int, stop: int, owned: tuple[int, int]) -> list[tuple[int, str, int, int]]:
+    """Place, text, start and end of a region's tokens, in increasing time and clipped to what the region owns. Times in ms, ``starts`` from ``begin``.
+
+    A token lasts as it says, else until the next begins, and a millisecond at least. It begins no earlier than the one
+    before ends; so an end, less all lengths up to it, is the running maximum of beginnings less the lengths before them.
+    """
+    opens = begin + np.trunc(starts * 1000 + 0.5).astype(np.int64)
+    known = np.arange(len(words)) < len(durations)
+    length, earliest = np.ones(len(words), np.int64), np.maximum(opens, np.append(opens[1:], stop) - 1)
+    length[known] = np.maximum(np.trunc(durations[: len(words)] * 1000 + 0.5).astype(np.int64), 1)
+    earliest[known] = opens[known]
+    spoken = np.flatnonzero([bool(word.strip()) for word in words])
+    length, upto = length[spoken], np.cumsum(length[spoken])
+    ends = upto + np.maximum.accumulate(np.maximum(earliest[spoken] - (upto - length), begin)) if len(spoken) else upto
+    before = np.append(begin, ends[:-1]) if len(spoken) else upto
+    from_, to = np.minimum(np.maximum(opens[spoken], before), stop - 1), np.minimum(ends, stop)
+    middle = from_ + (to - from_) // 2
+    kept = (before < stop) & (middle >= owned[0]) & (middle < owned[1])
+    from_, to = np.maximum(from_, owned[0]), np.minimum(to, owned[1])
+    return [(int(k), words[k], int(a), int(b)) for k, a, b, ok in zip(spoken, from_, to, kept, strict=True) if ok and a < b]
+
+
 def normalized_tokens(regions: DataFrame) -> DataFrame:
     """Recognised tokens of each region in increasing time, clipped to what the region owns.
 
     regions (lecture_id, region, input_start, input_end, owned_start, owned_end, tokens array<string>,
     starts array<double>, durations array<double>), times in ms, those of tokens in seconds from input_start.
+    Regions whose tokens and starts differ in number give none.
     """
 
     def run(batches):
         for batch in batches:
             rows = []
             for r in batch.itertuples():
-                words, starts = list(r.tokens if r.tokens is not None else []), list(r.starts if r.starts is not None else [])
-                lasts = list(r.durations if r.durations is not None else [])
-                if not words or len(words) != len(starts):
-                    continue
-                before = r.input_start
-                for k, word in enumerate(words):
-                    if not word.strip() or before >= r.input_end:
-                        continue
-                    start = min(max(r.input_start + int(starts[k] * 1000 + 0.5), before), r.input_end - 1)
-                    if k < len(lasts):
-                        end = start + int(lasts[k] * 1000 + 0.5)
-                    else:
-                        end = r.input_start + int(starts[k + 1] * 1000 + 0.5) if k + 1 < len(starts) else r.input_end
-                    end = min(max(end, start + 1), r.input_end)
-                    before, middle = end, start + (end - start) // 2
-                    start, end = max(start, r.owned_start), min(end, r.owned_end)
-                    if r.owned_start <= middle < r.owned_end and start < end:
-                        rows.append((r.lecture_id, r.region, k, word, start, end))
+                words, starts, durations = (list(x) if x is not None else [] for x in (r.tokens, r.starts, r.durations))
+                if words and len(words) == len(starts):
+                    found = region_tokens(words, np.array(starts), np.array(durations), r.input_start, r.input_end, (r.owned_start, r.owned_end))
+                    rows += [(r.lecture_id, r.region, *token) for token in found]
             yield pd.DataFrame(rows, columns=["lecture_id", "region", "pos", "text", "start_ms", "end_ms"])
 
     return regions.mapInPandas(run, "lecture_id long, region long, pos long, text string, start_ms long, end_ms long")
