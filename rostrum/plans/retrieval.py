@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rostrum.functions import segmentation as S
 from rostrum.operators import retrieval as R
 from rostrum.plans.registry import query, table
 
@@ -131,7 +132,35 @@ def reveal_once(spark, sf_dir):
 
 @query("analyzed_terms")
 def analyzed_terms(spark, sf_dir):
-    """Terms by the default tokenizer (NFKC, scripts without spaces in characters and pairs); SQL has no NFKC."""
-    from rostrum.functions.text import analyze
+    """Terms by the default tokenizer (NFKC, lower case), with runs without spaces cut by words learned from the documents; SQL has no NFKC."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    terms = S.analyzer(S.model_of(S.cohesive_words(docs)))
+    return docs.select("doc_id", F.explode(terms("text")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(analyze("text")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+#: The class of characters that are segmented where texts have lost their spaces.
+LETTERS = r"\p{L}"
+
+
+def squeezed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, object]:
+    """Documents and queries without their spaces, and the analyzer by the documents' own words."""
+    words = S.spaced_words(table(spark, sf_dir, "documents").select("text"))
+    closed = F.regexp_replace(F.lower("text"), " +", "").alias("text")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("slide_id"), closed)
+    return docs, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), closed), S.analyzer(S.model_of(words), LETTERS)
+
+
+@query("segmented_terms")
+def segmented_terms(spark, sf_dir):
+    """Term frequencies of documents whose spaces are gone; how many words are found again is tested."""
+    docs, _, terms = squeezed(spark, sf_dir)
+    return R.inverted_index(docs, terms(F.col("text")))
+
+
+@query("bm25_segmented_top3")
+def bm25_segmented_top3(spark, sf_dir):
+    """The best documents for every item where neither has spaces."""
+    docs, queries, terms = squeezed(spark, sf_dir)
+    held = docs.select("slide_id", terms(F.col("text")).alias("terms")), queries.select("query_id", terms(F.col("text")).alias("terms"))
+    scores = R.bm25(*held, F.col("terms"), F.col("terms"))
+    return R.top_k(scores.withColumn("score", F.round("score", 9)), 3).select("query_id", "slide_id", F.round("score", 6).alias("score"), "rank")
