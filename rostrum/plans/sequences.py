@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.text import clock
 from rostrum.operators import alignment as A
+from rostrum.operators import frames as V
 from rostrum.operators import intervals as I
 from rostrum.operators import projection as P
 from rostrum.operators import segmentation as S
 from rostrum.operators import windows as W
 from rostrum.plans.registry import query, table
-from rostrum.plans.standins import PASSAGES, SEGMENTS, TIMED, passages, segments, timed
+from rostrum.plans.standins import PASSAGES, PICTURE, SEGMENTS, TIMED, brighter_below, passages, pictures, segments, timed
 from rostrum.plans.windows import ATOMS_SQL, atomize_text
 
 #: Orders give score rows: a customer is a lecture, blocks of ten orders are passages, places in a block are slides.
@@ -47,6 +48,14 @@ def best_and_runner_up(spark, sf_dir):
     return A.best_and_runner_up(scores(spark, sf_dir).withColumn("query_id", F.col("lecture_id") * 10 + F.col("query_id")))
 
 
+@query("frame_matches")
+def frame_matches(spark, sf_dir):
+    """Frames are pages whose lower half is a little brighter; each finds its page, and one that looks like it. Tested window by window."""
+    pages = pictures(spark, sf_dir)
+    frames = pages.select("lecture_id", (F.col("slide_id") * 1000).alias("at_ms"), F.pandas_udf(brighter_below, "binary")("pixels").alias("pixels"))
+    return V.matched(frames, pages, *PICTURE).select("lecture_id", "at_ms", "best", F.round("best_score", 6).alias("best_score"), "second", F.round("second_score", 6).alias("second_score"), "error")
+
+
 FRAMES_SQL = f"""{TIMED}, itv AS (SELECT lecture_id, pos AS item, start_ms, start_ms + 60000 * (pos % 40) AS end_ms FROM tok), fra AS (SELECT lecture_id, start_ms + 1800000 AS at_ms, event_type AS label FROM tok),
 nea AS (SELECT i.lecture_id, item, at_ms, label, at_ms BETWEEN start_ms AND end_ms AS inside, abs(at_ms - (start_ms + end_ms) // 2) AS far FROM itv i JOIN fra f ON f.lecture_id = i.lecture_id AND (at_ms BETWEEN start_ms AND end_ms OR abs(at_ms - (start_ms + end_ms) // 2) <= 7200000)),
 cho AS (SELECT * FROM (SELECT *, bool_or(inside) OVER (PARTITION BY lecture_id, item) AS any_in, row_number() OVER (PARTITION BY lecture_id, item ORDER BY far, at_ms) AS n FROM nea) WHERE inside OR (NOT any_in AND n = 1))"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +78,35 @@ TRACE = """tra AS (SELECT event_id AS record_id, epoch_us(ts) // 1000 AS at_ms,
   CASE event_type WHEN 'view' THEN 'request' WHEN 'click' THEN 'attempt' WHEN 'purchase' THEN 'completion' WHEN 'signup' THEN 'validation' ELSE 'failure' END AS event,
   CASE WHEN k % 6 <> 0 THEN CAST(floor(value * 10) AS BIGINT) END AS input_tokens, CASE WHEN k % 7 <> 0 THEN CAST(floor(value * 3) AS BIGINT) END AS output_tokens, CASE WHEN k % 8 <> 0 THEN CAST(floor(value * 4) AS BIGINT) END AS cached_tokens,
   CAST(floor(value * 100) AS BIGINT) AS latency_ms, CASE WHEN event_type = 'error' THEN 'c' || (k % 4) END AS category FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
+
+
+#: Width and height of the pictures that stand for pages and frames.
+PICTURE = (24, 20)
+
+
+def _picture(texts: pd.Series) -> pd.Series:
+    size = PICTURE[0] * PICTURE[1]
+
+    def folded(text: str | None) -> bytes:
+        body = np.frombuffer((text or "").encode(), np.uint8)
+        rows = np.pad(body, (0, -len(body) % size or (0 if len(body) else size))).reshape(-1, size)
+        return (rows.sum(0, dtype=np.int64) % 256).astype(np.uint8).tobytes()
+
+    return texts.map(folded)
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pictures: the bytes of the whole text, folded by adding. Sixty-four neighbouring ones are a deck."""
+    draw = F.pandas_udf(_picture, "binary")
+    return table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 64).alias("lecture_id"), (F.col("doc_id") % 64).alias("slide_id"), draw("text").alias("pixels"))
+
+
+def brighter_below(pixels: pd.Series) -> pd.Series:
+    """Pictures whose lower half is nine steps brighter, as far as that goes."""
+
+    def lit(body: bytes) -> bytes:
+        own = np.frombuffer(body, np.uint8).astype(int)
+        own[len(own) // 2 :] += 9
+        return np.minimum(own, 255).astype(np.uint8).tobytes()
+
+    return pixels.map(lit)
