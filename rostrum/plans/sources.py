@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions import text as X
+from rostrum.functions import variant as N
 from rostrum.operators import reports
 from rostrum.operators import trace as T
 from rostrum.plans.registry import checkpoint_folder, query, table
@@ -177,6 +178,29 @@ def redacted_payloads(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.redacted(payload, ["purchase", ""]).alias("payload"))
 
 
+@query("redacted_headers", "SELECT event_id, '{\"a\":[{\"Authorization\":\"<REDACTED>\"},' || CASE WHEN event_id % 3 = 0 THEN '{\"deep\":{\"x-api-key\":\"<REDACTED>\"}}' ELSE '0' END || '],\"body\":\"' || replace(event_type, 'purchase', '<REDACTED>') || '\",\"n\":' || event_id || '}' AS payload FROM events")
+def redacted_headers(spark, sf_dir):
+    """Secret headers whose values are objects that hold others, inside lists and objects."""
+    k = F.get_json_object("props", "$.k")
+    deep = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"deep": {"x-api-key": [{"v": '), k, F.lit('}, ["purchase"]]}}'))).otherwise("0")
+    payload = F.concat(F.lit('{"n": '), F.col("event_id").cast("string"), F.lit(', "body": "'), "event_type", F.lit('", "a": [{"Authorization": {"scheme": {"name": "Bearer"}, "t": ['), k, F.lit(']}}, '), deep, F.lit("]}"))
+    return N.redacted_json(table(spark, sf_dir, "events").select("event_id", payload.alias("raw")), "raw", ["purchase"], "payload").select("event_id", "payload")
+
+
+@query("usage_by_path", """WITH k AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, CASE k % 6 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE k END AS input_tokens, CASE WHEN k % 4 = 0 THEN 0 WHEN k % 4 = 1 THEN k + 1 END AS cached_tokens, CASE WHEN k % 3 > 0 THEN k * 2 END AS output_tokens FROM k""")
+def usage_by_path(spark, sf_dir):
+    """Token counts by path of nested responses: missing, zero, null, text, and told by the provider's own response alone."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    text = lambda c: c.cast("string")
+    prompt = F.when(k % 6 == 0, F.lit('"prompt_tokens": null, ')).when(k % 6 == 1, F.lit('"prompt_tokens": 0, ')).otherwise(F.concat(F.lit('"prompt_tokens": '), text(k), F.lit(", ")))
+    completion = F.when(k % 3 > 0, text(k * 2)).otherwise(F.concat(F.lit('"'), text(k), F.lit('"')))
+    cached = F.when(k % 4 == 0, F.lit('"prompt_tokens_details": {"cached_tokens": 0}, ')).otherwise("")
+    raw = F.concat(F.lit('{"usage": {"prompt_tokens_details": {'), F.when(k % 4 < 2, F.concat(F.lit('"cached_tokens": '), text(k + 1))).otherwise(""), F.lit("}}}"))
+    response = F.concat(F.lit('{"response": {"usage": {'), prompt, cached, F.lit('"completion_tokens": '), completion, F.lit('}}, "raw_response": '), raw, F.lit("}"))
+    return table(spark, sf_dir, "events").select("event_id", *(c.alias(n) for n, c in N.usage_counts(F.try_parse_json(response)).items()))
+
+
 @query("price_parsing", "SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN NULL WHEN p_size % 4 = 0 THEN 'USD' ELSE 'CNY' END AS currency, CASE WHEN p_size % 4 <> 3 THEN round(p_retailprice, 6) END AS amount FROM part")
 def price_parsing(spark, sf_dir):
     sign = F.element_at(F.array(*map(F.lit, ("$", "￥", "¥", "?"))), F.col("p_size") % 4 + 1)
