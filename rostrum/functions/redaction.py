@@ -9,27 +9,70 @@ from pyspark.sql import functions as F
 MARK = "<REDACTED>"
 
 
+class Automaton:
+    """All secrets in one machine: a node for every beginning of one, and where to go on when a character doesn't fit."""
+
+    def __init__(self, secrets: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.depth, self.longest = [0], [0]
+        for secret in secrets:
+            node = 0
+            for c in secret:
+                if c not in self.next[node]:
+                    self.next[node][c] = len(self.next)
+                    self.next.append({})
+                    self.depth.append(self.depth[node] + 1)
+                    self.longest.append(0)
+                node = self.next[node][c]
+            self.longest[node] = len(secret)
+        self.fall = [0] * len(self.next)
+        waiting = list(self.next[0].values())
+        for node in waiting:  # grows while it is read: nearer nodes first
+            for c, child in self.next[node].items():
+                self.fall[child] = self.step(self.fall[node], c)
+                self.longest[child] = max(self.longest[child], self.longest[self.fall[child]])
+                waiting.append(child)
+
+    def step(self, node: int, c: str) -> int:
+        while node and c not in self.next[node]:
+            node = self.fall[node]
+        return self.next[node].get(c, 0)
+
+
 class Redactor:
-    """Replaces a secret in a stream of chunks. What may be the start of a secret is held back until the next chunk tells."""
+    """Replaces secrets in a stream of chunks: the one that begins first, of those the longest, and on behind it.
+
+    What may still become a secret, or a longer one, is held back until a later chunk tells: no more than the longest secret has.
+    """
 
-    def __init__(self, secret: str):
-        self.secret, self.held = secret, ""
+    def __init__(self, secrets: str | list[str], held: str = ""):
+        self.machine = Automaton([s for s in ([secrets] if isinstance(secrets, str) else secrets) if s])
+        self.held = held
 
     def feed(self, chunk: str, last: bool = False) -> str:
-        if not self.secret:
-            return chunk
-        text = (self.held + chunk).replace(self.secret, MARK)
-        keep = 0 if last else next((k for k in range(min(len(self.secret) - 1, len(text)), 0, -1) if text.endswith(self.secret[:k])), 0)
-        self.held = text[len(text) - keep :] if keep else ""
-        return text[: len(text) - keep] if keep else text
+        text, machine = self.held + chunk, self.machine
+        out, done, at, node, found = [], 0, 0, 0, None
+        while at < len(text) or (last and found):
+            if at < len(text):
+                node, at = machine.step(node, text[at]), at + 1
+                start = at - machine.longest[node]
+                if machine.longest[node] and (found is None or start <= found[0]):
+                    found = start, at
+            if found and (at - machine.depth[node] > found[0] or (last and at == len(text))):
+                out += [text[done : found[0]], MARK]
+                done = at = found[1]
+                node, found = 0, None
+        keep = len(text) if last else min(at - machine.depth[node], found[0] if found else at)
+        self.held = "" if last else text[keep:]
+        return "".join([*out, text[done:keep]])
 
 
-def redacted_chunks(chunks: DataFrame, secret: str) -> DataFrame:
-    """stream, pos, text of chunks (stream, pos, text): a secret that spans chunks is replaced in the one where it ends."""
+def redacted_chunks(chunks: DataFrame, secrets: str | list[str]) -> DataFrame:
+    """stream, pos, text of chunks (stream, pos, text): a secret that spans chunks is replaced in the one where it is told."""
 
     def run(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("pos")
-        redactor = Redactor(secret)
+        redactor = Redactor(secrets)
         texts = [redactor.feed(t or "", k == len(own) - 1) for k, t in enumerate(own.text)]
         return pd.DataFrame({"stream": own.stream, "pos": own.pos, "text": texts})
 

@@ -41,6 +41,20 @@ def stream_active_requests(spark, sf_dir):
     return run(L.active_requests(replay(spark, sf_dir)), "update")
 
 
+#: Secrets that overlap one another and span two or three chunks.
+SECRETS = ["kview", "viewclick", "clickview", "nuppurchase", "errorviewview"]
+
+
+@query("stream_redacted_chunks", "SELECT user_id AS stream, regexp_replace(string_agg(event_type, '' ORDER BY event_id), 'errorviewview|nuppurchase|viewclick|clickview|kview', '<REDACTED>', 'g') AS text FROM events GROUP BY 1")
+def stream_redacted_chunks(spark, sf_dir):
+    """A user's events as chunks of one text, as a stream; the last of each user is known from the table."""
+    events = table(spark, sf_dir, "events")
+    chunks = L.parquet_tail(spark, f"{sf_dir}/events.parque[t]", events.schema).select(F.col("user_id").alias("stream"), F.col("event_id").alias("pos"), F.col("event_type").alias("text"))
+    ends = events.groupBy(F.col("user_id").alias("stream")).agg(F.max("event_id").alias("end"))
+    out = run(L.redacted(chunks.join(ends, "stream").withColumn("last", F.col("pos") == F.col("end")), SECRETS), "append")
+    return out.groupBy("stream").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
 @query("stream_admission")
 def stream_admission(spark, sf_dir):
     """Equals adaptive_admission row by row; a test compares them."""

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rostrum.functions.redaction import Redactor
 from rostrum.operators import admission as A
 from rostrum.operators import trace as T
 from rostrum.sources.artifacts import TRACE
@@ -76,6 +77,26 @@ def admission(records: DataFrame, start: int = 2, largest: int = 8, limits: tupl
     return A.admission_rows(records).groupBy("workflow").applyInPandasWithState(step, A.CAPS, kind, "append", GroupStateTimeout.NoTimeout)
 
 
+def redacted(chunks: DataFrame, secrets: list[str]) -> DataFrame:
+    """stream, pos, text of chunks (stream, pos, text, last), for the append mode: what redaction.redacted_chunks gives, over any number of triggers.
+
+    A stream's state is what is held back, no more than the longest secret has; it goes with the chunk that is ``last``.
+    Chunks of a trigger are put in order of ``pos``.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own = pd.concat(list(batches)).sort_values("pos")
+        redactor = Redactor(secrets, state.get[0] if state.exists else "")
+        texts = [redactor.feed(text or "", bool(last)) for text, last in zip(own.text, own["last"], strict=True)]
+        if redactor.held:
+            state.update((redactor.held,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"stream": own.stream, "pos": own.pos, "text": texts})
+
+    return chunks.select("stream", "pos", "text", "last").groupBy("stream").applyInPandasWithState(step, "stream long, pos long, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+
+
 def event_windows(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts and sums of events (ts, event_type, value) per window of event time: an extension, with late rows dropped after the watermark."""
     frame = F.window("ts", width, slide) if slide else F.window("ts", width)
