@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostrum.operators import places
 from rostrum.operators.ranking import average_rank
+from rostrum.session import checkpointed
+
+
+def _ranked_sides(pairs: DataFrame, descending: bool = False) -> DataFrame:
+    """Both sides' first and last places over all rows, from counts of values by ranges: no task orders all rows."""
+    held = checkpointed(pairs)
+    for side in ("left", "right"):
+        held = places.ranked(held, side, (f"__{side}_lo", f"__{side}_hi"), descending)
+    return held
 
 
 def spearman(pairs: DataFrame, *key: str, zero_variance_is_null: bool = True) -> DataFrame:
     """key, rho of (left, right): Pearson correlation of average ranks. Without variance null, or 0 if asked."""
-    ranked = pairs.withColumn("a", average_rank(F.col("left"), *key)).withColumn("b", average_rank(F.col("right"), *key))
+    if key:
+        ranked = pairs.withColumn("a", average_rank(F.col("left"), *key)).withColumn("b", average_rank(F.col("right"), *key))
+    else:
+        mean = lambda side: (F.col(f"__{side}_lo") + F.col(f"__{side}_hi")) / 2
+        ranked = _ranked_sides(pairs).withColumn("a", mean("left")).withColumn("b", mean("right"))
     flat = (F.stddev_pop("a") == 0) | (F.stddev_pop("b") == 0)
     rho = F.when(flat, None if zero_variance_is_null else 0.0).otherwise(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")))
     return (ranked.groupBy(*key) if key else ranked.groupBy()).agg(F.count("*").alias("n"), rho.alias("rho"))
@@ -22,9 +36,10 @@ def ranking_comparison(pairs: DataFrame) -> DataFrame:
     flips = [F.count_if((a >= k) != (b >= k)).alias(f"flips_at_{k}") for k in range(2, 6)]
     change = F.abs(F.col("left_points") - F.col("right_points"))
     both, either = F.count_if((a >= 4) & (b >= 4)), F.count_if((a >= 4) | (b >= 4))
+    (median,) = places.percentiles(pairs.select(change.alias("change")), "change", [0.5])
     return pairs.agg(
         F.count("*").alias("items"), F.count_if(a == b).alias("same_level"), F.count_if(F.abs(a - b) <= 1).alias("within_one"), *flips, F.count_if(((a == 1) & (b == 5)) | ((a == 5) & (b == 1))).alias("extreme_swaps"),
-        F.when(either == 0, None).otherwise(both / either).alias("jaccard"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY abs(left_points - right_points))").alias("median_change"), F.max(change).alias("max_change"),
+        F.when(either == 0, None).otherwise(both / either).alias("jaccard"), F.lit(median).cast("double").alias("median_change"), F.max(change).alias("max_change"),
     )
 
 
@@ -37,7 +52,12 @@ def fractional_top(value: Column, k: int, *partition: str) -> Column:
 
 def top_k_overlap(pairs: DataFrame, k: int, *key: str) -> DataFrame:
     """key, overlap of the k highest on both sides, with ties in part."""
-    weighed = pairs.withColumn("a", fractional_top(F.col("left"), k, *key)).withColumn("b", fractional_top(F.col("right"), k, *key))
+    if key:
+        weighed = pairs.withColumn("a", fractional_top(F.col("left"), k, *key)).withColumn("b", fractional_top(F.col("right"), k, *key))
+    else:
+        lo, hi = (lambda side: F.col(f"__{side}_lo")), (lambda side: F.col(f"__{side}_hi"))
+        part = lambda side: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (k - (lo(side) - 1)) / (hi(side) - lo(side) + 1)))
+        weighed = _ranked_sides(pairs, descending=True).withColumn("a", part("left")).withColumn("b", part("right"))
     return (weighed.groupBy(*key) if key else weighed.groupBy()).agg((F.sum(F.least("a", "b")) / k).alias("overlap"))
 
 
@@ -63,7 +83,8 @@ def choice_agreement(choices: DataFrame) -> DataFrame:
 def passage_statistics(passages: DataFrame, short: int = 40, long: int = 450) -> DataFrame:
     """n, median, least and largest length, short, long, and those that don't end a sentence."""
     n = F.char_length("text")
-    return passages.agg(F.count("*").alias("passages"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY char_length(text))").alias("median"), F.min(n).alias("least"), F.max(n).alias("largest"), F.count_if(n < short).alias("short"), F.count_if(n > long).alias("long"), F.count_if(~F.rtrim("text").rlike("[。！？!?.…]$")).alias("nonterminal"))
+    (median,) = places.percentiles(passages.select(n.alias("n")), "n", [0.5])
+    return passages.agg(F.count("*").alias("passages"), F.lit(median).cast("double").alias("median"), F.min(n).alias("least"), F.max(n).alias("largest"), F.count_if(n < short).alias("short"), F.count_if(n > long).alias("long"), F.count_if(~F.rtrim("text").rlike("[。！？!?.…]$")).alias("nonterminal"))
 
 
 def alignment_agreement(windows: DataFrame) -> DataFrame:
@@ -71,16 +92,14 @@ def alignment_agreement(windows: DataFrame) -> DataFrame:
 
     The tenth percentile of margins is the sorted one at n div 10.
     """
-    order = Window.orderBy("margin")
-    n = F.count("*").over(Window.partitionBy())
-    tenth = F.max(F.when(F.col("place") == F.floor(F.col("all") / 10), F.col("margin")))
-    placed = windows.withColumn("place", F.row_number().over(order) - 1).withColumn("all", n)
+    windows = checkpointed(windows)
+    (median,), tenth = places.percentiles(windows, "margin", [0.5]), places.nth_of(windows, "margin", 1, 10)
     hit = lambda k: F.count_if(F.coalesce(F.col("rank") <= k, F.lit(False)))
     stable = F.col("share") >= 0.8
-    return placed.agg(
+    return windows.agg(
         F.count("*").alias("windows"), hit(1).alias("top1"), hit(3).alias("top3"), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"), *[F.count_if(F.col("distance") <= d).alias(f"within_{d}") for d in (0, 1, 3)],
         (F.sum(F.when(F.col("rank") == 1, F.col("frames")).otherwise(0)) / F.sum("frames")).alias("frame_weighted"), F.count_if(stable).alias("stable"), F.count_if(stable & (F.col("rank") == 1)).alias("stable_top1"),
-        F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY margin)").alias("median_margin"), tenth.alias("p10_margin"),
+        F.lit(median).cast("double").alias("median_margin"), F.lit(tenth).cast("double").alias("p10_margin"),
     )
 
 

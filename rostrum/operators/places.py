@@ -71,3 +71,12 @@ def percentiles(df: DataFrame, value: str, shares: list[float]) -> list[float |
     holds = F.explode(F.filter(F.lit(wanted), lambda w: (w < F.col("upto")) & (w >= F.col("upto") - F.col("n"))))
     values = {r.at: r.value for r in found.select(holds.alias("at"), "value").collect()}
     return [values[int(s)] + (s - int(s)) * (values[min(int(s) + 1, total - 1)] - values[int(s)]) for s in spots]
+
+
+def nth_of(df: DataFrame, value: str, part: int, of: int):
+    """The value at place n * part // of, counted from 0, among all n rows in order, nulls first; None without rows."""
+    found = running(df.groupBy(value).agg(F.count("*").alias("__n")), [F.col(value).asc_nulls_first()], "__n", "__upto")
+    total = found.agg(F.max("__upto")).first()[0] or 0
+    spot = total * part // of
+    row = found.filter((F.col("__upto") > spot) & (F.col("__upto") - F.col("__n") <= spot)).first()
+    return None if row is None else row[value]

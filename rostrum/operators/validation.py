@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.text import is_blank
 from rostrum.operators.projection import provenance
+from rostrum.operators.ranking import level
 
 
 class ValidationError(ValueError):
@@ -117,10 +118,32 @@ def related_slide_errors(passages: DataFrame, slides: DataFrame) -> DataFrame:
 
 
 def score5_errors(passages: DataFrame) -> DataFrame:
-    """importance and novelty must be whole numbers from 0 to 5. Whether both or neither comparative score is there isn't checked."""
+    """importance and novelty must be whole numbers from 0 to 5. comparative_errors checks the scores behind them."""
     return _errors(passages, "passage_id", importance_out_of_range=~F.col("importance").between(0, 5), novelty_out_of_range=~F.col("novelty").between(0, 5))
 
 
+def comparative_errors(passages: DataFrame) -> DataFrame:
+    """lecture_id, error, position of comparative scores: a passage has both or neither, each agrees with itself and with
+    the level shown, and in a lecture either all passages have them or none (position null).
+
+    passages (lecture_id, passage_id, importance, novelty, comparative_importance and comparative_novelty, each null or a
+    struct of comparisons, most, least, points and display_level).
+    """
+    metrics = ("importance", "novelty")
+    there = {m: F.col(f"comparative_{m}").isNotNull() for m in metrics}
+    both, checks = there["importance"] & there["novelty"], {"incomplete_pair": there["importance"] != there["novelty"]}
+    for m in metrics:
+        own, points = (lambda name, m=m: F.col(f"comparative_{m}.{name}")), F.col(f"comparative_{m}.points")
+        crowded, outside = own("most").cast("decimal(20,0)") + own("least") > own("comparisons"), ~points.between(0, 10_000)
+        checks[f"{m}_too_many_choices"] = both & crowded
+        checks[f"{m}_percentile_out_of_range"] = both & ~crowded & outside
+        checks[f"{m}_level_mismatch"] = both & ~crowded & ~outside & (own("display_level") != level(points))
+        checks[f"{m}_not_the_level_shown"] = both & ~crowded & ~outside & (own("display_level") == level(points)) & (F.col(m) != own("display_level"))
+    ranked = passages.groupBy("lecture_id").agg(F.count_if(both).alias("ranked"), F.count("*").alias("n")).filter("ranked > 0 AND ranked < n")
+    lectures = ranked.select("lecture_id", F.lit("incomplete_ranking").alias("error"), F.lit(None).cast(passages.schema["passage_id"].dataType).alias("position"))
+    return _errors(passages, "passage_id", **checks).unionByName(lectures)
+
+
 def token_errors(tokens: DataFrame) -> DataFrame:
     """Timed tokens must have text, end after they start, and not overlap."""
     order = Window.partitionBy("lecture_id").orderBy("pos")

@@ -40,7 +40,7 @@ poi AS (SELECT *, CAST(((2 * rank() OVER (ORDER BY score) + count(*) OVER (PARTI
 @query("bws_percentile_levels", f"WITH {POINTS_SQL} SELECT passage_id, round(score, 6) AS score, points, CAST(least(points // 2000 + 1, 5) AS BIGINT) AS display_level FROM poi")
 def bws_percentile_levels(spark, sf_dir):
     own = bws_counts(spark, sf_dir).withColumn("score", R.best_worst(F.col("most"), F.col("least"), F.col("comparisons")))
-    return own.withColumn("points", R.percentile_points(F.col("score"))).select("passage_id", F.round("score", 6).alias("score"), "points", R.level(F.col("points")).alias("display_level"))
+    return R.with_percentile_points(own, "score").select("passage_id", F.round("score", 6).alias("score"), "points", R.level(F.col("points")).alias("display_level"))
 
 
 @query("bws_score_errors", f"""WITH {POINTS_SQL} SELECT passage_id, CASE WHEN passage_id % 9 = 0 THEN 'too_many_choices' WHEN passage_id % 7 = 0 THEN 'percentile_out_of_range' ELSE 'level_mismatch' END AS error

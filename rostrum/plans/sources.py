@@ -163,6 +163,15 @@ def appended_log(spark, sf_dir):
     return R.read_trace(spark, path).select("record_id", "at_ms", "exchange_id", "event")
 
 
+@query("hashed_artifacts", "SELECT s_nationkey AS folder, count(*) AS files, string_agg(sha256(s_name || chr(10)), ',' ORDER BY sha256(s_name || chr(10))) AS hashes, CAST(sum(length(s_name) + 1) AS BIGINT) AS characters FROM supplier GROUP BY 1")
+def hashed_artifacts(spark, sf_dir):
+    """A file for each supplier, in folders by nation, read whole and hashed."""
+    folder = f"{checkpoint_folder(spark)}-files"
+    table(spark, sf_dir, "supplier").select("s_name", "s_nationkey", "s_suppkey").write.partitionBy("s_nationkey", "s_suppkey").text(folder)
+    read = R.hashed_files(spark, f"{folder}/*/*/*.txt").withColumn("folder", F.regexp_extract("path", "s_nationkey=([0-9]+)", 1).cast("long"))
+    return read.groupBy("folder").agg(F.count("*").alias("files"), F.array_join(F.sort_array(F.collect_list("sha256")), ",").alias("hashes"), F.sum(F.char_length("text")).alias("characters"))
+
+
 @query("fenced_json", "SELECT event_id, event_id % 3 <> 2 AS parsed, CASE WHEN event_id % 3 <> 2 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
 def fenced_json(spark, sf_dir):
     """Responses that are JSON, one whole fenced block, or prose around one, which is refused."""

@@ -192,6 +192,24 @@ def score_validation(spark, sf_dir):
     return V.score5_errors(passages(spark, sf_dir).withColumns({"importance": F.col("importance") + 3, "novelty": F.col("novelty") - 1}))
 
 
+@query("comparative_validation", f"""WITH {PASSAGES}, s AS (SELECT *, lecture_id % 3 > 0 AND chars % 17 <> 0 AS has_i, lecture_id % 3 > 0 AND chars % 13 <> 0 AS has_n, (chars * 37) % 10500 AS points FROM pas),
+v AS (SELECT *, least(points // 2000 + 1, 5) AS lev, least(points // 2000 + 1, 5) + CASE WHEN chars % 19 = 0 THEN 1 ELSE 0 END AS shown, chars % 4 + chars % 3 > 4 AS crowded FROM s),
+e AS (SELECT lecture_id, passage_id, m, has_i AND has_n AS own, crowded, points, lev, shown, m = 'importance' AND chars % 7 = 0 AS other FROM v, (SELECT unnest(['importance', 'novelty']) AS m))
+SELECT lecture_id, 'incomplete_pair' AS error, passage_id AS position FROM v WHERE has_i <> has_n
+UNION ALL SELECT lecture_id, m || '_too_many_choices', passage_id FROM e WHERE own AND crowded
+UNION ALL SELECT lecture_id, m || '_percentile_out_of_range', passage_id FROM e WHERE own AND NOT crowded AND points > 10000
+UNION ALL SELECT lecture_id, m || '_level_mismatch', passage_id FROM e WHERE own AND NOT crowded AND points <= 10000 AND shown <> lev
+UNION ALL SELECT lecture_id, m || '_not_the_level_shown', passage_id FROM e WHERE own AND NOT crowded AND points <= 10000 AND shown = lev AND other
+UNION ALL SELECT lecture_id, 'incomplete_ranking', NULL FROM v GROUP BY lecture_id HAVING count(*) FILTER (has_i AND has_n) BETWEEN 1 AND count(*) - 1""")
+def comparative_validation(spark, sf_dir):
+    """Scores spoilt by the length of the passage; every third lecture has none."""
+    c, some = F.col("chars"), F.col("lecture_id") % 3 > 0
+    shown = F.least(F.floor(c * 37 % 10500 / 2000) + 1, F.lit(5)) + (c % 19 == 0).cast("long")
+    score = F.struct(F.lit(4).alias("comparisons"), (c % 4).alias("most"), (c % 3).alias("least"), (c * 37 % 10500).alias("points"), shown.alias("display_level"))
+    rows = passages(spark, sf_dir).withColumns({"comparative_importance": F.when(some & (c % 17 != 0), score), "comparative_novelty": F.when(some & (c % 13 != 0), score), "importance": shown + (c % 7 == 0).cast("long"), "novelty": shown})
+    return V.comparative_errors(rows)
+
+
 @query("token_validation", f"""WITH {TIMED}, t AS (SELECT lecture_id, pos, CASE WHEN pos % 17 = 3 THEN '' ELSE event_type END AS text, start_ms, CASE WHEN pos % 13 = 5 THEN start_ms WHEN pos % 11 = 2 THEN end_ms + 1 ELSE end_ms END AS end_ms FROM tok),
 l AS (SELECT *, lag(end_ms) OVER (PARTITION BY lecture_id ORDER BY pos) AS last_end FROM t)
 SELECT lecture_id, 'empty_token' AS error, pos AS position FROM l WHERE text = '' UNION ALL SELECT lecture_id, 'no_duration', pos FROM l WHERE end_ms <= start_ms UNION ALL SELECT lecture_id, 'overlap', pos FROM l WHERE start_ms < last_end""")

@@ -94,7 +94,7 @@ def read_artifact(spark: SparkSession, path: str, names: tuple[str, ...]) -> dic
 
 
 def hashed_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, text and SHA-256 of whole files."""
+    """path, text and SHA-256 of whole files; Spark lists no empty ones."""
     return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256"))
 
 

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from rostrum.operators import places
+from rostrum.operators import evaluation, places, ranking
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,22 @@ def test_running_sums(spark):
         total += n
         want[k] = total
     assert {r.id: r.upto for r in got} == want
+
+
+def test_ranks_without_a_key_are_those_of_one_group(spark, values):
+    pairs = frame(spark, values).select("id", F.col("value").alias("left"), ((F.col("id") * 7) % 5).cast("double").alias("right")).filter("left IS NOT NULL")
+    keyed = pairs.withColumn("k", F.lit(1))
+    assert evaluation.spearman(pairs).first().rho == pytest.approx(evaluation.spearman(keyed, "k").first().rho)
+    for k in (1, 100, 650):
+        assert evaluation.top_k_overlap(pairs, k).first().overlap == pytest.approx(evaluation.top_k_overlap(keyed, k, "k").first().overlap)
+    window = pairs.withColumn("points", ranking.percentile_points(F.col("left")))
+    assert Counter(map(tuple, ranking.with_percentile_points(pairs, "left").select(*window.columns).collect())) == Counter(map(tuple, window.collect()))
+    assert ranking.with_percentile_points(pairs.limit(1), "left").first().points == 5000
+    assert evaluation.spearman(pairs.limit(0)).first().n == 0 and ranking.with_percentile_points(pairs.limit(0), "left").count() == 0
+
+
+def test_nth_value_counts_nulls_first(spark, values):
+    order = sorted((v for _, v in values), key=lambda v: (v is not None, v or 0))
+    for part in range(10):
+        assert places.nth_of(frame(spark, values), "value", part, 10) == order[len(order) * part // 10]
+    assert places.nth_of(frame(spark, []), "value", 1, 2) is None
