@@ -218,12 +218,12 @@ def price_parsing(spark, sf_dir):
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as a price catalog: brands are providers, a tenth of the prices are invalid."""
+    """Parts as price catalogs, one for each brand and ten thousand keys: brands are providers, a tenth of the prices are invalid."""
     bad = F.col("p_partkey") % 10 == 0
     cost = F.struct(F.when(bad, -1.0).otherwise(F.col("p_size").cast("double")).alias("input"), (F.col("p_size") * 2.0).alias("output"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_size") / 4).alias("cache_read"))
     model = F.struct(F.concat(F.lit("m-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), cost.alias("cost"))
     models = F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string").alias("key"), model.alias("value"))))
-    own = table(spark, sf_dir, "part").groupBy("p_brand").agg(models.alias("m"))
+    own = table(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 10_000)).agg(models.alias("m"))
     whole = F.create_map("p_brand", F.struct(F.lower("p_brand").alias("id"), F.col("p_brand").alias("name"), F.col("m").alias("models")))
     return R.catalog(own.select(F.to_json(whole).alias("text")))
 

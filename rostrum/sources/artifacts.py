@@ -105,7 +105,9 @@ CATALOG = f"map<string,struct<id:string,name:string,models:map<string,struct<id:
 def catalog(texts: DataFrame) -> DataFrame:
     """Price presets of catalog texts (text): models without valid prices are dropped; a missing cached price is the input's."""
     providers = texts.select(F.explode(F.from_json("text", CATALOG)).alias("key", "p"))
-    models = providers.select(F.col("p.id").alias("provider_id"), F.col("p.name").alias("provider_name"), F.explode("p.models").alias("k", "m"))
+    # a provider's models leave the row before they are exploded, or each of them would carry them all
+    named = providers.select(F.col("p.id").alias("provider_id"), F.col("p.name").alias("provider_name"), F.col("p.models").alias("models"))
+    models = named.select("provider_id", "provider_name", F.explode("models").alias("k", "m"))
     valid = lambda c: c.isNotNull() & ~F.isnan(c) & (c >= 0) & (c < float("inf"))
     cost = lambda k: F.col(f"m.cost.{k}")
     cached = F.when(valid(cost("cache_read")), cost("cache_read"))

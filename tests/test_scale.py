@@ -31,3 +31,14 @@ def test_decisions_beyond_a_million(same):
 def test_steps_of_float_differences(same):
     """0.03 as a float lies below 0.03; a float product gives 3 steps, a double's 2."""
     same("competition_ranks", embeddings="SELECT range AS vec_id, [CAST(range / 100.0 AS FLOAT), 1::FLOAT] AS embedding, 1 AS label FROM range(8)")
+
+
+def test_catalog_texts_are_bounded(spark, tmp_path, monkeypatch):
+    """No text holds all models of a brand, and a model's row doesn't carry the others."""
+    from rostrum.plans import sources
+
+    duckdb.connect().execute(f"COPY (SELECT range AS p_partkey, 'part' AS p_name, 'Brand#1' AS p_brand, 3 AS p_size FROM range(0, 40000, 10) UNION ALL SELECT 1, 'part', 'Brand#1', 3) TO '{tmp_path}/part.parquet'").fetchall()
+    seen, own = [], sources.R.catalog
+    monkeypatch.setattr(sources.R, "catalog", lambda texts: seen.append(texts) or own(texts))
+    assert sources.catalog(spark, str(tmp_path)).count() == 1
+    assert seen[0].count() == 4
