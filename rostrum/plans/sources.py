@@ -167,8 +167,9 @@ def appended_log(spark, sf_dir):
 def hashed_artifacts(spark, sf_dir):
     """A file for each supplier, in folders by nation, read whole and hashed."""
     folder = f"{checkpoint_folder(spark)}-files"
-    table(spark, sf_dir, "supplier").select("s_name", "s_nationkey", "s_suppkey").write.partitionBy("s_nationkey", "s_suppkey").text(folder)
-    read = R.hashed_files(spark, f"{folder}/*/*/*.txt").withColumn("folder", F.regexp_extract("path", "s_nationkey=([0-9]+)", 1).cast("long"))
+    # one row a file, written by all cores: a folder for each file would have to be listed and moved by itself
+    table(spark, sf_dir, "supplier").select("s_name", "s_nationkey").repartition(spark.sparkContext.defaultParallelism).write.option("maxRecordsPerFile", 1).partitionBy("s_nationkey").text(folder)
+    read = R.hashed_files(spark, folder).withColumn("folder", F.regexp_extract("path", "s_nationkey=([0-9]+)", 1).cast("long"))
     return read.groupBy("folder").agg(F.count("*").alias("files"), F.array_join(F.sort_array(F.collect_list("sha256")), ",").alias("hashes"), F.sum(F.char_length("text")).alias("characters"))
 
 

@@ -42,3 +42,17 @@ def test_catalog_texts_are_bounded(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sources.R, "catalog", lambda texts: seen.append(texts) or own(texts))
     assert sources.catalog(spark, str(tmp_path)).count() == 1
     assert seen[0].count() == 4
+
+
+def test_artifacts_have_no_folder_each(spark, monkeypatch):
+    from pathlib import Path
+
+    from rostrum.plans import sources
+
+    seen, own = [], sources.R.hashed_files
+    monkeypatch.setattr(sources.R, "hashed_files", lambda spark, path: seen.append(path) or own(spark, path))
+    made = sources.hashed_artifacts(spark, "/root/testdata/sf0.001")
+    root = Path(seen[0].split("*")[0])
+    nations = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet")
+    assert sum(p.is_dir() for p in root.rglob("*")) == nations.select("s_nationkey").distinct().count()
+    assert sum(r.files for r in made.collect()) == len(list(root.rglob("*.txt"))) == nations.count()
