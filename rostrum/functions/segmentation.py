@@ -180,6 +180,50 @@ def best_path(walker: Walker, run: str, unknown: float) -> list[str]:
     return out
 
 
+def best_paths(trie: Trie, runs: list[str], unknown: float) -> list[list[str]]:
+    """``best_path`` of many runs at once: all walk down the trie together, then all go from their ends to their starts together."""
+    text = "\0".join(runs) + "\0"
+    known = np.zeros(max(map(ord, [*text, *trie.codes])) + 1, np.int32)
+    known[[ord(c) for c in trie.codes]] = list(trie.codes.values())
+    codes = known[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    sizes = np.array([len(run) for run in runs])
+    ends = np.cumsum(sizes + 1) - 1
+    codes[ends] = 0
+    levels: list[np.ndarray] = []
+    at, node = np.arange(len(codes)), np.zeros(len(codes), np.int32)
+    while len(at):
+        code = codes[at + len(levels)]
+        child = trie.base[node] + code
+        child[child >= len(trie.owner)] = 0
+        met = (code > 0) & (child > 0) & (trie.owner[child] == node)
+        at, node = at[met], child[met]
+        level = np.full(len(codes), -np.inf)
+        weight = trie.weight[node]
+        ended = ~np.isnan(weight)
+        level[at[ended]] = weight[ended]
+        levels.append(level)
+    edges = np.stack(levels, 1)
+    edges[:, 0] = np.where(np.isneginf(edges[:, 0]), unknown, edges[:, 0])
+    reach = np.arange(1, len(levels) + 1)
+    best, step = np.zeros(len(codes) + len(levels)), np.zeros(len(codes), np.int32)
+    order = np.argsort(-sizes, kind="stable")
+    falling, last = -sizes[order], ends[order]
+    for back in range(1, int(sizes.max(initial=0)) + 1):
+        place = last[: np.searchsorted(falling, -back, "right")] - back
+        found = edges[place] + best[place[:, None] + reach]
+        longest = len(levels) - 1 - np.argmax(found[:, ::-1], 1)
+        best[place], step[place] = found[np.arange(len(place)), longest], longest + 1
+    steps, out, start = step.tolist(), [], 0
+    for size in sizes.tolist():
+        words, end = [], start + size
+        while start < end:
+            words.append(text[start : start + steps[start]])
+            start += steps[start]
+        out.append(words)
+        start = end + 1
+    return out
+
+
 #: States that may follow one another.
 FOLLOWS = {BEGIN: (MIDDLE, END), MIDDLE: (MIDDLE, END), END: (BEGIN, SINGLE), SINGLE: (BEGIN, SINGLE)}
 
@@ -208,8 +252,13 @@ def by_states(model: Model, run: str) -> list[str]:
 
 def cut(model: Model, walker: Walker, run: str) -> list[str]:
     """The words of a run: the best path, in which unknown stretches of single characters are cut by states."""
+    return with_states(model, walker, best_path(walker, run, model.unknown))
+
+
+def with_states(model: Model, walker: Walker, words: list[str]) -> list[str]:
+    """The words of a best path, whose unknown stretches are cut by states."""
     out, loose = [], ""
-    for word in [*best_path(walker, run, model.unknown), ""]:
+    for word in [*words, ""]:
         if len(word) == 1:
             loose += word
             continue
@@ -272,13 +321,60 @@ def terms_of(text: str, model: Model, walker: Walker, unspaced: str = UNSPACED)
     return [term.lower() for term in out if any(c.isalnum() for c in term)]
 
 
+#: Characters of texts that are cut together, and words whose terms a worker remembers.
+TOGETHER, REMEMBERED = 200_000, 200_000
+
+
+class Cutter:
+    """``terms_of`` for many texts at once, with the terms of words that were met remembered."""
+
+    def __init__(self, model: Model, unspaced: str = UNSPACED):
+        import regex
+
+        self.model, self.walker, self.known = model, model.trie.lists(), {}
+        self.runs = regex.compile(rf"([{unspaced}]+)|[^{unspaced}\W_]+(?:\p{{M}}+[^{unspaced}\W_]*)*")
+
+    def of_word(self, word: str) -> list[str]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self.known[word] = [term.lower() for term in for_search(self.walker, [word]) if any(c.isalnum() for c in term)]
+        return found
+
+    def together(self, texts: list[str]) -> list[list[str]]:
+        """Terms of each text; null has none here."""
+        found = [[(m.group(), m.group(1) is not None) for m in self.runs.finditer(unicodedata.normalize("NFKC", text or ""))] for text in texts]
+        paths = iter(best_paths(self.model.trie, runs, self.model.unknown) if (runs := [run for own in found for run, inner in own if inner]) else [])
+        out = []
+        for own in found:
+            terms = []
+            for run, inner in own:
+                if inner:
+                    for word in with_states(self.model, self.walker, next(paths)):
+                        terms += self.of_word(word)
+                elif any(c.isalnum() for c in run):
+                    terms.append(run.lower())
+            out.append(terms)
+        return out
+
+    def terms(self, texts: list[str | None]) -> list[list[str] | None]:
+        out, some, size = [], [], 0
+        for k, text in enumerate(texts):
+            some.append(text)
+            size += len(text or "")
+            if size >= TOGETHER or k == len(texts) - 1:
+                out += self.together(some)
+                some, size = [], 0
+        return [None if text is None else own for text, own in zip(texts, out, strict=True)]
+
+
 def analyzer(model: Model, unspaced: str = UNSPACED) -> Callable[[Column | str], Column]:
     """A function from a text column to its terms, for retrieval's ``slide_terms`` and ``query_terms``."""
-    held: list[Walker] = []
+    held: list[Cutter] = []
 
     def terms(texts: pd.Series) -> pd.Series:
-        walker = held[0] if held else model.trie.lists()
-        held[:] = [walker]
-        return texts.map(lambda text: None if text is None else terms_of(text, model, walker, unspaced))
+        held[:] = held or [Cutter(model, unspaced)]
+        return pd.Series(held[0].terms(texts.tolist()), dtype=object)
 
     return F.pandas_udf(terms, ArrayType(StringType()))

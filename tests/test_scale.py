@@ -56,3 +56,17 @@ def test_artifacts_have_no_folder_each(spark, monkeypatch):
     nations = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet")
     assert sum(p.is_dir() for p in root.rglob("*")) == nations.select("s_nationkey").distinct().count()
     assert sum(r.files for r in made.collect()) == len(list(root.rglob("*.txt"))) == nations.count()
+
+
+def test_texts_are_cut_together_as_one_by_one():
+    import random
+
+    from rostrum.functions import segmentation as S
+
+    draw = random.Random(5)
+    model = S.model_of({"".join(draw.choices("abcd木", k=draw.randint(1, 5))): draw.randint(2, 9) for _ in range(60)})
+    texts = ["".join(draw.choices("abcdeX木水. 1\0", weights=[9] * 8 + [1] * 4, k=draw.randint(0, 90))) for _ in range(80)]
+    walker = model.trie.lists()
+    for unspaced in (r"\p{L}", S.UNSPACED):
+        found = S.Cutter(model, unspaced).terms([*texts, None, ""])
+        assert found == [*(S.terms_of(text, model, walker, unspaced) for text in texts), None, []]
