@@ -6,7 +6,9 @@ spans run as a kernel per lecture; everything else is prefix sums and joins.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,26 +28,31 @@ def greedy_windows(rows: DataFrame, max_chars: int = MAX_CHARS, max_ms: int = MA
     null is an omission, which costs nothing and never starts a new window, so a
     lecture of omissions alone has no window.
     """
-    sized = rows.select("lecture_id", "id", "start_ms", "end_ms", F.char_length("text").alias("chars"))
+    sized = rows.select("lecture_id", F.struct("id", "start_ms", "end_ms", F.char_length("text").alias("chars")).alias("r"))
+    own = sized.groupBy("lecture_id").agg(F.sort_array(F.collect_list("r")).alias("r")).select("lecture_id", *(F.col(f"r.{c}").alias(c) for c in ("id", "start_ms", "end_ms", "chars")))
 
-    def cut(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("id")
+    def cut(ids: list, starts: list, ends: list, chars: list) -> list[list[int]]:
         out, first, used, spoken = [], None, 0, False
-        for r in own.itertuples():
-            omitted = pd.isna(r.chars)
-            total = used + (0 if omitted else int(r.chars))
-            late = first is not None and not pd.isna(first.start_ms) and not pd.isna(r.end_ms) and max(r.end_ms - first.start_ms, 0) > max_ms
+        for k, (row, n) in enumerate(zip(ids, chars, strict=True)):
+            omitted = n is None
+            total = used + (n or 0)
+            late = first is not None and starts[first] is not None and ends[k] is not None and max(ends[k] - starts[first], 0) > max_ms
             if first is None or (spoken and not omitted and (total > max_chars or late)):
-                first, total, spoken = r, 0 if omitted else int(r.chars), False
-                out.append([r.lecture_id, len(out), r.id, r.id])
-            out[-1][3] = r.id
+                first, total, spoken = k, n or 0, False
+                out.append([len(out), row, row])
+            out[-1][2] = row
             used, spoken = total, spoken or not omitted
-        if own.chars.isna().all():
-            out = []
-        return pd.DataFrame(out, columns=["lecture_id", "window_index", "owned_start", "owned_end"])
+        return out if any(n is not None for n in chars) else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.schema.field("lecture_id").type
+            found = [(lecture, *window) for lecture, *lists in zip(*(column.to_pylist() for column in batch.columns), strict=True) for window in cut(*lists)]
+            columns = zip(*found, strict=True) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(values, t) for values, t in zip(columns, (kind, *[pa.int64()] * 3), strict=True)], ["lecture_id", "window_index", "owned_start", "owned_end"])
 
     kind = rows.schema["lecture_id"].dataType.simpleString()
-    return sized.groupBy("lecture_id").applyInPandas(cut, f"lecture_id {kind}, window_index long, owned_start long, owned_end long")
+    return own.mapInArrow(run, f"lecture_id {kind}, window_index long, owned_start long, owned_end long")
 
 
 def with_context(windows: DataFrame, rows: DataFrame, budget: int = CONTEXT_CHARS) -> DataFrame:

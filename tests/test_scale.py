@@ -117,3 +117,13 @@ def test_shown_digits_are_rounded_once(spark):
 
     scores = spark.createDataFrame([(1, 1, 0.4554154996)], "query_id long, slide_id long, score double")
     assert retrieval.by_nine(scores).select(F.round("raw", 6)).first()[0] == 0.455415
+
+
+def test_short_lectures_share_a_batch(spark):
+    """Windows are cut without a pandas group for each lecture."""
+    from rostrum.operators import windows as W
+
+    rows = spark.createDataFrame([(k, i, None, None, None if (k + i) % 5 == 0 else "x" * (i * 60)) for k in range(30) for i in range(8)], "lecture_id long, id long, start_ms long, end_ms long, text string")
+    found = W.greedy_windows(rows)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[1:] for r in found.filter("lecture_id = 1").orderBy("window_index").collect()] == [(0, 0, 4), (1, 5, 5), (2, 6, 6), (3, 7, 7)]
