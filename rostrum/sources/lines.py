@@ -9,8 +9,8 @@ A log is a file, or a folder of files whose names don't start with ``_`` or ``.`
 Rows are file, head, at and value: the line (without its end), the byte where it
 begins, and a fingerprint of the file's first line, which tells a file that was cut
 and begun anew from one that grew. Only lines that end in a newline are read; an
-empty file gives none. Files are cut into ranges of ``split_bytes``, each read by
-one task; a line belongs to the range in which it begins, however long it is.
+empty file gives none. Files are cut into ranges of ``split_bytes``, or wider ones
+where one read would have over RANGES of them, each read by one task; a line belongs to the range in which it begins, however long it is.
 Invalid UTF-8 is replaced. Paths may be local or of any store that Arrow opens.
 
 Tail. An offset holds, for each file, the byte after its last whole line and its
@@ -42,6 +42,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "file string, head string, at bigint, value string"
 #: Bytes of a range, bytes read at a time, and bytes of lines in one Arrow batch.
 SPLIT_BYTES, READ_BYTES, BATCH_BYTES = 64 << 20, 1 << 20, 4 << 20
+#: Ranges of one read from which they become wider, up to SPLIT_BYTES: a task has costs of its own, however little it reads.
+RANGES = 128
 
 
 class LogError(ValueError):
@@ -112,6 +114,11 @@ class Range(InputPartition):
     lossless: bool = True
 
 
+def width(split: int, total: int) -> int:
+    """Bytes of a range where so many bytes are read in all."""
+    return max(split, min(-(-total // RANGES), SPLIT_BYTES))
+
+
 def ranges(path: str, head: str, start: int, end: int, split: int, lossless: bool = True) -> list[Range]:
     return [Range(path, head, at, min(at + split, end), end, at == start, lossless) for at in range(start, end, split)]
 
@@ -179,11 +186,11 @@ class Reader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         fs, root = opened(self.root)
-        found = []
-        for path, size in log_files(fs, root).items():
-            end = whole_until(fs, path, size)
+        ends = {path: whole_until(fs, path, size) for path, size in log_files(fs, root).items()}
+        split, found = width(self.split, sum(ends.values())), []
+        for path, end in ends.items():
             if end:
-                found += ranges(path, head_of(fs, path), 0, end, self.split)
+                found += ranges(path, head_of(fs, path), 0, end, split)
         return found or [Range("", "", 0, 0, 0, True, False)]  # Spark asks for one at least
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -208,12 +215,12 @@ class Tail(DataSourceStreamReader):
         return found
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
-        found = []
+        news = []
         for path, now in sorted(end.items()):
             was = start.get(path, {"at": 0, "head": ""})
-            begin = was["at"] if was["head"] == now["head"] and was["at"] <= now["at"] else 0
-            found += ranges(path, now["head"], begin, now["at"], self.split, self.lossless)
-        return found
+            news.append((path, now["head"], was["at"] if was["head"] == now["head"] and was["at"] <= now["at"] else 0, now["at"]))
+        split = width(self.split, sum(stop - begin for *_, begin, stop in news))
+        return [part for new in news for part in ranges(*new, split, self.lossless)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         return read_range(self.root, partition)

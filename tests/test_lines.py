@@ -173,3 +173,14 @@ def test_commit_that_a_lost_driver_left_undone_is_finished(spark, log):
     (log / "_commits" / "0000000000.json").write_text(json.dumps({"files": ["j-1.jsonl"], "rows": 1}))
     artifacts.append_trace(rows_of(spark, [5]), str(log))
     assert sorted(r.record_id for r in artifacts.read_trace(spark, str(log)).collect()) == [0, 1]
+
+
+def test_many_ranges_become_wider(tmp_path):
+    """A long log has no more tasks for being read in narrow ranges, and the same lines."""
+    log = tmp_path / "log.jsonl"
+    log.write_text("".join(f"{k}\n" for k in range(20_000)))
+    reader, tail = lines.Reader({"path": str(log), "split_bytes": "50"}), lines.Tail({"path": str(log), "split_bytes": "50"})
+    for parts in (reader.partitions(), tail.partitions({}, tail.latestOffset())):
+        assert 64 < len(parts) <= lines.RANGES
+        assert [v for part in parts for batch in reader.read(part) for v in batch.column(3).to_pylist()] == [str(k) for k in range(20_000)]
+    assert len(lines.Reader({"path": str(log), "split_bytes": "5000"}).partitions()) > 20
