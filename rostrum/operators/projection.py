@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import unicodedata
 from array import array
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from itertools import pairwise
 from math import isqrt
 
 import numpy as np
@@ -31,59 +33,86 @@ class Edit:
 def edits(source: str, proposed: str, most: int | None = None) -> list[Edit] | None:
     """The shortest edit script as alternating equal and changed blocks; None if it takes over ``most`` insertions and deletions."""
     n, m = len(source), len(proposed)
-    if most is not None and apart(source, proposed) > most:
-        return None
-    lead = 0
-    while lead < min(n, m) and source[lead] == proposed[lead]:
-        lead += 1
-    tail = 0
-    while tail < min(n, m) - lead and source[n - 1 - tail] == proposed[m - 1 - tail]:
-        tail += 1
+    lead = _alike(source, 0, proposed, 0)
+    tail = _alike(source[lead:][::-1], 0, proposed[lead:][::-1], 0)
     old, new = source[lead : n - tail], proposed[lead : m - tail]
-    inner = _matches(old, new, most)
+    # a common beginning and end add nothing to what sets the texts apart
+    inner = None if most is not None and apart(old, new) > most else _runs(old, new, most)
     if inner is None:
         return None
-    matches = [(k, k) for k in range(lead)] + [(lead + i, lead + j) for i, j in inner] + [(n - tail + k, m - tail + k) for k in range(tail)]
     out: list[Edit] = []
     x = y = 0
-    k = 0
-    while k < len(matches):
-        i, j = matches[k]
+    for i, j, size in [(0, 0, lead), *((lead + i, lead + j, size) for i, j, size in inner), (n - tail, m - tail, tail)]:
         if i > x or j > y:
             out.append(Edit(False, x, i, y, j))
-        end = k
-        while end + 1 < len(matches) and matches[end + 1] == (matches[end][0] + 1, matches[end][1] + 1):
-            end += 1
-        x, y = matches[end][0] + 1, matches[end][1] + 1
-        out.append(Edit(True, i, x, j, y))
-        k = end + 1
-    if x < n or y < m:
-        out.append(Edit(False, x, n, y, m))
+        elif size and out:
+            i, j, size = out[-1].a, out[-1].c, size + out[-1].b - out[-1].a
+            out.pop()
+        if size:
+            out.append(Edit(True, i, i + size, j, j + size))
+        x, y = i + size, j + size
     return out
 
 
+def _alike(a: str, x: int, b: str, y: int) -> int:
+    """How many characters are the same from ``x`` and ``y`` on."""
+    most, done, size = min(len(a) - x, len(b) - y), 0, 8
+    while done < most and a[x + done : x + done + size] == b[y + done : y + done + size]:
+        done, size = done + size, 2 * size
+    if done >= most:
+        return max(most, 0)
+    # the first difference lies within the last stretch
+    size = min(size, most - done)
+    while size > 1:
+        half = size // 2
+        if a[x + done : x + done + half] == b[y + done : y + done + half]:
+            done, size = done + half, size - half
+        else:
+            size = half
+    return done + (a[x + done] == b[y + done])
+
+
 def apart(a: str, b: str) -> int:
     """Characters, with repeats, that one text has and the other hasn't: every edit script takes so many edits at least."""
     x, y = Counter(a), Counter(b)
     return (x - y).total() + (y - x).total()
 
 
-#: Edits up to which furthest-reaching paths are kept; beyond, rows of bits take less.
+#: Edits up to which furthest-reaching paths are kept at least; beyond, rows of bits take less, but in long texts.
 NEAR = 128
 
 
-def _matches(old: str, new: str, most: int | None = None) -> list[tuple[int, int]] | None:
-    """Matched positions of a longest common subsequence; None beyond ``most`` edits.
+def _runs(old: str, new: str, most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """A longest common subsequence as runs: place in ``old``, place in ``new``, length; None beyond ``most`` edits.
 
     Of several, both ways give the one that, followed from the end, skips a character of ``new`` where it can, else one of ``old``.
+    Paths take the square of the edits, rows of bits the product of the lengths.
     """
     n, m = len(old), len(new)
     edge = n + m if most is None else min(n + m, most)
-    found = _by_paths(old, new, min(edge, NEAR))
-    return found if found is not None or edge <= NEAR else _by_bits(old, new, edge)
+    near = max(NEAR, isqrt(n * (m // 4096 + 1)))
+    found = _path_runs(old, new, min(edge, near))
+    if found is not None or edge <= near:
+        return found
+    pairs = _by_bits(old, new, edge)
+    if pairs is None:
+        return None
+    out: list[tuple[int, int, int]] = []
+    for x, y in pairs:
+        if out and (x, y) == (out[-1][0] + out[-1][2], out[-1][1] + out[-1][2]):
+            out[-1] = (*out[-1][:2], out[-1][2] + 1)
+        else:
+            out.append((x, y, 1))
+    return out
 
 
 def _by_paths(old: str, new: str, edge: int) -> list[tuple[int, int]] | None:
+    """Matched positions by ``_path_runs``."""
+    runs = _path_runs(old, new, edge)
+    return None if runs is None else [(x + k, y + k) for x, y, size in runs for k in range(size)]
+
+
+def _path_runs(old: str, new: str, edge: int) -> list[tuple[int, int, int]] | None:
     """By the furthest-reaching paths of each distance up to ``edge``; their places are kept, 4 bytes each."""
     n, m = len(old), len(new)
     zero, history = edge + 1, []
@@ -94,8 +123,9 @@ def _by_paths(old: str, new: str, edge: int) -> list[tuple[int, int]] | None:
             spot = zero + k
             x = reach[spot + 1] if k == -d or (k != d and reach[spot - 1] < reach[spot + 1]) else reach[spot - 1] + 1
             y = x - k
-            while x < n and y < m and old[x] == new[y]:
-                x, y = x + 1, y + 1
+            if x < n and y < m and old[x] == new[y]:
+                size = _alike(old, x, new, y)
+                x, y = x + size, y + size
             reach[spot] = x
             if x >= n and y >= m:
                 return _unwound(history, n, m)
@@ -145,15 +175,16 @@ def _by_bits(old: str, new: str, edge: int) -> list[tuple[int, int]] | None:
     return out[::-1]
 
 
-def _unwound(history: list[array], x: int, y: int) -> list[tuple[int, int]]:
+def _unwound(history: list[array], x: int, y: int) -> list[tuple[int, int, int]]:
     out = []
     for d in range(len(history) - 1, -1, -1):
         reach, k = history[d], x - y
         below, above = reach[k + d], reach[k + d + 2]
         before, start = (k + 1, above) if k == -d or (k != d and below < above) else (k - 1, below)
-        while x > max(start, 0) and y > max(start - before, 0):
-            x, y = x - 1, y - 1
-            out.append((x, y))
+        size = min(x - max(start, 0), y - max(start - before, 0))
+        if size > 0:
+            x, y = x - size, y - size
+            out.append((x, y, size))
         if d:
             x, y = start, start - before
     return out[::-1]
@@ -188,17 +219,12 @@ def project(source: str, proposed: list[str]) -> Projection:
     changed = sum(max(e.b - e.a, e.d - e.c) for e in script if not e.equal)
     if changed * 100 >= MAX_CHANGED * compared:
         return Projection(None, changed, compared, "difference_too_large")
-    spots = [-1] * (len(joined) + 1)
-    for e in script:
-        width, size = e.d - e.c, e.b - e.a
-        for k in range(width + 1):
-            if spots[e.c + k] < 0:
-                spots[e.c + k] = e.a + (k * size + width // 2) // max(width, 1)
-    spots[0], spots[-1] = 0, len(source)
-    ranges, at = [], 0
-    for passage in proposed:
-        ranges.append((spots[at], spots[at + len(passage)]))
+    ends, places, at = [e.d for e in script], [0], 0
+    for passage in proposed[:-1]:
         at += len(passage)
+        e = script[bisect_left(ends, at)]  # where two stretches meet, the earlier
+        places.append(e.a + ((at - e.c) * (e.b - e.a) + (e.d - e.c) // 2) // max(e.d - e.c, 1))
+    ranges = list(pairwise([*places, len(source)]))
     if any(a == b for a, b in ranges):
         return Projection(None, changed, compared, "empty_projected_passage")
     if any(a > b for a, b in ranges):
@@ -214,9 +240,10 @@ def project_passages(windows: DataFrame) -> DataFrame:
             rows = []
             for window, source, proposed in batch.itertuples(index=False):
                 found = project(source or "", list(proposed if proposed is not None else []))
+                end = 0
                 for k, (a, b) in enumerate(found.ranges or []):
-                    start = len(source[:a].encode())
-                    rows.append((window, k, source[a:b], start, start + len(source[a:b].encode()), found.changed, found.compared, None))
+                    start, end = end, end + len(source[a:b].encode())
+                    rows.append((window, k, source[a:b], start, end, found.changed, found.compared, None))
                 if found.error:
                     rows.append((window, None, None, None, None, found.changed, found.compared, found.error))
             yield pd.DataFrame(rows, columns=["window_id", "passage_id", "text", "byte_start", "byte_end", "changed", "compared", "error"]).astype({"passage_id": "Int64", "byte_start": "Int64", "byte_end": "Int64"})

@@ -148,3 +148,14 @@ def test_playback_query_has_a_plain_twin(spark, name, monkeypatch):
     monkeypatch.setattr(projection, "_by_bits", lambda old, new, edge: table_matches(old, new) if len(old) + len(new) - 2 * len(table_matches(old, new)) <= edge else None)
     monkeypatch.setattr(projection, "timed_island", plain_island)
     assert sorted(map(tuple, QUERIES[name](spark, SMOKE).collect())) == want
+
+
+def test_long_texts_with_few_mistakes_take_little():
+    """A copy of 130,000 characters with a mistake in each hundred words: more edits than paths are kept for in short texts."""
+    rng = random.Random(6)
+    source = [words(rng, 9, "abcdefgh") + " " for _ in range(26_000)]
+    proposed = ["".join(source[k : k + 100]) + "x" for k in range(0, len(source), 100)]
+    begun = time.perf_counter()
+    found = projection.project("".join(source), proposed)
+    assert time.perf_counter() - begun < 0.5
+    assert found.changed == len(proposed) and ["".join(source)[a:b] + "x" for a, b in found.ranges[:3]] == proposed[:3]
