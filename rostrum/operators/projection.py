@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import unicodedata
 from array import array
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import pairwise
+from itertools import accumulate, groupby, pairwise
 from math import isqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -279,6 +281,8 @@ def islands(passages: DataFrame) -> DataFrame:
 
 
 def _solid(text: str) -> str:
+    if text.isascii() and text.isalnum():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
 
 
@@ -305,7 +309,8 @@ def carried(script: list[Edit], places: np.ndarray) -> np.ndarray:
 def timed_island(texts: list[str], coarse: list[tuple[int, int]], tokens: list[tuple[str, int, int]]) -> list[tuple[int, int]] | None:
     """Times of an island's passages from the tokens within it; None if any passage matches too little."""
     window = np.array(coarse, np.int64)
-    within = [(_solid(text), start, end) for text, start, end in tokens if start < window[:, 1].max() and end > window[:, 0].min()]
+    first, last = min(start for start, _ in coarse), max(end for _, end in coarse)
+    within = [(_solid(text), start, end) for text, start, end in tokens if start < last and end > first]
     within = [token for token in within if token[0]]
     parts = [_solid(text) for text in texts]
     if not within or not all(parts):
@@ -328,28 +333,58 @@ def timed_island(texts: list[str], coarse: list[tuple[int, int]], tokens: list[t
     return [(int(a), int(b)) for a, b in spans] if (spans[:, 0] < spans[:, 1]).all() else None
 
 
+#: Rows that a worker holds before it gives them away, but for those of one lecture.
+ROWS = 100_000
+
+
 def playback(passages: DataFrame, tokens: DataFrame) -> DataFrame:
-    """lecture_id, passage_id, start_ms, end_ms, basis. passages carry their coarse start_ms and end_ms, tokens are (lecture_id, pos, text, start_ms, end_ms)."""
-
-    def run(key, own: pd.DataFrame, heard: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("passage_id")
-        spoken = list(heard.sort_values("pos")[["text", "start_ms", "end_ms"]].itertuples(index=False, name=None))
-        spans = [[s, e, "segments"] for s, e in zip(own.start_ms, own.end_ms, strict=True)]
-        for _, group in own.reset_index(drop=True).groupby("island"):
-            coarse = list(zip(group.start_ms, group.end_ms, strict=True))
-            found = timed_island(group.text.tolist(), coarse, spoken)
-            for k, span in zip(group.index, found or [], strict=False):
+    """lecture_id, passage_id, start_ms, end_ms, basis. passages carry their coarse start_ms and end_ms, tokens are (lecture_id, pos, text, start_ms, end_ms).
+
+    Many lectures share a batch; within one an island meets only the tokens around it.
+    """
+
+    def one(own: list[dict], heard: list[dict]) -> list[list]:
+        spoken = [(t["text"], t["start_ms"], t["end_ms"]) for t in heard]
+        # tokens before ``begun`` have ended, and those from ``ended`` on begin later, so an island sees only those between
+        ends, starts = (list(accumulate((t[k] for t in side), keep)) for side, k, keep in ((spoken, 2, max), (spoken[::-1], 1, min)))
+        starts.reverse()
+        spans = [[p["start_ms"], p["end_ms"], "segments"] for p in own]
+        for _, group in groupby(range(len(own)), lambda k: own[k]["island"]):
+            at = list(group)
+            coarse = [(own[k]["start_ms"], own[k]["end_ms"]) for k in at]
+            if any(None in span for span in coarse):
+                continue
+            begun, ended = bisect_right(ends, min(s for s, _ in coarse)), bisect_left(starts, max(e for _, e in coarse))
+            found = timed_island([own[k]["text"] for k in at], coarse, spoken[begun:ended])
+            for k, span in zip(at, found or [], strict=False):
                 spans[k] = [*span, "timed_tokens"]
-        for left, right in zip(spans, spans[1:], strict=False):
+        for left, right in pairwise(spans):
             middle = _middle(left[1], right[0])
             if left[2] == right[2] == "timed_tokens" and left[0] < middle < right[1]:
                 left[1] = right[0] = middle
-        rows = [(own.lecture_id.iloc[k], own.passage_id.iloc[k], *spans[k]) for k in range(len(own))]
-        return pd.DataFrame(rows, columns=["lecture_id", "passage_id", "start_ms", "end_ms", "basis"])
+        return spans
 
     kind = passages.schema["lecture_id"].dataType.simpleString()
-    grouped = islands(passages).select("lecture_id", "passage_id", "island", "text", "start_ms", "end_ms").groupBy("lecture_id")
-    return grouped.cogroup(tokens.select("lecture_id", "pos", "text", "start_ms", "end_ms").groupBy("lecture_id")).applyInPandas(lambda k, a, b: run(k, a, b), f"lecture_id {kind}, passage_id long, start_ms long, end_ms long, basis string")
+    names = ["lecture_id", "passage_id", "start_ms", "end_ms", "basis"]
+    schema = f"lecture_id {kind}, passage_id long, start_ms long, end_ms long, basis string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [batch.schema.field("lecture_id").type, *[pa.int64()] * 3, pa.string()]
+            rows: list[tuple] = []
+            for k in range(batch.num_rows):
+                lecture, own, heard = (column[k].as_py() for column in batch.columns)
+                rows += [(lecture, p["passage_id"], *span) for p, span in zip(own, one(own, heard or []), strict=True)]
+                if len(rows) >= ROWS or k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(values, t) for values, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows = []
+
+    listed = lambda df, name, *columns: df.groupBy("lecture_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+    times = [F.col(c).cast("long").alias(c) for c in ("start_ms", "end_ms")]
+    grouped = listed(islands(passages), "own", "passage_id", "island", "text", *times)
+    heard = listed(tokens.filter("start_ms IS NOT NULL AND end_ms IS NOT NULL"), "heard", "pos", "text", *times).withColumnRenamed("lecture_id", "__lecture")
+    both = grouped.join(heard, F.col("lecture_id").eqNullSafe(F.col("__lecture")), "left")
+    return both.select("lecture_id", "own", "heard").mapInArrow(run, schema)
 
 
 def region_tokens(words: list[str], starts: np.ndarray, durations: np.ndarray, begin: int, stop: int, owned: tuple[int, int]) -> list[tuple[int, str, int, int]]:

@@ -159,3 +159,25 @@ def test_long_texts_with_few_mistakes_take_little():
     found = projection.project("".join(source), proposed)
     assert time.perf_counter() - begun < 0.5
     assert found.changed == len(proposed) and ["".join(source)[a:b] + "x" for a, b in found.ranges[:3]] == proposed[:3]
+
+
+def test_long_lectures_meet_only_near_tokens(spark, monkeypatch):
+    """An island gets the tokens around it, not the lecture's, with the results of the whole; lectures are no pandas group each."""
+    from pyspark.sql import functions as F
+
+    tokens = spark.range(1200).select((F.col("id") % 3).alias("lecture_id"), F.floor(F.col("id") / 3).alias("pos"))
+    tokens = tokens.withColumns({"text": F.concat(F.lit("word"), F.col("pos").cast("string")), "start_ms": F.col("pos") * 10, "end_ms": F.col("pos") * 10 + 9 + F.col("lecture_id") * 7})
+    own = tokens.groupBy("lecture_id", F.floor(F.col("pos") / 4).alias("passage_id")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text"))
+    own = own.withColumn("source_start", F.col("passage_id")).withColumn("source_end", F.col("passage_id"))
+    kernel, seen = projection.timed_island, spark.sparkContext.accumulator(0)
+
+    def counted(texts, coarse, spoken):
+        seen.add(len(spoken))
+        return kernel(texts, coarse, spoken)
+
+    monkeypatch.setattr(projection, "timed_island", counted)
+    found = projection.playback(own, tokens)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.lecture_id, r.passage_id): (r.start_ms, r.end_ms, r.basis) for r in found.collect()}
+    assert len(got) == 300 and got[0, 1] == (40, 80, "timed_tokens")
+    assert seen.value <= 300 * 8
