@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 def overlapping(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     """left (lecture_id, ..., s, e) with every row of right (lecture_id, ..., start_ms, end_ms) that overlaps it, half-open.
 
-    Both meet in buckets of time; a pair is kept in the bucket where its overlap begins, so it comes once.
+    Both meet in buckets of time; a pair is kept in the bucket where its overlap begins, so it comes once. Buckets are ``width``
+    wide, or as wide as a lecture's rows are long on average, so that rows come in few of them.
     """
-    spans = lambda s, e: F.explode(F.sequence(F.floor(s / width), F.floor((e - 1) / width)))
-    a = left.filter("e > s").withColumn("b", spans(F.col("s"), F.col("e")))
-    c = right.filter("end_ms > start_ms").withColumn("b", spans(F.col("start_ms"), F.col("end_ms")))
+    own, other = left.filter("e > s"), right.filter("end_ms > start_ms")
+    means = [df.groupBy("lecture_id").agg(F.avg(size).alias(name)) for df, size, name in ((own, F.col("e") - F.col("s"), "__m"), (other, F.col("end_ms") - F.col("start_ms"), "__n"))]
+    widths = means[0].join(means[1], "lecture_id").select("lecture_id", F.ceil(F.greatest(F.lit(float(width)), "__m", "__n")).alias("__w"))
+    spans = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / F.col("__w")), F.floor((F.col(e) - 1) / F.col("__w"))))
+    a = own.join(widths, "lecture_id").withColumn("b", spans("s", "e"))
+    c = other.join(widths, "lecture_id").withColumn("b", spans("start_ms", "end_ms")).drop("__w")
     met = a.join(c, ["lecture_id", "b"]).filter((F.col("end_ms") > F.col("s")) & (F.col("start_ms") < F.col("e")))
-    return met.filter(F.col("b") == F.floor(F.greatest("s", "start_ms") / width)).drop("b")
+    return met.filter(F.col("b") == F.floor(F.greatest("s", "start_ms") / F.col("__w"))).drop("b", "__w")
 
 
 def playing(heads: DataFrame, spans: DataFrame, width: int) -> DataFrame:

@@ -21,11 +21,12 @@ SEGMENTS = "seg AS (SELECT conv_id AS lecture_id, CAST(row_number() OVER (PARTIT
 
 def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events are timed tokens: each lasts until the next."""
-    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    # the window goes by the name that leaves, so that what is grouped by lecture later needs no other shuffle
+    own = Window.partitionBy("lecture_id").orderBy("ts", "event_id")
     ms = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value", ms)
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("lecture_id"), "ts", "event_type", "value", ms)
     at = F.floor(F.col("us") / 1000)
-    return rows.select(F.col("user_id").alias("lecture_id"), (F.row_number().over(own) - 1).cast("long").alias("pos"), "event_id", "event_type", "value", at.alias("start_ms"), F.coalesce(F.lead(at).over(own), at + 1000).alias("end_ms"))
+    return rows.select("lecture_id", (F.row_number().over(own) - 1).cast("long").alias("pos"), "event_id", "event_type", "value", at.alias("start_ms"), F.coalesce(F.lead(at).over(own), at + 1000).alias("end_ms"))
 
 
 TIMED = """tok AS (SELECT user_id AS lecture_id, CAST(row_number() OVER w - 1 AS BIGINT) AS pos, event_id, event_type, value, epoch_us(ts) // 1000 AS start_ms,

@@ -185,3 +185,13 @@ def test_no_row_for_a_pair(spark, monkeypatch, name):
     monkeypatch.setattr(retrieval, "second_mode", None)
     monkeypatch.setattr(retrieval.R, "dense", None)
     assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_long_intervals_come_in_few_buckets(spark):
+    """Rows that last far longer than a bucket is wide meet without a row for each of its buckets."""
+    from rostrum.operators import intervals as I
+
+    left = spark.createDataFrame([(1, g, g * 10**10, (g + 1) * 10**10) for g in range(5)] + [(2, 0, 5, 9)], "lecture_id long, grp long, s long, e long")
+    right = spark.createDataFrame([(1, p, p * 3 * 10**9, (p + 1) * 3 * 10**9) for p in range(20)] + [(2, 0, 0, 5), (2, 1, 8, 12), (3, 0, 5, 9)], "lecture_id long, pos long, start_ms long, end_ms long")
+    want = sorted((a, g, p) for a, g, s, e in left.collect() for b, p, x, y in right.collect() if a == b and y > s and x < e)
+    assert sorted(map(tuple, I.overlapping(left, right, 2).select("lecture_id", "grp", "pos").collect())) == want
