@@ -69,9 +69,9 @@ def admission(records: DataFrame, start: int = 2, largest: int = 8, limits: tupl
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         gate, begun = A.unpacked(state.get) if state.exists else (A.Gate(start), {})
-        gate, out = A.replayed(gate, begun, pd.concat(list(batches)), largest, limits)
+        for gate, out in A.replayed_in_parts(gate, begun, batches, largest, limits, key[0]):
+            yield out
         state.update(A.packed(gate, begun))
-        yield out
 
     kind = f"{A.STATE}, open array<bigint>, begun array<bigint>"
     return A.admission_rows(records).groupBy("workflow").applyInPandasWithState(step, A.CAPS, kind, "append", GroupStateTimeout.NoTimeout)

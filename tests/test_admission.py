@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -125,3 +126,22 @@ def test_last_fifty_response_times(spark):
     got = {r.workflow: r for r in A.response_times(log(spark, rows), "workflow").collect()}
     assert got["w"].latencies == list(range(10, 60)) and (got["w"].hedges, got["w"].next_exchange) == (1, 71)
     assert got["v"].latencies is None and (got["v"].hedges, got["v"].next_exchange) == (0, 4)
+
+
+def test_replay_holds_columns_of_numbers(spark):
+    """Batches of a long workflow are not kept as frames, results leave in parts, and both are those of one frame."""
+    import tracemalloc
+
+    def batches():
+        for k in range(60):
+            i = np.arange(k * 2000, (k + 1) * 2000)[::-1]
+            yield pd.DataFrame({"workflow": "w" * 5, "record_id": i, "at_ms": 300 * i, "event": np.where(i % 3 == 0, "request", np.where(i % 7 == 1, "failure", "completion")), "category": np.where(i % 14 == 1, "rate_limited", None), "exchange_id": np.where(i % 11 == 0, np.nan, i // 5), "latency_ms": np.where(i % 5 == 0, np.nan, i % 900), "retry_after_ms": np.nan, "waited": "both"})
+
+    whole = A.replayed(A.Gate(2), {}, pd.concat(list(batches())), 8, ("rate_limited",))[1]
+    parts = [out for _, out in A.replayed_in_parts(A.Gate(2), {}, batches(), 8, ("rate_limited",), "wwwww")]
+    assert len(parts) > 1 and pd.concat(parts).values.tolist() == whole.values.tolist()
+    tracemalloc.start()
+    next(A.in_order(batches(), ("rate_limited",)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 * 120_000
