@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from urllib.parse import quote_plus
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -21,24 +23,37 @@ SUSPICIOUS = "[□�]"
 WORD_JOINER = "⁠"
 
 
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+#: Texts of a batch that are Python's at a time.
+TEXTS = 64
 
 
-def _comparable(s: pd.Series) -> pd.Series:
-    keep = "+-*/=<>&|#_%"
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKC", x).lower() if c.isalnum() or c in keep))
+def _each(one: Callable[[str], str]) -> Callable[[pa.Array], pa.Array]:
+    """A kernel over batches of texts: a few at a time leave Arrow's buffers, so a worker doesn't hold a batch's texts as strings beside them."""
 
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array([None if x is None else one(x) for x in texts.slice(k, TEXTS).to_pylist()], pa.string()) for k in range(0, len(texts), TEXTS)]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
 
-def _alphanumeric(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKC", x).lower() if c.isalnum()))
+    return run
 
 
-nfkc = F.pandas_udf(_nfkc, StringType())
+def _nfkc(text: str) -> str:
+    return unicodedata.normalize("NFKC", text)
+
+
+def comparable_text(text: str) -> str:
+    return "".join([c for c in _nfkc(text).lower() if c.isalnum() or c in "+-*/=<>&|#_%"])
+
+
+def alphanumeric_text(text: str) -> str:
+    return "".join(filter(str.isalnum, _nfkc(text).lower()))
+
+
+nfkc = F.arrow_udf(_each(_nfkc), StringType())
 #: Text for fuzzy comparison: NFKC, lower case, letters, digits and mathematical symbols.
-comparable = F.pandas_udf(_comparable, StringType())
+comparable = F.arrow_udf(_each(comparable_text), StringType())
 #: Text for matching speech: NFKC, lower case, letters and digits.
-alphanumeric = F.pandas_udf(_alphanumeric, StringType())
+alphanumeric = F.arrow_udf(_each(alphanumeric_text), StringType())
 
 
 def trimmed(text: Column) -> Column:

@@ -39,3 +39,19 @@ def test_whole_files_are_hashed(spark, tmp_path):
         (tmp_path / name).write_bytes(body)
     got = {r.path.rpartition("/")[2]: (r.text, r.sha256) for r in artifacts.hashed_files(spark, str(tmp_path)).collect()}
     assert got == {k: (b.decode(), hashlib.sha256(b).hexdigest()) for k, b in bodies.items() if b}
+
+
+def test_texts_of_a_batch_are_not_all_held():
+    """A kernel over a batch makes strings of a few texts at a time."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array(["Ａé b" * 2_500, None] * 1_000)
+    for udf in (text.comparable, text.alphanumeric, text.nfkc):
+        tracemalloc.start()
+        found = udf.func(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8e6 and len(found) == 2_000 and found.null_count == 1_000
+    assert text.comparable.func(texts)[0].as_py() == "aéb" * 2_500
