@@ -28,6 +28,14 @@ def test_decisions_beyond_a_million(same):
     same("decision_errors", orders="SELECT k AS o_orderkey, k % 15 AS o_custkey, (k * 7919) % 1000 / 1.0 AS o_totalprice FROM (SELECT unnest(range(1200)) + base AS k FROM (VALUES (0), (4000000), (8000000)) v(base))")
 
 
+def test_choices_beyond_a_million_are_checked(spark, tmp_path):
+    """Comparison 1,000,022 and others have a choice that was no candidate, which is told."""
+    path = f"{tmp_path}/orders.parquet"
+    duckdb.connect().execute(f"COPY (SELECT range AS o_orderkey, range % 15 AS o_custkey, range * 1.0 AS o_totalprice FROM range(4000000, 4000400)) TO '{path}'").fetchall()
+    found = QUERIES["decision_errors"](spark, str(tmp_path)).filter("error = 'not_a_candidate'")
+    assert [r.comparison_id for r in found.orderBy("comparison_id").collect()] == [k for k in range(1_000_000, 1_000_100) if k % 60 == 2 and k % 70 != 1] != []
+
+
 def test_steps_of_float_differences(same):
     """0.03 as a float lies below 0.03; a float product gives 3 steps, a double's 2."""
     same("competition_ranks", embeddings="SELECT range AS vec_id, [CAST(range / 100.0 AS FLOAT), 1::FLOAT] AS embedding, 1 AS label FROM range(8)")
