@@ -20,17 +20,20 @@ longest is taken, and so on.
 
 from __future__ import annotations
 
+import itertools
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 #: Words of a dictionary at most, characters of a word, and how often a word must occur.
 MAX_WORDS, MAX_LENGTH, MIN_COUNT = 50_000, 16, 2
@@ -97,6 +100,22 @@ class Trie:
                 waiting.append((start + code, depth + 1, first, last))
         return cls(codes, np.array(base, np.int32), np.array(owner, np.int32), np.array(weight))
 
+    def words(self) -> dict[int, str]:
+        """The words by their last nodes."""
+        letters, spelled = {code: c for c, code in self.codes.items()}, {0: ""}
+        base, owner = self.base.tolist(), self.owner.tolist()
+
+        def spell(node: int) -> str:
+            path = []
+            while node not in spelled:
+                path.append(node)
+                node = owner[node]
+            for child in reversed(path):
+                spelled[child] = spelled[owner[child]] + letters[child - base[owner[child]]]
+            return spelled[path[0]] if path else spelled[node]
+
+        return {node: spell(node) for node in np.flatnonzero(~np.isnan(self.weight)).tolist()}
+
     def lists(self) -> Walker:
         return Walker(self.codes, self.base.tolist(), self.owner.tolist(), self.weight.tolist())
 
@@ -180,47 +199,67 @@ def best_path(walker: Walker, run: str, unknown: float) -> list[str]:
     return out
 
 
-def best_paths(trie: Trie, runs: list[str], unknown: float) -> list[list[str]]:
-    """``best_path`` of many runs at once: all walk down the trie together, then all go from their ends to their starts together."""
-    text = "\0".join(runs) + "\0"
-    known = np.zeros(max(map(ord, [*text, *trie.codes])) + 1, np.int32)
-    known[[ord(c) for c in trie.codes]] = list(trie.codes.values())
-    codes = known[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    sizes = np.array([len(run) for run in runs])
-    ends = np.cumsum(sizes + 1) - 1
-    codes[ends] = 0
-    levels: list[np.ndarray] = []
-    at, node = np.arange(len(codes)), np.zeros(len(codes), np.int32)
-    while len(at):
-        code = codes[at + len(levels)]
-        child = trie.base[node] + code
-        child[child >= len(trie.owner)] = 0
-        met = (code > 0) & (child > 0) & (trie.owner[child] == node)
-        at, node = at[met], child[met]
-        level = np.full(len(codes), -np.inf)
-        weight = trie.weight[node]
-        ended = ~np.isnan(weight)
-        level[at[ended]] = weight[ended]
-        levels.append(level)
-    edges = np.stack(levels, 1)
-    edges[:, 0] = np.where(np.isneginf(edges[:, 0]), unknown, edges[:, 0])
-    reach = np.arange(1, len(levels) + 1)
-    best, step = np.zeros(len(codes) + len(levels)), np.zeros(len(codes), np.int32)
-    order = np.argsort(-sizes, kind="stable")
-    falling, last = -sizes[order], ends[order]
-    for back in range(1, int(sizes.max(initial=0)) + 1):
-        place = last[: np.searchsorted(falling, -back, "right")] - back
-        found = edges[place] + best[place[:, None] + reach]
-        longest = len(levels) - 1 - np.argmax(found[:, ::-1], 1)
-        best[place], step[place] = found[np.arange(len(place)), longest], longest + 1
-    steps, out, start = step.tolist(), [], 0
-    for size in sizes.tolist():
-        words, end = [], start + size
-        while start < end:
-            words.append(text[start : start + steps[start]])
-            start += steps[start]
-        out.append(words)
-        start = end + 1
+#: Cells of a block of the word graph, and characters of a column at least.
+CELLS, COLUMN = 32_768, 1_000
+
+
+def best_steps(trie: Trie, codes: np.ndarray, ends: np.ndarray, unknown: float) -> tuple[np.ndarray, np.ndarray]:
+    """``best_path`` of many runs at once: of every place, how long the word is that begins there on its best path, and the word's node.
+
+    ``codes`` are the trie's codes of runs with one place behind each, which ``ends`` lists. Runs are put one below the
+    other in columns, all columns are walked from their ends to their starts together, and a block of rows has
+    its words found and its best paths added up at a time, so that memory beside a few bytes a place is bounded.
+    """
+    tops, limit, top = [], max(int(np.diff(ends, prepend=-1).max()), COLUMN), 0
+    while top < len(codes):
+        tops.append(top)
+        top = int(ends[np.searchsorted(ends, top + limit, "left") - 1]) + 1
+    tops.append(len(codes))
+    wide, high = len(tops) - 1, int(np.diff(tops).max())
+    table, over = np.zeros((high + 1, wide), np.int32), np.ones((high, wide), bool)
+    inside = np.ones(len(codes), bool)
+    inside[ends] = False
+    for k, (low, up) in enumerate(itertools.pairwise(tops)):
+        table[: up - low, k], over[: up - low, k] = codes[low:up], ~inside[low:up]
+    flat = table.ravel()
+    more = np.zeros(max(trie.codes.values(), default=0) + 1, np.int32)
+    base, owner = np.concatenate([trie.base, more]), np.concatenate([trie.owner, more - 1])
+    weight = np.where(np.isnan(trie.weight), -np.inf, trie.weight)
+    best = np.zeros((high + 1, wide))
+    steps, nodes = np.ones((high, wide), np.int32), np.zeros((high, wide), np.int32)
+    rows = max(CELLS // wide, 1)
+    for low in reversed(range(0, high, rows)):
+        up, first = min(low + rows, high), low * wide
+        at, levels = np.flatnonzero(flat[first : up * wide]), []
+        node = np.zeros(len(at), np.int32)
+        while len(at):
+            child = base.take(node) + flat.take(at + (first + len(levels) * wide))
+            met = np.flatnonzero(owner.take(child) == node)
+            at, node = at.take(met), child.take(met)
+            some = weight.take(node)
+            ended = np.flatnonzero(some > -np.inf)
+            levels.append((at.take(ended), node.take(ended), some.take(ended)))
+        size = max(len(levels), 1)
+        if len(best) < high + 1 + size:
+            best = np.concatenate([best, np.zeros((high + 1 + size - len(best), wide))])
+        edges = np.full((size, up - low, wide), -np.inf)
+        edges[0] = unknown
+        for k, (at, _, some) in enumerate(levels):
+            edges[k].reshape(-1)[at] = some
+        sums = np.empty((size, wide))
+        for row in range(up - 1, low - 1, -1):
+            np.add(edges[:, row - low], best[row + 1 : row + 1 + size], out=sums)
+            np.maximum.reduce(sums, 0, None, best[row])
+            np.copyto(best[row], 0.0, where=over[row])
+        for k, (at, node, some) in enumerate(levels[1:], 1):
+            places = at + first
+            met = np.flatnonzero(some + best.reshape(-1).take(places + (k + 1) * wide) == best.reshape(-1).take(places))
+            steps.reshape(-1)[places.take(met)] = k + 1
+            nodes.reshape(-1)[places.take(met)] = node.take(met)
+    steps[over] = 1
+    out = np.empty(len(codes), np.int32), np.empty(len(codes), np.int32)
+    for k, (low, up) in enumerate(itertools.pairwise(tops)):
+        out[0][low:up], out[1][low:up] = steps[: up - low, k], nodes[: up - low, k]
     return out
 
 
@@ -321,60 +360,219 @@ def terms_of(text: str, model: Model, walker: Walker, unspaced: str = UNSPACED)
     return [term.lower() for term in out if any(c.isalnum() for c in term)]
 
 
-#: Characters of texts that are cut together, and words whose terms a worker remembers.
-TOGETHER, REMEMBERED = 200_000, 200_000
+#: Characters of texts that are cut together, and stretches whose terms a worker remembers.
+TOGETHER, REMEMBERED = 1_000_000, 200_000
+#: What a character is to a run: of those that are segmented, of a whole word, or a mark that goes on with one; NEW was not looked up yet.
+INNER, WORD, MARK, NEW = 1, 2, 4, 255
 
 
 class Cutter:
-    """``terms_of`` for many texts at once, with the terms of words that were met remembered."""
+    """``terms_of`` for many texts at once. Terms are numbers until they are shown; those of the dictionary's words are known beforehand."""
 
     def __init__(self, model: Model, unspaced: str = UNSPACED):
         import regex
 
-        self.model, self.walker, self.known = model, model.trie.lists(), {}
-        self.runs = regex.compile(rf"([{unspaced}]+)|[^{unspaced}\W_]+(?:\p{{M}}+[^{unspaced}\W_]*)*")
+        self.model, self.known = model, {}
+        self.inner, self.word, self.mark = regex.compile(rf"[{unspaced}]"), regex.compile(rf"[^{unspaced}\W_]"), regex.compile(r"\p{M}")
+        self.runs = regex.compile(rf"[^{unspaced}\W_]+(?:\p{{M}}+[^{unspaced}\W_]*)*")
+        self.ascii = any(self.inner.match(chr(k)) for k in range(128))
+        self.plain = "".join(chr(k).lower() if self.word.match(chr(k)) else " " for k in range(128))
+        found = model.trie.words()
+        self.words = dict.fromkeys(found.values())
+        self.place = np.zeros(len(model.trie.base), np.int32)
+        self.place[list(found)] = np.arange(len(found))
+        self.names: dict[str, int] = {}
+        of = [self.numbered(self.terms_of_words([word]), self.names) for word in found.values()]
+        self.parts = np.array([k for own in of for k in own], np.int32)
+        self.counts = np.array([len(own) for own in of], np.int64)
+        self.kinds = self.codes = None
+
+    def holds(self, word: str) -> bool:
+        return word in self.words
+
+    def terms_of_words(self, words: list[str]) -> list[str]:
+        return [term.lower() for term in for_search(self, words) if any(c.isalnum() for c in term)]
 
-    def of_word(self, word: str) -> list[str]:
-        found = self.known.get(word)
+    @staticmethod
+    def numbered(terms: list[str], names: dict[str, int]) -> list[int]:
+        return [names.setdefault(term, len(names)) for term in terms]
+
+    def of_stretch(self, stretch: str) -> list[str]:
+        """The terms of characters that the best path left single."""
+        found = self.known.get(stretch)
         if found is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            found = self.known[word] = [term.lower() for term in for_search(self.walker, [word]) if any(c.isalnum() for c in term)]
+            found = self.known[stretch] = self.terms_of_words(with_states(self.model, self, list(stretch)))
         return found
 
-    def together(self, texts: list[str]) -> list[list[str]]:
-        """Terms of each text; null has none here."""
-        found = [[(m.group(), m.group(1) is not None) for m in self.runs.finditer(unicodedata.normalize("NFKC", text or ""))] for text in texts]
-        paths = iter(best_paths(self.model.trie, runs, self.model.unknown) if (runs := [run for own in found for run, inner in own if inner]) else [])
-        out = []
-        for own in found:
-            terms = []
-            for run, inner in own:
-                if inner:
-                    for word in with_states(self.model, self.walker, next(paths)):
-                        terms += self.of_word(word)
-                elif any(c.isalnum() for c in run):
-                    terms.append(run.lower())
-            out.append(terms)
-        return out
+    def classes(self, points: np.ndarray) -> np.ndarray:
+        """INNER or WORD for the characters of runs, else 0: what ``terms_of`` finds by its expression."""
+        if self.kinds is None:
+            self.kinds, self.codes = np.full(0x110000, NEW, np.uint8), np.zeros(0x110000, np.int32)
+            self.codes[[ord(c) for c in self.model.trie.codes]] = list(self.model.trie.codes.values())
+        kinds = self.kinds.take(points)
+        if (kinds == NEW).any():
+            for point in np.unique(points[kinds == NEW]).tolist():
+                c = chr(point)
+                kind = INNER if self.inner.match(c) else WORD if self.word.match(c) else 0
+                self.kinds[point] = kind | (MARK if kind != WORD and self.mark.match(c) else 0)
+            kinds = self.kinds.take(points)
+        if (kinds & MARK).any():
+            # a mark goes on with a word that reaches it
+            strong = np.maximum.accumulate(np.where(kinds & MARK, 0, np.arange(len(kinds))))
+            kinds = np.where(kinds & MARK, np.where(kinds.take(strong) == WORD, WORD, kinds & INNER), kinds)
+        return kinds
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[str, int]]:
+        """Of each term the text's place and the term's number, in order, and the numbers of terms that are not the dictionary's."""
+        normal = [unicodedata.normalize("NFKC", text) for text in texts]
+        text = "\0".join(["", *normal, ""])
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = self.classes(points)
+        edges = np.flatnonzero(kinds[1:] != kinds[:-1]) + 1
+        begun = kinds.take(edges)
+        spans = [(edges[k], edges[k + 1]) for k in np.flatnonzero(begun == WORD).tolist()]
+        own, units, firsts = {}, [], [np.array([low for low, _ in spans], np.int64)]
+        more: list[list[str]] = []
+
+        def unit(key: tuple, terms: Callable[[], list[str]]) -> int:
+            found = own.get(key)
+            if found is None:
+                found = own[key] = len(self.counts) + len(more)
+                more.append(terms())
+            return found
+
+        for low, up in spans:
+            run = text[low:up]
+            units.append(unit((WORD, run), lambda: [run.lower()] if any(c.isalnum() for c in run) else []))  # noqa: B023
+        units = [np.array(units, np.int64)]
+        if (begun == INNER).any():
+            inner = kinds == INNER
+            kept = inner.copy()
+            kept[1:] |= inner[:-1]
+            places = np.flatnonzero(kept)
+            ends = np.flatnonzero(~inner.take(places))
+            codes = self.codes.take(points.take(places))
+            codes[ends] = 0
+            steps, nodes = best_steps(self.model.trie, codes, ends, self.model.unknown)
+            starts, at, step = [], 0, steps.tolist()
+            while at < len(step):
+                starts.append(at)
+                at += step[at]
+            starts = np.array(starts)
+            long = steps.take(starts) > 1
+            firsts.append(places.take(starts[long]))
+            units.append(self.place.take(nodes.take(starts[long])).astype(np.int64))
+            # stretches of single characters
+            loose = places.take(starts[~long])
+            loose = loose[inner.take(loose)]
+            if len(loose):
+                cuts = np.flatnonzero(np.diff(loose) != 1) + 1
+                lows, ups = loose[np.concatenate([[0], cuts])], loose[np.concatenate([cuts - 1, [len(loose) - 1]])] + 1
+                firsts.append(lows)
+                units.append(np.array([unit((INNER, c), lambda: self.of_stretch(c)) for c in (text[low:up] for low, up in zip(lows.tolist(), ups.tolist(), strict=True))], np.int64))  # noqa: B023
+        firsts, units = np.concatenate(firsts), np.concatenate(units)
+        order = np.argsort(firsts, kind="stable")
+        firsts, units = firsts.take(order), units.take(order)
+        names: dict[str, int] = {}
+        extra = []
+        for terms in more:
+            extra.append([self.names[t] if t in self.names else len(self.names) + names.setdefault(t, len(names)) for t in terms])
+        counts = np.concatenate([self.counts, np.array([len(x) for x in extra], np.int64)])
+        parts = np.concatenate([self.parts, np.array([k for x in extra for k in x], np.int32)])
+        size = counts.take(units)
+        start = (np.cumsum(counts) - counts).take(units)
+        total = np.cumsum(size)
+        terms = parts.take(np.arange(total[-1] if len(total) else 0) + np.repeat(start - (total - size), size))
+        tops = np.cumsum([len(x) + 1 for x in normal])
+        docs = np.repeat(np.searchsorted(tops, firsts, "right"), size)
+        return docs, terms, names
+
+    def tally(self, texts: list[str | None]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Of each different term of a text the text's place, the term, and how often it occurs."""
+        plain, sizes, named, counts, runs = [], [], [], [], []
+        for k, text in enumerate(texts):
+            normal = unicodedata.normalize("NFKC", text or "")
+            if self.ascii or not normal.isascii() and self.inner.search(normal):
+                runs.append(k)
+                continue
+            own: dict[str, int] = {}
+            if normal.isascii():
+                own = Counter(normal.translate(self.plain).split())
+            else:
+                for run, n in Counter(self.runs.findall(normal)).items():
+                    if run.isalnum() or any(c.isalnum() for c in run):
+                        term = run.lower()
+                        own[term] = own.get(term, 0) + n
+            plain.append(k)
+            sizes.append(len(own))
+            named += own.keys()
+            counts += own.values()
+        docs, shown, tf = np.repeat(np.array(plain, np.int64), sizes), pa.array(named, pa.string()), np.array(counts, np.int64)
+        if runs:
+            own, terms, more = self.tokens([texts[k] or "" for k in runs])
+            names = [*self.names, *more]
+            keys, n = counted(own * len(names) + terms)
+            shown = pa.concat_arrays([shown, pa.array(names, pa.string()).take(pa.array(keys % max(len(names), 1)))])
+            docs, tf = np.concatenate([docs, np.array(runs, np.int64).take(keys // max(len(names), 1))]), np.concatenate([tf, n])
+        return docs, shown, tf
 
     def terms(self, texts: list[str | None]) -> list[list[str] | None]:
-        out, some, size = [], [], 0
-        for k, text in enumerate(texts):
-            some.append(text)
-            size += len(text or "")
-            if size >= TOGETHER or k == len(texts) - 1:
-                out += self.together(some)
-                some, size = [], 0
-        return [None if text is None else own for text, own in zip(texts, out, strict=True)]
+        """Terms of each text; null gives null."""
+        out: list[list[str] | None] = []
+        for some in portions([len(text or "") for text in texts]):
+            held = texts[some]
+            docs, terms, more = self.tokens([text or "" for text in held])
+            names = [*self.names, *more]
+            named = [names[k] for k in terms.tolist()]
+            cuts = np.searchsorted(docs, np.arange(len(held) + 1)).tolist()
+            out += [None if text is None else named[low:up] for text, (low, up) in zip(held, itertools.pairwise(cuts), strict=True)]
+        return out
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different numbers in order, and how often each occurs."""
+    keys = np.sort(keys)
+    firsts = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys.take(firsts), np.diff(firsts, append=len(keys))
+
+
+def portions(sizes: list[int]) -> Iterator[slice]:
+    """Rows whose texts are cut together: TOGETHER characters or a few more, a longer text with them."""
+    start, size = 0, 0
+    for k, own in enumerate(sizes, 1):
+        size += own
+        if size >= TOGETHER or k == len(sizes):
+            yield slice(start, k)
+            start, size = k, 0
 
 
 def analyzer(model: Model, unspaced: str = UNSPACED) -> Callable[[Column | str], Column]:
     """A function from a text column to its terms, for retrieval's ``slide_terms`` and ``query_terms``."""
-    held: list[Cutter] = []
+    cutter = Cutter(model, unspaced)
 
     def terms(texts: pd.Series) -> pd.Series:
-        held[:] = held or [Cutter(model, unspaced)]
-        return pd.Series(held[0].terms(texts.tolist()), dtype=object)
+        return pd.Series(cutter.terms(texts.tolist()), dtype=object)
 
     return F.pandas_udf(terms, ArrayType(StringType()))
+
+
+def text_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Ids and texts of batches (id, text) for as many rows as are cut together; the others stay in Arrow's buffers."""
+    for batch in batches:
+        for some in portions(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()):
+            part = batch.slice(some.start, some.stop - some.start)
+            yield part.column(0), part.column(1).to_pylist()
+
+
+def term_counts(texts: DataFrame, model: Model, unspaced: str = UNSPACED) -> DataFrame:
+    """Of texts (id, text) id, term and tf, row by row: an analyzer's terms, which never leave the worker one by one."""
+    cutter, key = Cutter(model, unspaced), texts.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, held in text_parts(batches):
+            docs, terms, tf = cutter.tally(held)
+            yield pa.record_batch([ids.take(pa.array(docs)), terms, pa.array(tf)], names=[key, "term", "tf"])
+
+    return texts.mapInArrow(run, StructType([texts.schema[key], StructField("term", StringType()), StructField("tf", LongType())]))

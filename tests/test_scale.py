@@ -203,3 +203,53 @@ def test_long_intervals_come_in_few_buckets(spark):
     right = spark.createDataFrame([(1, p, p * 3 * 10**9, (p + 1) * 3 * 10**9) for p in range(20)] + [(2, 0, 0, 5), (2, 1, 8, 12), (3, 0, 5, 9)], "lecture_id long, pos long, start_ms long, end_ms long")
     want = sorted((a, g, p) for a, g, s, e in left.collect() for b, p, x, y in right.collect() if a == b and y > s and x < e)
     assert sorted(map(tuple, I.overlapping(left, right, 2).select("lecture_id", "grp", "pos").collect())) == want
+
+
+#: Marks after letters, digits and scripts, letters of two cases, and characters that change when they are normalised.
+ODD = ["", None, "ab1\u0e31\u0e31กั1ก\u0e31ab", "\u0301a\u0301\u0302b 1\u0301\u03012", "ΑΣ.Α ΑΣ ας İstanbul", "ＡＢ ﬁ ²x _a_b_", "木水a木\u0301木", "Ab aB AB ab", "\0a\0", "ก" * 40 + "木ab" * 30]
+
+
+def cutters(seed=7):
+    import random
+
+    from rostrum.functions import segmentation as S
+
+    draw = random.Random(seed)
+    return S.model_of({"".join(draw.choices("abก木\u0e31", k=draw.randint(1, 6))): draw.randint(2, 9) for _ in range(80)}), draw
+
+
+def test_blocks_of_the_word_graph_do_not_show(monkeypatch):
+    """Columns and blocks of any size, with marks that go on with words, give the terms of one text alone."""
+    from rostrum.functions import segmentation as S
+
+    model, draw = cutters()
+    texts = [*ODD, *("".join(draw.choices("abก木\u0e31\u0301cX1. ", k=draw.randint(0, 200))) for _ in range(60))]
+    walker = model.trie.lists()
+    for cells, column, together in ((1, 1, 1), (7, 3, 50), (64, 1000, 10**6)):
+        monkeypatch.setattr(S, "CELLS", cells)
+        monkeypatch.setattr(S, "COLUMN", column)
+        monkeypatch.setattr(S, "TOGETHER", together)
+        for unspaced in (r"\p{L}", S.UNSPACED):
+            assert S.Cutter(model, unspaced).terms(texts) == [None if t is None else S.terms_of(t, model, walker, unspaced) for t in texts]
+
+
+@pytest.mark.parametrize("often", [1, 1000])
+def test_terms_are_counted_where_they_are_cut(spark, monkeypatch, often):
+    """Counts of rows, of which only those with a shared id are added up; equal to counts of the analyzer's terms, missing ids and texts among them."""
+    from rostrum.functions import segmentation as S
+    from rostrum.operators import retrieval as R
+
+    monkeypatch.setattr(R, "REPEATED", often)
+    model, _ = cutters()
+    rows = [*enumerate(ODD), (3, "Ab 1 木"), (3, "ab"), (None, "ab ab"), (None, "ab 木"), (4, None)]
+    docs = spark.createDataFrame(rows, "slide_id long, text string").repartition(3)
+    for unspaced in (r"\p{L}", S.UNSPACED):
+        found = R.index_of_counts(docs, lambda some, own=unspaced: S.term_counts(some, model, own))
+        want = R.inverted_index(docs, S.analyzer(model, unspaced)("text"))
+        assert found.schema.names == want.schema.names and sorted(map(str, found.collect())) == sorted(map(str, want.collect())) != []
+
+
+@pytest.mark.parametrize("name", ["segmented_terms"])
+def test_terms_do_not_leave_workers_one_by_one(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Aggregate" not in plan
