@@ -249,7 +249,16 @@ def test_terms_are_counted_where_they_are_cut(spark, monkeypatch, often):
         assert found.schema.names == want.schema.names and sorted(map(str, found.collect())) == sorted(map(str, want.collect())) != []
 
 
-@pytest.mark.parametrize("name", ["segmented_terms"])
+@pytest.mark.parametrize("name", ["segmented_terms", "analyzed_terms"])
 def test_terms_do_not_leave_workers_one_by_one(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_texts_below_the_scripts_are_not_searched_for_them(spark):
+    from rostrum.functions import segmentation as S
+
+    assert S.least(S.UNSPACED) == 0xE00 and S.least(r"\p{L}") == 0
+    df = spark.createDataFrame([("ab ab é – ” ab",), ("กก ab กก",), (None,)], "text string")
+    assert S.cohesive_words(df) == {"ก": 4}
+    assert S.cohesive_words(df, unspaced="a") == {"a": 4}
