@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from rostrum.session import checkpointed
 
@@ -589,3 +589,23 @@ def term_counts(texts: DataFrame, model: Model, unspaced: str = UNSPACED) -> Dat
             yield pa.record_batch([ids.take(pa.array(docs)), terms, pa.array(tf)], names=[key, "term", "tf"])
 
     return texts.mapInArrow(run, StructType([texts.schema[key], StructField("term", StringType()), StructField("tf", LongType())]))
+
+
+def wanted_counts(texts: DataFrame, wanted: dict[str, int], model: Model, unspaced: str = UNSPACED) -> DataFrame:
+    """Of texts (id, text) what ``retrieval.counted`` gives for an analyzer's terms: how many there are, and numbers and counts of wanted ones."""
+    cutter, key = Cutter(model, unspaced), texts.columns[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.array([wanted.get(term, -1) for term in cutter.names], np.int64)
+        for ids, held in text_parts(batches):
+            docs, terms, more = cutter.tokens([text or "" for text in held])
+            found = np.concatenate([own, np.array([wanted.get(term, -1) for term in more], np.int64)]).take(terms)
+            met = np.flatnonzero(found >= 0)
+            keys, tf = counted(docs.take(met) * len(wanted) + found.take(met))
+            cuts = pa.array(np.searchsorted(keys, np.arange(len(held) + 1) * len(wanted)), pa.int32())
+            size = pa.array(np.bincount(docs, minlength=len(held)), pa.int64(), mask=np.array([text is None for text in held]))
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x, pa.int32())) for x in (keys % max(len(wanted), 1), tf)]
+            yield pa.record_batch([ids, size, *lists], names=[key, "len", "at", "tf"])
+
+    numbers = ArrayType(IntegerType())
+    return texts.mapInArrow(run, StructType([texts.schema[key], StructField("len", LongType()), StructField("at", numbers), StructField("tf", numbers)]))

@@ -262,3 +262,23 @@ def test_texts_below_the_scripts_are_not_searched_for_them(spark):
     df = spark.createDataFrame([("ab ab é – ” ab",), ("กก ab กก",), (None,)], "text string")
     assert S.cohesive_words(df) == {"ก": 4}
     assert S.cohesive_words(df, unspaced="a") == {"a": 4}
+
+
+def test_only_nearly_best_pairs_leave_workers(spark, monkeypatch):
+    """The three best in nine digits are the same, with ties of more slides than are kept, and few pairs are left."""
+    from pyspark.sql import functions as F
+
+    from rostrum.functions import segmentation as S
+    from rostrum.operators import retrieval as R
+    from rostrum.plans import retrieval
+
+    model, draw = cutters()
+    texts = ["".join(draw.choices("abก木1 ", k=draw.randint(1, 40))) for _ in range(30)]
+    slides = spark.createDataFrame([(k * 7 % 301, texts[k % 11] if k % 3 else texts[k % 30]) for k in range(300)] + [(400, None), (401, "")], "slide_id long, text string").repartition(3)
+    queries = spark.createDataFrame([*enumerate(texts[:12]), (50, "zz"), (51, None)], "query_id long, text string")
+    terms = S.analyzer(model, retrieval.LETTERS)(F.col("text"))
+    every = R.bm25(slides, queries, terms, terms)
+    few = R.bm25(slides, queries, terms, terms, lambda rows, wanted: S.wanted_counts(rows, wanted, model, retrieval.LETTERS), 3)
+    key = lambda df: sorted((r.query_id, r["rank"], r.slide_id, round(r.raw, 9)) for r in R.top_k(retrieval.by_nine(df), 3).collect())
+    assert key(few) == key(every) != []
+    assert few.count() < every.count() / 4
